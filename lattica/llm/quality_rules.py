@@ -64,7 +64,8 @@ def counts(docs: DataFrame) -> DataFrame:
     covered = F.aggregate("__p", start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(8), i - a["last"])).alias("n")), lambda a: a["n"])
     x = x.withColumn("__n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("__p")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
-    return x.select(*own, F.struct(*[F.col(f"__{c}").alias(c) for c in names]).alias("__q"))
+    # one row of one array: the optimiser does not copy the counts' expressions into each use of them beyond a generator
+    return x.select(*own, F.explode(F.array(F.struct(*[F.col(f"__{c}").alias(c) for c in names]))).alias("__q"))
 
 
 def base_failed() -> Column:
@@ -133,5 +134,5 @@ def keep(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float =
     """The rows of docs that are kept, with docs' own columns. Cutoffs are fitted on the labelled rows of docs."""
     marked = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("__m")).distinct()
     fit = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").join(marked, F.col("doc_id") == F.col("__m"), "left_semi")
-    cuts = stash(thresholds(counts(fit).drop("text"), labels, alpha, delta), "rules-cutoffs")
+    cuts = stash(thresholds(stash(counts(fit).drop("text"), "rules-counts"), labels, alpha, delta), "rules-cutoffs")
     return _judged(counts(docs), cuts).where("__kept").select(*docs.columns)
