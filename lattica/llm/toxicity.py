@@ -57,15 +57,20 @@ def sentences(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w.hash, number, count[w.ptr]
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], label: np.ndarray, least_docs: int = 4, z: float = 5.0, steps: int = 300) -> Model:
-    """bags: per document (word hashes, sentence of each from 0, number of sentences). Full-batch gradient descent (Adam) on the noisy-or's likelihood."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], label: np.ndarray, least_docs: int | None = None, z: float = 5.0, steps: int = 300) -> Model:
+    """bags: per document (word hashes, sentence of each from 0, number of sentences). Full-batch gradient descent (Adam) on the noisy-or's likelihood.
+
+    least_docs: different documents that a word of the model is in (default: 4, up to 8 for larger samples). Equal documents count once for that.
+    """
     y = label.astype(bool)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -60.0)
     if not len(bags) or y.all() or not y.any():
         return none
-    seen = [np.unique(b[0]) for b in bags]
-    every = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
-    owner = np.repeat(y, [len(s) for s in seen])
+    least_docs = least_docs or int(min(8, max(4, len(bags) // 300)))
+    once = {b[0].tobytes(): i for i, b in enumerate(bags)}.values()
+    seen = [np.unique(bags[i][0]) for i in once]
+    every = np.concatenate(seen)
+    owner = np.repeat(y[list(once)], [len(s) for s in seen])
     vocabulary, at = np.unique(every, return_inverse=True)
     docs, bad = np.bincount(at), np.bincount(at, weights=owner)
     rate = y.mean()
