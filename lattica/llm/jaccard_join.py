@@ -9,11 +9,13 @@ similarity of 0.8, a distance of at most r = 0.2.
    elsewhere are settled. (Unrelated texts are all at distance 1 from each other, so
    pivots cannot part them; this step stands in for that.)
 2. Equal sets are one class, the rest goes on by its least doc_id.
-3. Pivots are documents. Among the first fifth (and one) of x's shingles, frequent
-   ones put last, there is one that x shares with each of its partners; the holder of
-   that shingle with the least random rank is the pivot of it. x goes to the region
-   of its own nearest pivots and, as boundary replica, of all others it meets so:
-   linked documents meet in at least one region.
+3. Pivots are documents. The bound of step 1 holds in any common order, so also with
+   frequent shingles put last; the holder of a shingle with the least random rank is
+   its pivot. x meets the pivots of its first 30 %, its nearest in most shingles. It
+   may leave those it meets in fewest, in less than half of its bound of shingles
+   together: what it shares with a partner in the regions that either left is then
+   less than what they share, so linked documents meet in at least one region. In the
+   others x stays as boundary replica.
 4. A region takes pivots in turn. Exact distances to a pivot p give links, and
    windows: x and y with |d(x,p) - d(y,p)| > r cannot be linked. Documents that links
    have joined need no comparison. Large regions are cut into chunks with the pivot in
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import by_bucket, flat, joined, mix, partitions, ranges, sets, shingles, stash, words
@@ -151,26 +153,28 @@ def _frequent(own: DataFrame, least: int = 64) -> np.ndarray:
 
 
 def meetings(own: DataFrame, buckets: int) -> DataFrame:
-    """Distinct (pivot, node) over all shingles of the nodes' first fifths that two nodes or more have."""
+    """(pivot, node) over all first shingles of the nodes that two nodes or more have, without the regions that a node may leave."""
     sent = own.sparkSession.sparkContext.broadcast(_frequent(own))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, number = sent.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             nodes = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            h, at = [], []
+            h, at, spare = [], [], []
             for i, s in enumerate(batch.column(1)):
                 s = np.frombuffer(s.as_py(), np.uint64)
                 if len(frequent):
                     j = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     late = frequent[j] == s
                     s = np.concatenate([s[~late], s[late]])
-                s = s[: len(s) // 5 + 1]
+                n = len(s)
+                s = s[: n - int(np.floor(0.7 * n))]
                 h.append(s)
                 at.append(np.full(len(s), nodes[i]))
+                spare.append(np.full(len(s), (int(needed(np.array([n]))[0]) - 1) // 2))
             if not h:
                 continue
-            h, at = np.concatenate(h), np.concatenate(at)
+            h, at, spare = np.concatenate(h), np.concatenate(at), np.concatenate(spare)
             order, cut = by_bucket(h, buckets)
             rows: list[list] = [[], [], [], [], [], []]
             for b in np.flatnonzero(np.diff(cut)):
@@ -179,7 +183,7 @@ def meetings(own: DataFrame, buckets: int) -> DataFrame:
                 rank = mix(at[x].view(np.uint64))
                 by = np.lexsort((rank, inv))
                 first = by[np.searchsorted(inv[by], np.arange(len(u)))]
-                for o, v in zip(rows, (int(b), number, u.tobytes(), at[x][first].tobytes(), np.bincount(inv).astype(np.int32).tobytes(), np.stack([inv, at[x]]).astype(np.int64).tobytes())):
+                for o, v in zip(rows, (int(b), number, u.tobytes(), at[x][first].tobytes(), np.bincount(inv).astype(np.int32).tobytes(), np.stack([inv, at[x], spare[x]]).astype(np.int64).tobytes())):
                     o.append(v)
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[2:]]], names=["bucket", "batch", "keys", "pivots", "counts", "members"])
@@ -203,14 +207,24 @@ def meetings(own: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             found = []
             for m, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                m, e = np.frombuffer(m, np.int64).reshape(2, -1), np.frombuffer(e, np.int64)
+                m, e = np.frombuffer(m, np.int64).reshape(3, -1), np.frombuffer(e, np.int64)
                 p = e[m[0]]
-                found.append(np.stack([p, m[1]])[:, p != -1])
-            x = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["pivot", "node"])
+                found.append(np.stack([p, m[1], m[2]])[:, p != -1])
+            x = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+            x = x[:, np.lexsort((x[1], x[0]))]
+            new = np.ones(x.shape[1], dtype=bool)
+            new[1:] = (x[:2, 1:] != x[:2, :-1]).any(axis=0)
+            count = np.diff(np.append(np.flatnonzero(new), x.shape[1]))
+            x = x[:, new]
+            yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(x[2]), pa.array(count.astype(np.int64))], names=["pivot", "node", "spare", "met"])
 
     both = told.select("bucket", "batch", "members").join(elected, ["bucket", "batch"])
-    return both.select("members", "elected").mapInArrow(pairs, "pivot long, node long").distinct()
+    met = both.select("members", "elected").mapInArrow(pairs, "pivot long, node long, spare long, met long")
+    met = met.groupBy("pivot", "node").agg(F.min("spare").alias("spare"), F.sum("met").alias("met"))
+    # a pivot stays in its own region
+    away = F.when(F.col("pivot") != F.col("node"), F.col("met")).otherwise(0)
+    fewest = Window.partitionBy("node").orderBy("met", "pivot").rowsBetween(Window.unboundedPreceding, 0)
+    return met.withColumn("left", F.sum(away).over(fewest)).where((F.col("left") > F.col("spare")) | (F.col("pivot") == F.col("node"))).select("pivot", "node")
 
 
 class Region:
