@@ -367,3 +367,6 @@ def t04_new_since(t):
 def i03_gray(t):
     pixel = F.array(F.array(F.array(F.col("n_nationkey"), F.col("n_regionkey"), F.lit(50))))
     return t("nation").select("n_nationkey", F.get(F.get(C.gray(pixel), F.lit(0)), F.lit(0)).cast("double").alias("luma"))
+
+
+from lattica.plans import more  # noqa: E402,F401  (registers further queries here)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,8 +18,13 @@ def online_counts(events: DataFrame, window: str = "1 hour", ts: str = "ts", kin
 
 
 def new_since(messages: DataFrame, last_run, ts: str = "ts") -> DataFrame:
-    """Rows after the last run's mark, with the next mark."""
-    return messages.where(F.col(ts) > F.lit(last_run)).withColumn("next_run", F.max(ts).over(Window.partitionBy()))
+    """Rows after the last run's mark; `next_mark` gives the mark to store once they are handled."""
+    return messages.where(F.col(ts) > F.lit(last_run))
+
+
+def next_mark(messages: DataFrame, last_run, ts: str = "ts") -> DataFrame:
+    """One row: the mark for the next run, the old one if nothing is new."""
+    return new_since(messages, last_run, ts).agg(F.coalesce(F.max(ts), F.lit(last_run).cast(dict(messages.dtypes)[ts])).alias("next_run"))
 
 
 def write_snapshots(events: DataFrame, path: str, checkpoint: str):
