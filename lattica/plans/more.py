@@ -42,9 +42,9 @@ def p20_range_and_flag(t):
     return t("events").where(F.col("event_id").between(100, 900) & (F.col("event_type") != "error")).select("event_id")
 
 
-@query("select c_custkey from customer where not exists (select 1 from supplier where s_nationkey = c_nationkey)")
+@query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
 def j06_unique(t):
-    return t("customer").join(t("supplier"), F.col("s_nationkey") == F.col("c_nationkey"), "left_anti").select("c_custkey")
+    return t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
 
 
 @query("select user_id from events where event_type in ('click', 'purchase') group by user_id having count(distinct event_type) = 2")
