@@ -4,13 +4,14 @@ The trie holds byte contexts up to order 3 with the counts of what followed them
 all training texts. A symbol's probability is that of method C: its count over total
 plus distinct, else the escape estimate times the next shorter context, in which all
 symbols of the longer are excluded; last comes a uniform order. As the trie is frozen
-while scoring, these sums are resolved once for every context, and a text's code
-length is a lookup a byte. Beside it stands an add-one word model of exact counts.
+while scoring, these sums are resolved once for every context. Beside it stands an
+add-one word model of exact counts.
 
-Word counts are summed by hash bucket, without a limit. Words at or above a count
-that at most `most_words` reach are broadcast; all others are looked up bucket by
-bucket. The trie keeps the 4-byte strings of the highest counts, `most_grams` at most
-(a bound of the model's size; a dropped context falls back to the shorter one).
+Counts of words and of 4-byte strings are summed by hash bucket, without a limit; a
+bucket has all strings of a 2-byte context, so it resolves orders 3 and 2 alone, and
+orders 1 and 0 (65536 counts at most) are told to all. Words at or above a count that
+at most `most_words` reach, and resolved contexts that at most `most_contexts` reach,
+are broadcast; all others are looked up bucket by bucket, with the same result.
 
 Null and empty texts consist of the end symbol alone. Texts are scored whole,
 repeated rows alike; a null doc_id is held out (its remainder is unknown); an empty
@@ -20,8 +21,7 @@ table gives no rows. Words are told apart by a 64-bit hash.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Texts, by_bucket, flat, joined, partitions, segment_sum, stash, words
+from lattica.llm.common import Texts, by_bucket, flat, joined, mix, partitions, ranges, segment_sum, stash, words
 
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -64,87 +64,71 @@ def codes(b: np.ndarray, at: np.ndarray, docs: np.ndarray | None = None) -> np.n
     return all4[ok]
 
 
-@dataclass
-class Trie:
-    """Resolved log10 probabilities: one row of 256 for each context, and which row a context of each order has."""
-
-    logp: np.ndarray
-    order3: np.ndarray
-    row3: np.ndarray
-    order2: np.ndarray
-    row2: np.ndarray
-    order1: np.ndarray
-    row1: np.ndarray
-
-    def table(self) -> np.ndarray:
-        """Row of every 3-byte context."""
-        t = np.zeros((256, 256, 256), dtype=np.int32)
-        for c, r in zip(self.order1, self.row1):
-            t[:, :, c] = r
-        for c, r in zip(self.order2, self.row2):
-            t[:, c >> 8, c & 255] = r
-        t = t.reshape(-1)
-        t[self.order3] = self.row3
-        return t
-
-
-def resolve(code: np.ndarray, count: np.ndarray) -> Trie:
-    """code: sorted 4-byte strings (context, symbol) and their counts."""
-    levels = []  # (contexts, pointers, symbols, counts) by order
-    for order in (3, 2, 1, 0):
-        key = code & np.uint32((1 << (8 * order + 8)) - 1) if order < 3 else code
-        u, inv = np.unique(key, return_inverse=True)
-        n = np.bincount(inv, weights=count).astype(np.float64) if len(u) else np.zeros(0)
-        ctx, ptr = np.unique(u >> 8, return_index=True)
-        levels.append((ctx.astype(np.int64), np.append(ptr, len(u)), (u & 255).astype(np.int64), n))
-
-    rows, out = [], {}
-    for top in range(4):  # rows of order 3, 2, 1, 0
-        contexts = levels[top][0]
-        made = []
-        for first in range(0, len(contexts), 2048):
-            part = contexts[first : first + 2048]
-            p = np.zeros((len(part), 256))
-            free = np.ones((len(part), 256), dtype=bool)
-            left = np.ones(len(part))
-            for low in range(top, 4):
-                ctx, ptr, sym, n = levels[low]
-                own = part & ((1 << (8 * (3 - low))) - 1)
-                i = np.searchsorted(ctx, own)
-                size = ptr[i + 1] - ptr[i]
-                r = np.repeat(np.arange(len(part)), size)
-                e = np.repeat(ptr[i] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                s = sym[e]
-                ok = free[r, s]
-                r, s, c = r[ok], s[ok], n[e][ok]
-                total = np.bincount(r, weights=c, minlength=len(part))
-                kinds = np.bincount(r, minlength=len(part))
-                whole = total + kinds
-                p[r, s] = left[r] * c / whole[r]
-                free[r, s] = False
-                left = np.where(kinds > 0, left * kinds / np.maximum(whole, 1), left)
-            free[:, PAD] = False
-            rest = free.sum(axis=1)
-            p += np.where(free, (left / np.maximum(rest, 1))[:, None], 0.0)
-            made.append(np.log10(np.maximum(p, 1e-30)).astype(np.float32))
-        out[top] = np.concatenate(made) if made else np.zeros((0, 256), np.float32)
-    base = np.full((1, 256), np.log10(1 / 255), np.float32)
-    zero = out[3] if len(out[3]) else base
-    logp = np.concatenate([zero, out[2], out[1], out[0]])
-    at2 = len(zero) + len(out[2])
-    return Trie(logp, levels[0][0], np.arange(len(out[0])) + at2 + len(out[1]), levels[1][0], np.arange(len(out[1])) + at2, levels[2][0], np.arange(len(out[2])) + len(zero))
-
-
-def log_probability(trie: Trie, table: np.ndarray, t: Texts) -> np.ndarray:
-    """log10 probability of each text with its end."""
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def level(code: np.ndarray, count: np.ndarray, order: int) -> Level:
+    """Contexts of an order, where each one's symbols begin, the symbols and their counts; code: strings that end in context and symbol."""
+    u, inv = np.unique(code.astype(np.int64) & ((1 << (8 * order + 8)) - 1), return_inverse=True)
+    n = np.bincount(inv, weights=count, minlength=len(u))
+    ctx, first = np.unique(u >> 8, return_index=True)
+    return ctx, np.append(first, len(u)), u & 255, n
+
+
+def levels(code: np.ndarray, count: np.ndarray, low: list[Level]) -> list[Level]:
+    """Orders 3 and 2 of a bucket's strings before the lower orders."""
+    return [level(code, count, 3), level(code, count, 2), *low]
+
+
+def resolve(contexts: np.ndarray, levels: list[Level]) -> Iterator[np.ndarray]:
+    """log10 probabilities of all 256 symbols after each 3-byte context, in runs of 2048 contexts; levels: orders 3 to 0."""
+    for first in range(0, len(contexts), 2048):
+        part = contexts[first : first + 2048].astype(np.int64)
+        p = np.zeros((len(part), 256))
+        free = np.ones((len(part), 256), dtype=bool)
+        left = np.ones(len(part))
+        for order, (ctx, ptr, sym, n) in zip((3, 2, 1, 0), levels):
+            if not len(ctx):
+                continue
+            own = part & ((1 << (8 * order)) - 1)
+            i = np.minimum(np.searchsorted(ctx, own), len(ctx) - 1)
+            size = np.where(ctx[i] == own, ptr[i + 1] - ptr[i], 0)
+            r, e = np.repeat(np.arange(len(part)), size), ranges(ptr[i], size)
+            s = sym[e]
+            ok = free[r, s]
+            r, s, c = r[ok], s[ok], n[e][ok]
+            total = np.bincount(r, weights=c, minlength=len(part))
+            kinds = np.bincount(r, minlength=len(part))
+            whole = total + kinds
+            p[r, s] = left[r] * c / whole[r]
+            free[r, s] = False
+            left = np.where(kinds > 0, left * kinds / np.maximum(whole, 1), left)
+        free[:, PAD] = False
+        p += np.where(free, (left / np.maximum(free.sum(axis=1), 1))[:, None], 0.0)
+        yield np.log10(np.maximum(p, 1e-30)).astype(np.float32)
+
+
+def log_probability(logp: np.ndarray, table: np.ndarray, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the log10 probability of its symbols whose context has a row in table; the 4-byte strings at the others, and the text of each."""
     b, at = framed(t)
     c = b.astype(np.int32)
     row = table[(c[:-3] << 16) | (c[1:-2] << 8) | c[2:-1]]
-    each = np.zeros(len(b))
-    each[3:] = trie.logp.reshape(-1)[row.astype(np.int64) * 256 + c[3:]]
+    own = np.ones(len(row), dtype=bool)  # not the strings that reach over a text's start
     for k in range(3):
-        each[at[:-1] + k] = 0.0
-    return segment_sum(each, at)
+        inner = at[1:-1] - 3 + k
+        own[inner[inner >= 0]] = False
+    known = own & (row >= 0)
+    each = np.zeros(len(b))
+    each[3:][known] = logp.reshape(-1)[row[known].astype(np.int64) * 256 + c[3:][known]]
+    at_rare = np.flatnonzero(own & (row < 0))
+    x = b.astype(np.uint64)
+    code = (x[at_rare] << 24) | (x[at_rare + 1] << 16) | (x[at_rare + 2] << 8) | x[at_rare + 3]
+    return segment_sum(each, at), code, np.searchsorted(at, at_rare + 3, "right") - 1
+
+
+def string_buckets(code: np.ndarray) -> np.ndarray:
+    """What the bucket of a 4-byte string depends on: its 2-byte context."""
+    return mix((code >> np.uint64(8)) & np.uint64(0xFFFF))
 
 
 _tables: dict[str, np.ndarray] = {}
@@ -159,7 +143,7 @@ COUNTS = "bucket int, kind int, keys binary, counts binary, n long, total long,
 
 
 def gather(docs: DataFrame, train: str, buckets: int) -> DataFrame:
-    """Counts of the words (kind 0) and 4-byte strings (kind 1) of training texts, summed, a row for each bucket and kind."""
+    """Counts of the words (kind 0) and 4-byte strings (kind 1) of training texts, summed, a row for each bucket and kind; bins: how many words or contexts have a count from each power of two."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +159,7 @@ def gather(docs: DataFrame, train: str, buckets: int) -> DataFrame:
                 if not found[kind]:
                     continue
                 k, n = _merged(np.concatenate([x[0] for x in found[kind]]).astype(dtype), np.concatenate([x[1] for x in found[kind]]))
-                order, cut = by_bucket(k, buckets)
+                order, cut = by_bucket(string_buckets(k) if kind else k, buckets)
                 for b in np.flatnonzero(np.diff(cut)):
                     part = order[cut[b] : cut[b + 1]]
                     for o, x in zip(rows, (int(b), kind, k[part].tobytes(), n[part].astype(np.uint32).tobytes())):
@@ -184,7 +168,8 @@ def gather(docs: DataFrame, train: str, buckets: int) -> DataFrame:
 
     def total(key: tuple, rows: pa.Table) -> pa.Table:
         k, n = _merged(joined(rows["keys"], np.uint64), joined(rows["counts"], np.uint32))
-        bins = np.bincount(np.log2(np.maximum(n, 1)).astype(int), minlength=BINS)[:BINS]
+        of = _merged(k >> np.uint64(8), n)[1] if key[1].as_py() else n
+        bins = np.bincount(np.log2(np.maximum(of, 1)).astype(int), minlength=BINS)[:BINS]
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([key[1].as_py()], pa.int32()), "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "n": pa.array([len(k)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()), "bins": pa.array([bins.tolist()], pa.list_(pa.int64()))})
 
     slim = docs.selectExpr("cast(text as string) text", f"coalesce({train}, false) train")
@@ -192,23 +177,58 @@ def gather(docs: DataFrame, train: str, buckets: int) -> DataFrame:
     return stash(parts.groupBy("bucket", "kind").applyInArrow(total, COUNTS), "ppm-counts")
 
 
-def _frequent(counts: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted keys and counts of those at or above the lowest power of two that at most `most` reach; and that power."""
+def _least(counts: DataFrame, kind: int, most: int) -> int:
+    """The lowest power of two that the counts of at most `most` words (kind 0) or contexts (kind 1) reach."""
     bins = np.array(counts.where(F.col("kind") == kind).select(F.posexplode("bins")).groupBy("pos").agg(F.sum("col")).orderBy("pos").toPandas().iloc[:, 1], dtype=np.int64)
     above = np.cumsum(bins[::-1])[::-1] if len(bins) else np.zeros(0)
-    least = 1 << int(np.argmax(above <= most)) if len(above) else 1
+    return 1 << int(np.argmax(above <= most)) if len(above) else 1
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _picked(counts: DataFrame, kind: int, pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """What pick makes of each bucket's keys and counts, as two binary columns."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k, n = np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)
-                ok = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array([k[ok].tobytes()], pa.binary()), pa.array([n[ok].tobytes()], pa.binary())], names=["keys", "counts"])
+                x, y = pick(np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["x", "y"])
+
+    return counts.where(F.col("kind") == kind).select("keys", "counts").mapInArrow(each, "x binary, y binary").toArrow()
 
-    got = counts.where(F.col("kind") == kind).select("keys", "counts").mapInArrow(pick, "keys binary, counts binary").toArrow()
-    k, n = joined(got["keys"], np.uint64), joined(got["counts"], np.int64)
+
+def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the words that are broadcast."""
+    least = _least(counts, 0, most)
+    got = _picked(counts, 0, lambda k, n: (k[n >= least], n[n >= least]))
+    k, n = joined(got["x"], np.uint64), joined(got["y"], np.int64)
     order = np.argsort(k)
-    return k[order], n[order], least
+    return k[order], n[order]
+
+
+def low_orders(counts: DataFrame) -> list[Level]:
+    """Orders 1 and 0: sums over all buckets of the 65536 2-byte strings at most."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, n = _merged(joined(pa.chunked_array([batch.column(0)]), np.uint64) & np.uint64(0xFFFF), joined(pa.chunked_array([batch.column(1)]), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n)], names=["code", "n"])
+
+    got = counts.where("kind = 1").select("keys", "counts").mapInArrow(local, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = np.array(got["code"].to_pylist(), dtype=np.int64), np.array(got["n"].to_pylist(), dtype=np.int64)
+    return [level(code, n, 1), level(code, n, 0)]
+
+
+def frequent_contexts(counts: DataFrame, low: list[Level], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 3-byte contexts that are broadcast, and their resolved rows."""
+    least = _least(counts, 1, most)
+
+    def pick(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ctx, total = _merged(code >> np.uint64(8), n)
+        ctx = ctx[total >= least].astype(np.int64)
+        return ctx, np.concatenate([np.zeros((0, 256), np.float32), *resolve(ctx, levels(code, n, low))])
+
+    got = _picked(counts, 1, pick)
+    return joined(got["x"], np.int64), joined(got["y"], np.float32).reshape(-1, 256)
 
 
 def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -219,7 +239,20 @@ def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
     return np.where(keys[i] == wanted, values[i], 0)
 
 
-def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2", most_words: int = 1 << 19, most_grams: int = 1 << 20, buckets: int | None = None) -> DataFrame:
+def _answers(kind: int, wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray, low: list[Level]) -> np.ndarray:
+    """Of a bucket: counts of the wanted words, or log10 probabilities of the wanted 4-byte strings."""
+    if kind == 0:
+        return lookup(keys, counts, wanted)
+    u, back = np.unique(wanted, return_inverse=True)
+    ctx, of = np.unique(u >> np.uint64(8), return_inverse=True)
+    out, symbol = np.zeros(len(u)), (u & np.uint64(255)).astype(np.int64)
+    for i, p in enumerate(resolve(ctx, levels(keys, counts, low))):
+        here = np.flatnonzero((of >= 2048 * i) & (of < 2048 * (i + 1)))
+        out[here] = p[of[here] - 2048 * i, symbol[here]]
+    return out[back]
+
+
+def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2", most_words: int = 1 << 19, most_contexts: int = 1 << 16, buckets: int | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): the token counts and base_score of the word model, and score, the trie's log10 probability."""
     spark = docs.sparkSession
     buckets = buckets or 2 * partitions(spark)
@@ -227,74 +260,80 @@ def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2"
     n_docs = docs.where(f"coalesce({train}, false)").count()
     known = counts.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n, v = known[0] + n_docs, known[1] + (n_docs > 0)
-    keys, values, least = _frequent(counts, 0, most_words)
-    grams, times, _ = _frequent(counts, 1, most_grams)
-    trie = resolve(grams.astype(np.uint32), times)
-    sent = spark.sparkContext.broadcast((keys, values, trie))
+    low = low_orders(counts)
+    sent = spark.sparkContext.broadcast((*frequent_words(counts, most_words), *frequent_contexts(counts, low, most_contexts)))
     name = uuid.uuid4().hex
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, trie = sent.value
+        keys, values, contexts, logp = sent.value
         if name not in _tables:
             _tables.clear()
-            _tables[name] = trie.table()
+            _tables[name] = np.full(1 << 24, -1, dtype=np.int32)
+            _tables[name][contexts] = np.arange(len(contexts))
         table, row = _tables[name], TaskContext.get().partitionId() << 33
         for batch in batches:
             first = row
-            parts, rare = [], []
+            parts: list[tuple] = []
+            rare: tuple[list, list] = ([], [])
             for t in flat(batch.column(1)):
                 w = words(t)
                 c = lookup(keys, values, w.hash)
                 doc = np.repeat(np.arange(len(t)), np.diff(w.ptr)) + row
                 unsure = c == 0
-                rare.append((w.hash[unsure], doc[unsure]))
                 base = segment_sum(np.log10(c + 1.0), w.ptr) + np.log10(n_docs + 1.0)
-                parts.append((np.diff(w.ptr) + 1, segment_sum((c > 0).astype(np.int64), w.ptr) + (n_docs > 0), base, log_probability(trie, table, t)))
+                p, code, of = log_probability(logp, table, t)
+                rare[0].append((w.hash[unsure], doc[unsure]))
+                rare[1].append((code, of + row))
+                parts.append((np.diff(w.ptr) + 1, segment_sum((c > 0).astype(np.int64), w.ptr) + (n_docs > 0), base, p))
                 row += len(t)
             if not parts:
                 continue
             tokens, sure, base, s = (np.concatenate(x) for x in zip(*parts))
-            h, d = (np.concatenate(x) for x in zip(*rare))
-            order, cut = by_bucket(h, buckets)
-            some = np.flatnonzero(np.diff(cut))
-            m, k = len(tokens), len(some)
-            blobs = [order[cut[b] : cut[b + 1]] for b in some]
-            none = lambda kind: pa.nulls(k, kind)
+            asks: list[list] = [[], [], [], []]
+            for kind in (0, 1):
+                h, d = (np.concatenate(x) for x in zip(*rare[kind]))
+                order, cut = by_bucket(string_buckets(h) if kind else h, buckets)
+                for b in np.flatnonzero(np.diff(cut)):
+                    x = order[cut[b] : cut[b + 1]]
+                    for o, y in zip(asks, (int(b), kind, h[x].tobytes(), d[x].tobytes())):
+                        o.append(y)
+            m, k = len(tokens), len(asks[0])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(some.astype(np.int32))]),
-                    pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array([h[x].tobytes() for x in blobs], pa.binary())]),
-                    pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array([d[x].tobytes() for x in blobs], pa.binary())]),
-                    pa.concat_arrays([pa.array(np.arange(first, first + m)), none(pa.int64())]),
-                    pa.concat_arrays([batch.column(0), none(pa.int64())]),
-                    pa.concat_arrays([batch.column(2), none(pa.bool_())]),
-                    *[pa.concat_arrays([pa.array(x.astype(t)), none(pa.from_numpy_dtype(t))]) for x, t in ((tokens, np.int64), (sure, np.int64), (base, np.float64), (s, np.float64))],
+                    *[pa.concat_arrays([pa.nulls(m, t), pa.array(x, t)]) for x, t in zip(asks, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                    *[pa.concat_arrays([x, pa.nulls(k, x.type)]) for x in (pa.array(np.arange(first, first + m)), batch.column(0), batch.column(2))],
+                    *[pa.concat_arrays([pa.array(x.astype(t)), pa.nulls(k, pa.from_numpy_dtype(t))]) for x, t in ((tokens, np.int64), (sure, np.int64), (base, np.float64), (s, np.float64))],
                 ],
-                names=["bucket", "words", "rows", "row", "doc_id", "held_out", "n_tokens", "sure", "base", "score"],
+                names=["bucket", "kind", "asked", "rows", "row", "doc_id", "held_out", "n_tokens", "sure", "base", "score"],
             )
 
     slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", f"not coalesce({train}, false) held_out")
-    scored = stash(slim.mapInArrow(each, "bucket int, words binary, rows binary, row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double"), "ppm-scored")
-
-    def rest(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        h, d = joined(asked["words"], np.uint64), joined(asked["rows"], np.int64)
-        k, c = joined(counted["keys"], np.uint64), joined(counted["counts"], np.int64)
-        got = lookup(k, c, h)
-        h, d, got = h[got > 0], d[got > 0], got[got > 0]
+    scored = stash(slim.mapInArrow(each, "bucket int, kind int, asked binary, rows binary, row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double"), "ppm-scored")
+
+    def rest(key: tuple, asked: pa.Table, counted: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in zip(("part", "rows", "base", "score", "found"), (pa.int32(), *[pa.binary()] * 4))})
+        kind = key[1].as_py()
+        h, d = joined(asked["asked"], np.uint64), joined(asked["rows"], np.int64)
+        got = _answers(kind, h, joined(counted["keys"], np.uint64), joined(counted["counts"], np.int64), low)
+        if kind == 0:
+            d, got = d[got > 0], np.log10(got[got > 0] + 1.0)
         u, inv = np.unique(d, return_inverse=True)
-        more, found = np.bincount(inv, weights=np.log10(got + 1.0), minlength=len(u)), np.bincount(inv, minlength=len(u)).astype(np.int32)
+        more, nothing = np.bincount(inv, weights=got, minlength=len(u)), np.zeros(len(u))
+        base, p, found = (nothing, more, nothing) if kind else (more, nothing, np.bincount(inv, minlength=len(u)).astype(float))
         order, cut = by_bucket(u.astype(np.uint64), buckets)
         some = np.flatnonzero(np.diff(cut))
         blobs = [order[cut[b] : cut[b + 1]] for b in some]
-        return pa.table({"part": pa.array(some.astype(np.int32)), "rows": pa.array([u[x].tobytes() for x in blobs], pa.binary()), "more": pa.array([more[x].tobytes() for x in blobs], pa.binary()), "found": pa.array([found[x].tobytes() for x in blobs], pa.binary())})
+        return pa.table({"part": pa.array(some.astype(np.int32)), **{c: pa.array([y[x].tobytes() for x in blobs], pa.binary()) for c, y in (("rows", u), ("base", base), ("score", p), ("found", found))}})
 
     def summed(key: tuple, rows: pa.Table) -> pa.Table:
         u, inv = np.unique(joined(rows["rows"], np.int64), return_inverse=True)
-        return pa.table({"at": pa.array(u), "more": pa.array(np.bincount(inv, weights=joined(rows["more"], np.float64), minlength=len(u)), pa.float64()), "found": pa.array(np.bincount(inv, weights=joined(rows["found"], np.int32), minlength=len(u)).astype(np.int64))})
+        base, p, found = (np.bincount(inv, weights=joined(rows[c], np.float64), minlength=len(u)) for c in ("base", "score", "found"))
+        return pa.table({"at": pa.array(u), "more_base": pa.array(base), "more_score": pa.array(p), "found": pa.array(found.astype(np.int64))})
 
-    asked = scored.where("bucket is not null").select("bucket", "words", "rows").groupBy("bucket")
-    answer = asked.cogroup(counts.where("kind = 0").select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(rest, "part int, rows binary, more binary, found binary")
-    answer = answer.groupBy("part").applyInArrow(summed, "at long, more double, found long")
+    asked = scored.where("bucket is not null").select("bucket", "kind", "asked", "rows").groupBy("bucket", "kind")
+    answer = asked.cogroup(counts.select("bucket", "kind", "keys", "counts").groupBy("bucket", "kind")).applyInArrow(rest, "part int, rows binary, base binary, score binary, found binary")
+    answer = answer.groupBy("part").applyInArrow(summed, "at long, more_base double, more_score double, found long")
     out = scored.where("bucket is null").join(answer, F.col("row") == F.col("at"), "left")
-    base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+    base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("bigint").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

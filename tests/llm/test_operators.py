@@ -319,8 +319,8 @@ def test_ppm(spark, docs, rows, empty):
     tokens = Counter(w for r in learn for w in WORD.findall((r[1] or "").translate(LOWER)))
     tokens["<end>"] = len(learn)
     n, v = sum(tokens.values()), len(tokens)
-    for most in (1 << 19, 50):  # all words broadcast, and most of them looked up
-        got = ppm.score(docs, most_words=most).collect()
+    for most in (1 << 19, 50):  # all words and contexts broadcast, and most of them looked up
+        got = ppm.score(docs, most_words=most, most_contexts=most).collect()
         assert len(got) == len(rows)
         short = {r[0]: r for r in rows if len(r[1] or "") < 3000}
         for x in got:
