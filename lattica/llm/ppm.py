@@ -35,6 +35,8 @@ PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 BINS = 40
+#: Bytes of text that are taken at once: each needs some 100 bytes of memory.
+PIECE = 1 << 19
 
 
 def framed(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +151,7 @@ def gather(docs: DataFrame, train: str, buckets: int) -> DataFrame:
         for batch in batches:
             mask = np.array(batch.column(1).to_pylist(), dtype=bool)
             found: list[list] = [[], []]
-            for t in flat(batch.column(0)):
+            for t in flat(batch.column(0), PIECE):
                 use = mask[t.first : t.last]
                 w = words(t)
                 found[0].append(np.unique(w.hash[np.repeat(use, np.diff(w.ptr))], return_counts=True))
@@ -275,7 +277,7 @@ def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2"
             first = row
             parts: list[tuple] = []
             rare: tuple[list, list] = ([], [])
-            for t in flat(batch.column(1)):
+            for t in flat(batch.column(1), PIECE):
                 w = words(t)
                 c = lookup(keys, values, w.hash)
                 doc = np.repeat(np.arange(len(t)), np.diff(w.ptr)) + row
