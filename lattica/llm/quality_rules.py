@@ -30,8 +30,8 @@ RULES = {
     "long_words": ("word_chars / greatest(n_words, 1)", (40, 25, 18, 14, 12, 10), True),
     "short_words": ("word_chars / greatest(n_words, 1)", (1.5, 2.0, 2.5, 3.0), False),
 }
-#: At most so many strata are broadcast.
-BROADCAST_ROWS = 50_000
+#: At most so many strata, and so many ids of labelled documents, are broadcast.
+BROADCAST_ROWS, BROADCAST_IDS = 50_000, 1 << 20
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -133,6 +133,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: flo
 def keep(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """The rows of docs that are kept, with docs' own columns. Cutoffs are fitted on the labelled rows of docs."""
     marked = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("__m")).distinct()
+    if marked.count() <= BROADCAST_IDS:  # else whole texts would be shuffled
+        marked = F.broadcast(marked)
     fit = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").join(marked, F.col("doc_id") == F.col("__m"), "left_semi")
     cuts = stash(thresholds(stash(counts(fit).drop("text"), "rules-counts"), labels, alpha, delta), "rules-cutoffs")
     return _judged(counts(docs), cuts).where("__kept").select(*docs.columns)
