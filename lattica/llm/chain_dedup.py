@@ -6,7 +6,8 @@ it (its k-th place there for the k-th here), which leaves one match for each fur
 for each pair. Matches of a document with a reference are chained in order: a Fenwick
 tree of prefix maxima over reference positions finds the best predecessor under a
 linear gap cost. Chains are aligned word by word over both texts and extended at both
-ends; passages of at least 50 words and 80 % of equal words are reported.
+ends; of an alignment the longest stretches of at least 50 words and 80 % of equal words
+are reported, without what lies beyond their last equal words.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Null, empty and short texts have no
 passage; rows without doc_id are left out; rows that share a doc_id are one document,
@@ -119,34 +120,81 @@ def chains(p: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def follow(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int = MOST_GAP) -> tuple[int, int, int]:
-    """Align x[i:] with y[j:] from the start on: (end in x, end in y, equal words). Stops where no three words agree within slack."""
-    equal = 0
+def resume(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int) -> tuple[int, int] | None:
+    """The least step (in x, in y), at most slack in all, after which three words agree."""
+    u, v = x[i : i + slack + 3], y[j : j + slack + 3]
+    if len(u) < 3 or len(v) < 3:
+        return None
+    e = u[:, None] == v[None, :]
+    a, b = np.nonzero(e[:-2, :-2] & e[1:-1, 1:-1] & e[2:, 2:])
+    ok = a + b <= slack
+    if not ok.any():
+        return None
+    a, b = a[ok], b[ok]
+    best = np.lexsort((a, np.abs(a - b), a + b))[0]
+    return int(a[best]), int(b[best])
+
+
+def between(u: np.ndarray, v: np.ndarray) -> int:
+    """Equal words of two stretches if one has a single gap, at its best place."""
+    n = min(len(u), len(v))
+    left = np.concatenate([[0], np.cumsum(u[:n] == v[:n])])
+    right = np.concatenate([[0], np.cumsum(u[::-1][:n] == v[::-1][:n])])
+    return int((left + right[::-1]).max())
+
+
+Piece = tuple[int, int, int, int]
+
+
+def follow(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int = MOST_GAP) -> list[Piece]:
+    """Equal runs from x[i:], y[j:] on: (place in x, in y, words, equal words in the gap before). Ends where no three words agree within slack."""
+    out, gained = [], 0
     while True:
         n = min(len(x) - i, len(y) - j)
         differ = np.flatnonzero(x[i : i + n] != y[j : j + n])
-        step = int(differ[0]) if len(differ) else n
-        equal, i, j = equal + step, i + step, j + step
-        if not len(differ):
-            return i, j, equal
-        for s in range(1, slack + 1):
-            for a in sorted(range(s + 1), key=lambda a: abs(2 * a - s)):
-                b = s - a
-                if i + a + 3 <= len(x) and j + b + 3 <= len(y) and (x[i + a : i + a + 3] == y[j + b : j + b + 3]).all():
-                    break
-            else:
-                continue
-            break
-        else:
-            return i, j, equal
-        i, j = i + a, j + b
-
-
-def align(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int, int, int, int]:
-    """(first x, end x, first y, end y, equal words) around a seed at x[i], y[j]."""
-    e, f, n = follow(x, y, i, j)
-    a, b, m = follow(x[:i][::-1], y[:j][::-1], 0, 0)
-    return i - a, e, j - b, f, n + m
+        n = int(differ[0]) if len(differ) else n
+        out.append((i, j, n, gained))
+        i, j = i + n, j + n
+        step = resume(x, y, i, j, slack)
+        if step is None:
+            return out
+        gained = between(x[i : i + step[0]], y[j : j + step[1]])
+        i, j = i + step[0], j + step[1]
+
+
+def align(x: np.ndarray, y: np.ndarray, i: int, j: int) -> list[Piece]:
+    """The equal runs before and after a seed at x[i], y[j], in order."""
+    left, right = follow(x[:i][::-1], y[:j][::-1], 0, 0), follow(x, y, i, j)
+    gaps = [g for *_, g in left[1:]] + [0]
+    out = [(i - a - n, j - b - n, n, 0) for a, b, n, _ in left][::-1]
+    out = [(a, b, n, g) for (a, b, n, _), g in zip(out, [0, *gaps[:-1][::-1]])]
+    a, b, n, g = out.pop()
+    return [*out, (a, b, n + right[0][2], g), *right[1:]]
+
+
+def good(runs: list[Piece], least_words: int, least_identity: float) -> list[tuple[int, int, int, int, int]]:
+    """(first x, end x, first y, end y, equal words) of the longest stretch of runs that is long and equal enough, and of those left and right of it."""
+    a, b, n, g = (np.array(v, dtype=np.int64) for v in zip(*runs))
+    total, e, f = np.cumsum(n + g), a + n, b + n
+    out, todo = [], [(0, len(runs))]
+    while todo:
+        lo, hi = todo.pop()
+        best, at = 0, (0, 0)
+        for s in range(lo, hi):
+            if min(e[hi - 1] - a[s], f[hi - 1] - b[s]) <= max(best, least_words - 1):
+                break
+            wide, high = e[s:hi] - a[s], f[s:hi] - b[s]
+            size = np.minimum(wide, high)
+            same = total[s:hi] - total[s] + n[s]
+            ok = np.flatnonzero((size >= least_words) & (same / np.maximum(np.maximum(wide, high), 1) >= least_identity))
+            if len(ok) and size[ok].max() > best:
+                k = int(ok[np.argmax(size[ok])])
+                best, at = int(size[k]), (s, s + k)
+        if best:
+            s, k = at
+            out.append((int(a[s]), int(e[k]), int(b[s]), int(f[k]), int(total[k] - total[s] + n[s])))
+            todo += [(lo, s), (k + 1, hi)]
+    return out
 
 
 def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8, buckets: int | None = None) -> DataFrame:
@@ -258,15 +306,22 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         for batch in batches:
             out = []
             for d, r, starts, x, y in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                x, y, seen = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), []
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                seen: list[tuple] = []  # stretches that were accepted
+                tried = np.zeros((0, 4), dtype=np.int64)  # runs that alignments went through: another start there leads nowhere else
                 for s in starts:
-                    if s["p"] >= len(x) or s["q"] >= len(y) or any(a <= s["p"] < b and c <= s["q"] < e for a, b, c, e in seen):
+                    p, q = s["p"], s["q"]
+                    if p >= len(x) or q >= len(y) or any(a <= p < b and c <= q < e for a, b, c, e, _ in seen):
+                        continue
+                    if ((tried[:, 0] - tried[:, 1] == p - q) & (tried[:, 0] <= p) & (p < tried[:, 0] + tried[:, 2])).any():
                         continue
-                    a, b, c, e, n = align(x, y, s["p"], s["q"])
-                    seen.append((a, b, c, e))
-                    identity = n / max(b - a, e - c, 1)
-                    if min(b - a, e - c) >= least_words and identity >= least_identity:
-                        out.append((d, r, a, b, c, e, n, identity))
+                    runs = align(x, y, p, q)
+                    tried = np.concatenate([tried, np.array(runs, dtype=np.int64)])
+                    for g in good(runs, least_words, least_identity):
+                        if g not in seen:
+                            seen.append(g)
+                            a, b, c, e, n = g
+                            out.append((d, r, a, b, c, e, n, n / max(b - a, e - c)))
             columns = list(zip(*out)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.float64()])], names=["doc_id", "other_doc_id", "first_word", "end_word", "other_first_word", "other_end_word", "n_equal", "identity"])
 

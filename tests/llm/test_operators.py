@@ -379,6 +379,26 @@ def test_chains(spark, rows, docs, empty):
             assert a <= b and c <= d
 
 
+def copied(r, pair, edits=0, n=60, around=150):
+    """Two texts of words that no other pair has, frequent ones most of them, with n words in common but for some edits; and where these begin."""
+    weights = [1 / k**1.2 for k in range(1, 501)]
+    prose = lambda k: [f"{pair}w{v}" for v in r.choices(range(500), weights, k=k)]
+    shared = prose(n)
+    other = list(shared)
+    for k in r.sample(range(n), edits):
+        other[k] = f"{pair}new{k}"
+    return [" ".join(prose(around) + x + prose(around)) for x in (shared, other)]
+
+
+def test_passage_between_frequent_words(spark):
+    r = random.Random(4)
+    rows = [(2 * i + k, t) for i in range(60) for k, t in enumerate(copied(r, i))]
+    got = chain_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    caught = {x.doc_id for x in got if x.first_word <= 150 and x.end_word >= 210 and x.other_first_word <= 150 and x.other_end_word >= 210}
+    assert caught == {2 * i + 1 for i in range(60)}
+    assert all(x.identity >= 0.8 and x.end_word - x.first_word >= 50 for x in got)
+
+
 def brute_remove(rows, length=50):
     least = {}
     for d, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
