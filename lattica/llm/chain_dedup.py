@@ -1,6 +1,6 @@
 """Substring de-duplication by collinear chaining: fuzzy passages that documents share.
 
-Seeds are 5-word shingles, of every 12 neighbours the one of least hash, so that 16
+Seeds are 5-word shingles, of every 6 neighbours the one of least hash, so that 10
 equal words always share one. A seed's reference is the smallest document that has
 it (its k-th place there for the k-th here), which leaves one match for each further place and not one
 for each pair. Matches of a document with a reference are chained in order: a Fenwick
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import by_bucket, flat, joined, mix, partitions, shingles, stash, words
 from lattica.llm.suffix_dedup import least
 
-K, WINDOW = 5, 12
+K, WINDOW = 5, 6
 BROADCAST_IDS = 1 << 20
 GAP_COST, MOST_GAP = 0.1, 48
 SCHEMA = "doc_id long, other_doc_id long, first_word long, end_word long, other_first_word long, other_end_word long, n_equal long, identity double"
@@ -135,6 +135,17 @@ def resume(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int) -> tuple[in
     return int(a[best]), int(b[best])
 
 
+def ahead(x: np.ndarray, y: np.ndarray, i: int, j: int, most: int = 16) -> tuple[int, int] | None:
+    """The step to the next equal word in both alike, if half of some next words, two at least, are equal there."""
+    n = min(most, len(x) - i, len(y) - j)
+    e = x[i : i + n] == y[j : j + n]
+    same = np.cumsum(e)
+    if not ((same >= 2) & (2 * same > np.arange(n))).any():
+        return None
+    k = int(np.argmax(e))
+    return k, k
+
+
 def between(u: np.ndarray, v: np.ndarray) -> int:
     """Equal words of two stretches if one has a single gap, at its best place."""
     n = min(len(u), len(v))
@@ -147,7 +158,7 @@ Piece = tuple[int, int, int, int]
 
 
 def follow(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int = MOST_GAP) -> list[Piece]:
-    """Equal runs from x[i:], y[j:] on: (place in x, in y, words, equal words in the gap before). Ends where no three words agree within slack."""
+    """Equal runs from x[i:], y[j:] on: (place in x, in y, words, equal words in the gap before). Ends where few of the next words are equal and no three agree within slack."""
     out, gained = [], 0
     while True:
         n = min(len(x) - i, len(y) - j)
@@ -155,7 +166,7 @@ def follow(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int = MOST_GAP)
         n = int(differ[0]) if len(differ) else n
         out.append((i, j, n, gained))
         i, j = i + n, j + n
-        step = resume(x, y, i, j, slack)
+        step = ahead(x, y, i, j) or resume(x, y, i, j, slack)
         if step is None:
             return out
         gained = between(x[i : i + step[0]], y[j : j + step[1]])
@@ -277,10 +288,8 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         first = np.flatnonzero(new)
         out = []
         for a, b in zip(first, np.append(first[1:], len(d))):
-            for p0, p1, q0, q1 in chains(p[a:b], q[a:b]):
-                # winnowing leaves at most WINDOW-1 shingles before the first seed and after the last
-                if min(p1 - p0, q1 - q0) + K + 2 * (WINDOW - 1) >= least_words * least_identity:
-                    out.append((d[a], r[a], p0, q0))
+            # a chain may be one seed: edits can have removed all others of its passage
+            out += [(d[a], r[a], p0, q0) for p0, _, q0, _ in chains(p[a:b], q[a:b])]
         columns = list(zip(*out)) or [()] * 4
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "other", "p", "q"), columns)})
 

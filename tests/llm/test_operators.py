@@ -399,6 +399,18 @@ def test_passage_between_frequent_words(spark):
     assert all(x.identity >= 0.8 and x.end_word - x.first_word >= 50 for x in got)
 
 
+def test_fuzzy_passages(spark):
+    r = random.Random(6)
+    pairs = [(i, e) for e in (6, 9, 11) for i in range(e * 1000, e * 1000 + 100)]
+    rows = [(2 * i + k, t) for i, e in pairs for k, t in enumerate(copied(r, i, e))]
+    got = {x.doc_id for x in chain_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # of passages with 6, 9 and 11 of 60 words edited
+    for e, least in ((6, 0.99), (9, 0.97), (11, 0.93)):
+        share = sum(2 * i + 1 in got for i, x in pairs if x == e) / 100
+        print(e, share)
+        assert share >= least
+
+
 def brute_remove(rows, length=50):
     least = {}
     for d, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
