@@ -5,9 +5,12 @@ equal words always share one. A seed's reference is the smallest document that h
 it (its k-th place there for the k-th here), which leaves one match for each further place and not one
 for each pair. Matches of a document with a reference are chained in order: a Fenwick
 tree of prefix maxima over reference positions finds the best predecessor under a
-linear gap cost. Chains are aligned word by word over both texts and extended at both
+linear gap cost. A further place than the reference has is matched with its first. Chains are aligned word by word over both texts and extended at both
 ends; of an alignment the longest stretches of at least 50 words and 80 % of equal words
 are reported, without what lies beyond their last equal words.
+Where all seeds are known but no passage came out, as their references differ, all
+50-word windows are looked up by their own hash: every equal run of 50 words that a
+smaller document has lies in a reported passage.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Null, empty and short texts have no
 passage; rows without doc_id are left out; rows that share a doc_id are one document,
@@ -21,15 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import by_bucket, flat, joined, mix, partitions, shingles, stash, words
+from lattica.llm.common import Words, by_bucket, flat, joined, mix, partitions, powers, shingles, stash, words
 from lattica.llm.suffix_dedup import least
 
 K, WINDOW = 5, 6
-BROADCAST_IDS = 1 << 20
+#: Words of a text that are taken at both sides of a pair's starts, before all of it.
+NEAR = 96
+#: Bits of the map of windows asked for, at most; with more windows the map lets more others through.
+MOST_BITS = 1 << 28
 GAP_COST, MOST_GAP = 0.1, 48
 SCHEMA = "doc_id long, other_doc_id long, first_word long, end_word long, other_first_word long, other_end_word long, n_equal long, identity double"
 
@@ -208,21 +213,61 @@ def good(runs: list[Piece], least_words: int, least_identity: float) -> list[tup
     return out
 
 
+def packed(d: np.ndarray, p: np.ndarray) -> bytes:
+    return d.astype(np.int64).tobytes() + p.astype(np.int32).tobytes()
+
+
+def unpacked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(b) // 12
+    return np.frombuffer(b, np.int64, n), np.frombuffer(b, np.int32, n, 8 * n).astype(np.int64)
+
+
+def windows(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    if len(x) < n:
+        return np.zeros(0, np.uint64)
+    p, inverse = powers(len(x))
+    h = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mix(x.astype(np.uint64)) | np.uint64(1)) * p[: len(x)])])
+    return mix((h[n:] - h[:-n]) * inverse[: len(x) - n + 1])
+
+
+def spelt_words(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
+    """Of spelt texts, about `most` words at once: the rows [first, last), and their words without places in the text."""
+    blobs, first = column.to_pylist(), 0
+    while first < len(blobs):
+        last, n = first, 0
+        while last < len(blobs) and (last == first or n + len(blobs[last]) // 4 <= most):
+            n += len(blobs[last]) // 4
+            last += 1
+        none = np.zeros(0, np.int64)
+        yield first, last, Words(none, none, mix(np.frombuffer(b"".join(blobs[first:last]), np.uint32).astype(np.uint64)), np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs[first:last]])]).astype(np.int64))
+        first = last
+
+
 def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8, buckets: int | None = None) -> DataFrame:
     """Passages of a document that a smaller one has as well: doc_id, other_doc_id, where in both, equal words and identity."""
     buckets = buckets or 2 * partitions(docs.sparkSession)
     slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
+    if slim.count() > slim.select("doc_id").distinct().count():
+        slim = slim.groupBy("doc_id").agg(F.max("text").alias("text"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in flat(batch.column(1)):
+                w = words(t)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array([(w.hash[w.ptr[i] : w.ptr[i + 1]] >> np.uint64(32)).astype(np.uint32).tobytes() for i in range(len(t))], pa.binary())], names=["id", "spelt"])
+
+    spelt = stash(slim.mapInArrow(spell, "id long, spelt binary"), "chain-spelt")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             hs, ds, ps = [], [], []
-            for t in flat(batch.column(1)):
-                h, ptr = shingles(words(t), K)
+            for first, last, w in spelt_words(batch.column(1)):
+                h, ptr = shingles(w, K)
                 at, d = seeds(h, ptr)
                 hs.append(h[at])
-                ds.append(ids[d + t.first])
+                ds.append(ids[d + first])
                 ps.append(at - ptr[d])
             if not hs:
                 continue
@@ -233,51 +278,54 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
             turn = np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else p
+            plain = h
             h = np.where(turn > 0, mix(h + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
             by = np.lexsort((p, d, h))
-            h, d, p = h[by], d[by], p[by]
-            order, cut = by_bucket(h, buckets)
-            rows: list[list] = [[], [], [], [], [], []]
+            h, d, p, turn, plain = h[by], d[by], p[by], turn[by], plain[by]
+            # all turns of a seed are in one bucket: where a turn has no smaller document, the first turn's stands in
+            order, cut = by_bucket(plain, buckets)
+            rows: list[list] = [[], [], [], []]
             for b in np.flatnonzero(np.diff(cut)):
                 x = order[cut[b] : cut[b + 1]]
                 new = np.ones(len(x), dtype=bool)
                 new[1:] = h[x[1:]] != h[x[:-1]]
-                first = x[new]
-                for o, v in zip(rows, (int(b), number, h[first].tobytes(), np.stack([d[first], p[first]]).tobytes(), (np.cumsum(new) - 1).astype(np.int32).tobytes(), np.stack([d[x], p[x]]).tobytes())):
+                keys, more = h[x[new]], np.flatnonzero(turn[x] > 0)
+                plain_key = np.searchsorted(keys, plain[x[more]])
+                for o, v in zip(rows, (int(b), keys.tobytes(), np.append(np.diff(np.flatnonzero(np.append(new, True))), [*more, *plain_key]).astype(np.int32).tobytes(), packed(d[x], p[x]))):
                     o.append(v)
-            number += 1
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[2:]]], names=["bucket", "batch", "keys", "heads", "seed", "places"])
-
-    told = stash(slim.mapInArrow(tell, "bucket int, batch long, keys binary, heads binary, seed binary, places binary"), "chain-told")
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "keys", "seed", "places"])
 
-    def elect(_: tuple, rows: pa.Table) -> pa.Table:
+    def match(_: tuple, rows: pa.Table) -> pa.Table:
         size = [len(x) // 8 for x in rows["keys"].to_pylist()]
-        k = joined(rows["keys"], np.uint64)
-        d, p = (np.concatenate(x) for x in zip(*[np.frombuffer(m, np.int64).reshape(2, -1) for m in rows["heads"].to_pylist()]))
+        k, cut = joined(rows["keys"], np.uint64), np.concatenate([[0], np.cumsum(size)])
+        seed, places = [np.frombuffer(x, np.int32) for x in rows["seed"].to_pylist()], [unpacked(x) for x in rows["places"].to_pylist()]
+        heads = [np.cumsum(x[:n]) - x[:n] for x, n in zip(seed, size)]
+        d, p = (np.concatenate([x[i][at] for x, at in zip(places, heads)]) for i in (0, 1))
         by = np.lexsort((p, d, k))
         new = np.ones(len(k), dtype=bool)
         new[1:] = k[by][1:] != k[by][:-1]
         head = np.empty(len(k), dtype=np.int64)
         head[by] = by[new][np.cumsum(new) - 1]
-        cut = np.concatenate([[0], np.cumsum(size)])
-        return pa.table({"bucket": rows["bucket"], "batch": rows["batch"], "elected": pa.array([np.stack([d[x], p[x]]).tobytes() for x in (head[cut[i] : cut[i + 1]] for i in range(len(size)))], pa.binary())})
-
-    elected = told.select("bucket", "batch", "keys", "heads").groupBy("bucket").applyInArrow(elect, "bucket int, batch long, elected binary")
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for seed, places, e in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                s, (d, p), (r, q) = np.frombuffer(seed, np.int32), np.frombuffer(places, np.int64).reshape(2, -1), np.frombuffer(e, np.int64).reshape(2, -1)
-                ok = r[s] < d
-                found.append(np.stack([d[ok], r[s][ok], p[ok], q[s][ok]]))
-            if found:
-                x = np.concatenate(found, axis=1)
-                order, cut = by_bucket(x[0].view(np.uint64), buckets)
-                some = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([np.ascontiguousarray(x[:, order[cut[b] : cut[b + 1]]]).tobytes() for b in some], pa.binary())], names=["part", "matches"])
-
-    matched = told.select("bucket", "batch", "seed", "places").join(elected, ["bucket", "batch"]).select("seed", "places", "elected").mapInArrow(match, "part int, matches binary")
+        found = []
+        for i, (x, (e, f)) in enumerate(zip(seed, places)):
+            r, q = d[head[cut[i] : cut[i + 1]]], p[head[cut[i] : cut[i + 1]]]
+            s = np.repeat(np.arange(len(r)), x[: len(r)])
+            more, plain_key = x[len(r) :].reshape(2, -1)
+            alone = r[s[more]] >= e[more]
+            s[more[alone]] = plain_key[alone]
+            ok = r[s] < e
+            found.append(np.stack([e[ok], r[s][ok], f[ok], q[s][ok]]))
+        return dealt(np.concatenate(found, axis=1))
+
+    def dealt(x: np.ndarray) -> pa.Table:
+        """Matches (doc_id, other, p, q), a blob for each bucket of doc_id."""
+        order, cut = by_bucket(x[0].view(np.uint64), buckets)
+        some = np.flatnonzero(np.diff(cut))
+        return pa.table({"part": pa.array(some.astype(np.int32)), "matches": pa.array([np.ascontiguousarray(x[:, order[cut[b] : cut[b + 1]]]).tobytes() for b in some], pa.binary())})
+
+    told = spelt.mapInArrow(tell, "bucket int, keys binary, seed binary, places binary")
+    matched = told.groupBy("bucket").applyInArrow(match, "part int, matches binary")
+    least_span = least_words - K + 1 - 2 * (WINDOW - 1) - 1  # from the first to the last seed of an equal run of least_words
 
     def chain(_: tuple, rows: pa.Table) -> pa.Table:
         d, r, p, q = np.concatenate([np.frombuffer(m, np.int64).reshape(4, -1) for m in rows["matches"].to_pylist()], axis=1)
@@ -290,48 +338,157 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         for a, b in zip(first, np.append(first[1:], len(d))):
             # a chain may be one seed: edits can have removed all others of its passage
             out += [(d[a], r[a], p0, q0) for p0, _, q0, _ in chains(p[a:b], q[a:b])]
+        # where all seeds are known from smaller documents, an equal run can lie, whichever these are: other is null, p and q its first and last seed
+        by = np.lexsort((p, d))
+        d, p = d[by], p[by]
+        new = np.ones(len(d), dtype=bool)
+        new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > WINDOW)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(d)) - 1
+        ok = p[b] - p[a] >= least_span
+        out += [(x, None, y, z) for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
         columns = list(zip(*out)) or [()] * 4
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "other", "p", "q"), columns)})
 
-    found = stash(matched.groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long"), "chain-found")
-    ids = found.select(F.col("doc_id").alias("want")).unionAll(found.select(F.col("other").alias("want"))).distinct()
-    ids = stash(ids, "chain-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    held = slim.join(ids, F.col("doc_id") == F.col("want"), "left_semi")
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in flat(batch.column(1)):
-                w = words(t)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array([(w.hash[w.ptr[i] : w.ptr[i + 1]] >> np.uint64(32)).astype(np.uint32).tobytes() for i in range(len(t))], pa.binary())], names=["id", "spelt"])
-
-    spelt = stash(held.mapInArrow(spell, "id long, spelt binary").groupBy("id").agg(F.max("spelt").alias("spelt")), "chain-spelt")
-    both = found.groupBy("doc_id", "other").agg(F.collect_list(F.struct("p", "q")).alias("starts"))
-    both = both.join(spelt.withColumnRenamed("spelt", "x"), F.col("doc_id") == F.col("id")).drop("id")
-    both = both.join(spelt.withColumnRenamed("spelt", "y"), F.col("other") == F.col("id")).drop("id")
-
+    starts = stash(matched.groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long"), "chain-found")
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, r, starts, x, y in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            for d, r, starts, x, low, after, y in zip(*[batch.column(i).to_pylist() for i in range(7)]):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                own: list[tuple] | None = []
                 seen: list[tuple] = []  # stretches that were accepted
                 tried = np.zeros((0, 4), dtype=np.int64)  # runs that alignments went through: another start there leads nowhere else
                 for s in starts:
-                    p, q = s["p"], s["q"]
-                    if p >= len(x) or q >= len(y) or any(a <= p < b and c <= q < e for a, b, c, e, _ in seen):
+                    p, q, size = s["p"] - low, s["q"], s["size"]
+                    if any(a <= p and p + size <= b and c <= q < e for a, b, c, e, _ in seen):
                         continue
                     if ((tried[:, 0] - tried[:, 1] == p - q) & (tried[:, 0] <= p) & (p < tried[:, 0] + tried[:, 2])).any():
                         continue
                     runs = align(x, y, p, q)
+                    # what lies beyond the excerpt could have a say
+                    if (low and runs[0][0] < MOST_GAP + 3) or (after and len(x) - runs[-1][0] - runs[-1][2] < MOST_GAP + 3):
+                        own = None
+                        break
                     tried = np.concatenate([tried, np.array(runs, dtype=np.int64)])
                     for g in good(runs, least_words, least_identity):
                         if g not in seen:
                             seen.append(g)
                             a, b, c, e, n = g
-                            out.append((d, r, a, b, c, e, n, n / max(b - a, e - c)))
+                            own.append((d, r, a + low, b + low, c, e, n, n / max(b - a, e - c)))
+                out += [(d, r, *[None] * 6)] if own is None else own
             columns = list(zip(*out)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.float64()])], names=["doc_id", "other_doc_id", "first_word", "end_word", "other_first_word", "other_end_word", "n_equal", "identity"])
 
-    return both.select("doc_id", "other", "starts", "x", "y").mapInArrow(aligned, SCHEMA)
+    def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, low, after = [], [], []
+            for starts, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b = max(min(s["p"] for s in starts) - NEAR, 0), max(s["p"] + s["size"] for s in starts) + NEAR
+                x.append(t[4 * a : 4 * b])
+                low.append(a)
+                after.append(max(len(t) // 4 - b, 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.binary()), pa.array(low, pa.int64()), pa.array(after, pa.int64())], names=["doc_id", "other", "starts", "x", "low", "after"])
+
+    def passed(pairs: DataFrame, name: str) -> DataFrame:
+        """Passages of pairs (doc_id, other, starts): from excerpts of the one text, or from all of it if an alignment reaches an excerpt's end."""
+        cut = "doc_id long, other long, starts array<struct<p:long,q:long,size:long>>, x binary, low long, after long"
+
+        def against(pairs: DataFrame, whole: bool) -> DataFrame:
+            both = pairs.join(spelt.withColumnRenamed("spelt", "x"), F.col("doc_id") == F.col("id")).select("doc_id", "other", "starts", "x")
+            both = both.withColumns({"low": F.lit(0).cast("bigint"), "after": F.lit(0).cast("bigint")}) if whole else both.mapInArrow(excerpts, cut)
+            both = both.join(spelt.withColumnRenamed("spelt", "y"), F.col("other") == F.col("id"))
+            return both.select("doc_id", "other", "starts", "x", "low", "after", "y").mapInArrow(aligned, SCHEMA)
+
+        near = stash(against(pairs, False), f"chain-{name}-near")
+        wide = near.where("n_equal is null").select("doc_id", F.col("other_doc_id").alias("other"))
+        return near.where("n_equal is not null").unionAll(against(pairs.join(wide, ["doc_id", "other"], "left_semi"), True))
+
+    def paired(found: DataFrame) -> DataFrame:
+        return found.groupBy("doc_id", "other").agg(F.collect_list(F.struct("p", "q", F.col("size").cast("bigint").alias("size"))).alias("starts"))
+
+    first = stash(passed(paired(starts.where("other is not null").withColumn("size", F.lit(1))), "first"), "chain-first")
+
+    # equal runs that seeds did not lead to: their windows of least_words are elected themselves
+    spans = starts.where("other is null").groupBy("doc_id").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
+    done = first.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "end_word")).alias("done"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans, done, x in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                h = windows(np.frombuffer(x, np.uint32), least_words)
+                want = np.zeros(len(h), dtype=bool)
+                for v in spans:
+                    want[max(v["p"] - WINDOW + 1, 0) : max(v["q"] - (least_words - K + 1 - WINDOW) + 1, 0)] = True
+                for v in done or []:
+                    want[v["first_word"] : v["end_word"] - least_words + 1] = False
+                if want.any():
+                    out.append(h[want])
+            yield pa.RecordBatch.from_arrays([pa.array([len(h) for h in out], pa.int64()), pa.array([h.tobytes() for h in out], pa.binary())], names=["n", "asked"])
+
+    asks = spans.join(done, "doc_id", "left").join(spelt, F.col("doc_id") == F.col("id")).select("spans", "done", "spelt").mapInArrow(ask, "n long, asked binary")
+    asks = stash(asks, "chain-asks")
+    n = asks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not n:
+        return first
+    bits = min(max(16 * n, 1 << 16), MOST_BITS).bit_length() - 1
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            held[joined(pa.chunked_array([batch.column(0)]), np.uint64) >> np.uint64(64 - bits)] = True
+        parts = np.packbits(held).reshape(-1, 1 << 10)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["at", "bits"])
+
+    def unite(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"].to_pylist()]).tobytes()], pa.binary())})
+
+    told_bits = np.zeros((1 << bits >> 13, 1 << 10), dtype=np.uint8)
+    for r in asks.select("asked").mapInArrow(mark, "at int, bits binary").groupBy("at").applyInArrow(unite, "at int, bits binary").toLocalIterator():
+        told_bits[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(told_bits.reshape(-1))
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, ds, ps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = windows(np.frombuffer(x, np.uint32), least_words)
+                i = h >> np.uint64(64 - bits)
+                p = np.flatnonzero(sent.value[i >> np.uint64(3)] & (np.uint8(128) >> (i & np.uint64(7)).astype(np.uint8)))
+                hs.append(h[p])
+                ds.append(np.full(len(p), d))
+                ps.append(p)
+            h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
+            order, cut = by_bucket(h, buckets)
+            some = np.flatnonzero(np.diff(cut))
+            blobs = [order[cut[b] : cut[b + 1]] for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([h[x].tobytes() for x in blobs], pa.binary()), pa.array([packed(d[x], p[x]) for x in blobs], pa.binary())], names=["bucket", "keys", "places"])
+
+    def settle(_: tuple, rows: pa.Table) -> pa.Table:
+        h = joined(rows["keys"], np.uint64)
+        d, p = (np.concatenate(x) for x in zip(*[unpacked(m) for m in rows["places"].to_pylist()]))
+        by = np.lexsort((p, d, h))
+        h, d, p = h[by], d[by], p[by]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        ok = d[head] < d
+        return dealt(np.stack([d[ok], d[head][ok], p[ok], p[head][ok]]))
+
+    def merge(_: tuple, rows: pa.Table) -> pa.Table:
+        d, r, p, q = np.concatenate([np.frombuffer(m, np.int64).reshape(4, -1) for m in rows["matches"].to_pylist()], axis=1)
+        by = np.lexsort((p, p - q, r, d))
+        d, r, p, q = d[by], r[by], p[by], q[by]
+        new = np.ones(len(d), dtype=bool)
+        new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
+        a = np.flatnonzero(new)
+        size = np.diff(np.append(a, len(d))) - 1 + least_words
+        return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("doc_id", "other", "p", "q", "size"), (d[a], r[a], p[a], q[a], size))})
+
+    runs = spelt.mapInArrow(offer, "bucket int, keys binary, places binary").groupBy("bucket").applyInArrow(settle, "part int, matches binary").groupBy("part").applyInArrow(merge, "doc_id long, other long, p long, q long, size long")
+    # runs that lie in a passage of the first round are done
+    runs = runs.join(done, "doc_id", "left").where("not exists(coalesce(done, array()), v -> v.first_word <= p and p + size <= v.end_word)").drop("done")
+    second = passed(stash(paired(runs), "chain-runs"), "second")
+    return first.unionAll(second).distinct()

@@ -411,6 +411,27 @@ def test_fuzzy_passages(spark):
         assert share >= least
 
 
+def test_every_equal_run_is_covered(spark):
+    r = random.Random(9)
+    prose = lambda k: [f"w{v}" for v in r.choices(range(5000), k=k)]
+    once, lines = prose(60), [prose(20) for _ in range(3)]
+    texts = [prose(90) + once + prose(90), prose(40) + (once + prose(50)) * 3]  # further copies in the later text
+    texts += [prose(80) + x + prose(80) for x in lines]  # each line of a shared passage in a smaller text of its own
+    texts += [prose(70) + sum(lines, []) + prose(70), prose(30) + sum(lines, []) + prose(99)]
+    texts += [prose(9) + ["again"] * 120, prose(5) + ["again"] * 300 + prose(9)]
+    got = chain_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    smaller, runs = set(), 0
+    for d, t in enumerate(texts):
+        own = [tuple(t[i : i + 50]) for i in range(len(t) - 49)]
+        for i, x in enumerate(own):
+            if x in smaller:
+                runs += 1
+                assert any(g.doc_id == d and g.first_word <= i and i + 50 <= g.end_word for g in got), (d, i)
+        smaller.update(own)
+    assert runs > 250
+    assert all(texts[g.doc_id][g.first_word] == texts[g.other_doc_id][g.other_first_word] for g in got)
+
+
 def brute_remove(rows, length=50):
     least = {}
     for d, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
