@@ -1,14 +1,14 @@
 """LM scoring: prediction by partial matching, pretrained on part of the corpus.
 
-The trie holds byte contexts up to order 3 with the counts of what followed them, of
+The trie holds byte contexts up to a given order (2 to 6) with the counts of what followed them, of
 all training texts. A symbol's probability is that of method C: its count over total
 plus distinct, else the escape estimate times the next shorter context, in which all
 symbols of the longer are excluded; last comes a uniform order. As the trie is frozen
 while scoring, these sums are resolved once for every context. Beside it stands an
 add-one word model of exact counts.
 
-Counts of words and of 4-byte strings are summed by hash bucket, without a limit; a
-bucket has all strings of a 2-byte context, so it resolves orders 3 and 2 alone, and
+Counts of words and of strings of order + 1 bytes are summed by hash bucket, without a limit;
+a bucket has all strings of a 2-byte context, so it resolves orders 2 and up alone, and
 orders 1 and 0 (65536 counts at most) are told to all. Words at or above a count that
 at most `most_words` reach, and resolved contexts that at most `most_contexts` reach,
 are broadcast; all others are looked up bucket by bucket, with the same result.
@@ -20,7 +20,6 @@ table gives no rows. Words are told apart by a 64-bit hash.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,15 +36,17 @@ _LOWER[65:91] += 32
 BINS = 40
 #: Bytes of text that are taken at once: each needs some 100 bytes of memory.
 PIECE = 1 << 19
+#: Rows whose rare words and strings are gathered at once.
+ROWS = 2500
 
 
-def framed(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased texts, each behind three PAD and before one END; and where the symbols to predict begin and end (offsets a document)."""
+def framed(t: Texts, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased texts, each behind `order` PAD and before one END; and where the symbols to predict begin and end (offsets a document)."""
     size = np.diff(t.at)
-    at = np.concatenate([[0], np.cumsum(size + 4)])
+    at = np.concatenate([[0], np.cumsum(size + order + 1)])
     out = np.full(at[-1], PAD, dtype=np.uint8)
     body = np.ones(at[-1], dtype=bool)
-    for k in range(3):
+    for k in range(order):
         body[at[:-1] + k] = False
     body[at[1:] - 1] = False
     out[body] = _LOWER[t.buf]
@@ -53,17 +54,23 @@ def framed(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def codes(b: np.ndarray, at: np.ndarray, docs: np.ndarray | None = None) -> np.ndarray:
-    """The 4-byte strings that end at each predicted symbol, as numbers; of some documents only if docs (a mask) says so."""
-    c = b.astype(np.uint32)
-    all4 = (c[:-3] << 24) | (c[1:-2] << 16) | (c[2:-1] << 8) | c[3:]
-    ok = np.ones(len(all4), dtype=bool)
-    for k in range(3):  # strings that reach over a document's start
-        inner = at[1:-1] - 3 + k
+def strings(b: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of order + 1 bytes at each place, as numbers, and which do not reach over a document's start."""
+    n = max(len(b) - order, 0)
+    code = np.zeros(n, dtype=np.uint64)
+    for k in range(order + 1):
+        code = (code << np.uint64(8)) | b[k : k + n]
+    ok = np.ones(n, dtype=bool)
+    for k in range(order):
+        inner = at[1:-1] - order + k
         ok[inner[inner >= 0]] = False
-    if docs is not None:
-        ok &= np.repeat(docs, np.diff(at))[3:]
-    return all4[ok]
+    return code, ok
+
+
+def codes(b: np.ndarray, at: np.ndarray, order: int, docs: np.ndarray) -> np.ndarray:
+    """The strings that end at each predicted symbol of the documents that docs (a mask) names."""
+    code, ok = strings(b, at, order)
+    return code[ok & np.repeat(docs, np.diff(at))[order:]]
 
 
 Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -77,19 +84,19 @@ def level(code: np.ndarray, count: np.ndarray, order: int) -> Level:
     return ctx, np.append(first, len(u)), u & 255, n
 
 
-def levels(code: np.ndarray, count: np.ndarray, low: list[Level]) -> list[Level]:
-    """Orders 3 and 2 of a bucket's strings before the lower orders."""
-    return [level(code, count, 3), level(code, count, 2), *low]
+def levels(code: np.ndarray, count: np.ndarray, low: list[Level], order: int) -> list[Level]:
+    """The orders of a bucket's strings down to 2, before the lower orders."""
+    return [*(level(code, count, k) for k in range(order, 1, -1)), *low]
 
 
 def resolve(contexts: np.ndarray, levels: list[Level]) -> Iterator[np.ndarray]:
-    """log10 probabilities of all 256 symbols after each 3-byte context, in runs of 2048 contexts; levels: orders 3 to 0."""
+    """log10 probabilities of all 256 symbols after each context, in runs of 2048 contexts; levels: from the highest order to 0."""
     for first in range(0, len(contexts), 2048):
         part = contexts[first : first + 2048].astype(np.int64)
         p = np.zeros((len(part), 256))
         free = np.ones((len(part), 256), dtype=bool)
         left = np.ones(len(part))
-        for order, (ctx, ptr, sym, n) in zip((3, 2, 1, 0), levels):
+        for order, (ctx, ptr, sym, n) in zip(range(len(levels) - 1, -1, -1), levels):
             if not len(ctx):
                 continue
             own = part & ((1 << (8 * order)) - 1)
@@ -110,32 +117,24 @@ def resolve(contexts: np.ndarray, levels: list[Level]) -> Iterator[np.ndarray]:
         yield np.log10(np.maximum(p, 1e-30)).astype(np.float32)
 
 
-def log_probability(logp: np.ndarray, table: np.ndarray, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text the log10 probability of its symbols whose context has a row in table; the 4-byte strings at the others, and the text of each."""
-    b, at = framed(t)
-    c = b.astype(np.int32)
-    row = table[(c[:-3] << 16) | (c[1:-2] << 8) | c[2:-1]]
-    own = np.ones(len(row), dtype=bool)  # not the strings that reach over a text's start
-    for k in range(3):
-        inner = at[1:-1] - 3 + k
-        own[inner[inner >= 0]] = False
-    known = own & (row >= 0)
+def log_probability(logp: np.ndarray, contexts: np.ndarray, place: np.ndarray, t: Texts, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the log10 probability of its symbols whose context is among the sorted contexts (with their rows in logp); the strings at the others, and the text of each."""
+    b, at = framed(t, order)
+    code, own = strings(b, at, order)
+    i = np.flatnonzero(own)
+    row = lookup(contexts, place + 1, (code[i] >> np.uint64(8)).astype(np.int64)) - 1
+    known = row >= 0
     each = np.zeros(len(b))
-    each[3:][known] = logp.reshape(-1)[row[known].astype(np.int64) * 256 + c[3:][known]]
-    at_rare = np.flatnonzero(own & (row < 0))
-    x = b.astype(np.uint64)
-    code = (x[at_rare] << 24) | (x[at_rare + 1] << 16) | (x[at_rare + 2] << 8) | x[at_rare + 3]
-    return segment_sum(each, at), code, np.searchsorted(at, at_rare + 3, "right") - 1
+    each[order:][i[known]] = logp.reshape(-1)[row[known] * 256 + (code[i[known]] & np.uint64(255)).astype(np.int64)]
+    rare = i[~known]
+    return segment_sum(each, at), code[rare], np.searchsorted(at, rare + order, "right") - 1
 
 
 def string_buckets(code: np.ndarray) -> np.ndarray:
-    """What the bucket of a 4-byte string depends on: its 2-byte context."""
+    """What the bucket of a string depends on: its 2-byte context."""
     return mix((code >> np.uint64(8)) & np.uint64(0xFFFF))
 
 
-_tables: dict[str, np.ndarray] = {}
-
-
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, inv = np.unique(keys, return_inverse=True)
     return u, np.bincount(inv, weights=counts, minlength=len(u)).astype(np.int64)
@@ -144,8 +143,8 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 COUNTS = "bucket int, kind int, keys binary, counts binary, n long, total long, bins array<long>"
 
 
-def gather(docs: DataFrame, train: str, buckets: int) -> DataFrame:
-    """Counts of the words (kind 0) and 4-byte strings (kind 1) of training texts, summed, a row for each bucket and kind; bins: how many words or contexts have a count from each power of two."""
+def gather(docs: DataFrame, train: str, buckets: int, order: int) -> DataFrame:
+    """Counts of the words (kind 0) and strings (kind 1) of training texts, summed, a row for each bucket and kind; bins: how many words or contexts have a count from each power of two."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,15 +154,17 @@ def gather(docs: DataFrame, train: str, buckets: int) -> DataFrame:
                 use = mask[t.first : t.last]
                 w = words(t)
                 found[0].append(np.unique(w.hash[np.repeat(use, np.diff(w.ptr))], return_counts=True))
-                found[1].append(np.unique(codes(*framed(t), use), return_counts=True))
+                found[1].append(np.unique(codes(*framed(t, order), order, use), return_counts=True))
+                if sum(len(x[0]) for x in found[1][1:]) > max(len(found[1][0][0]), 1 << 18):
+                    found[1] = [_merged(*(np.concatenate(x) for x in zip(*found[1])))]
             rows: list[list] = [[], [], [], []]
             for kind, dtype in ((0, np.uint64), (1, np.uint64)):
                 if not found[kind]:
                     continue
                 k, n = _merged(np.concatenate([x[0] for x in found[kind]]).astype(dtype), np.concatenate([x[1] for x in found[kind]]))
-                order, cut = by_bucket(string_buckets(k) if kind else k, buckets)
+                by, cut = by_bucket(string_buckets(k) if kind else k, buckets)
                 for b in np.flatnonzero(np.diff(cut)):
-                    part = order[cut[b] : cut[b + 1]]
+                    part = by[cut[b] : cut[b + 1]]
                     for o, x in zip(rows, (int(b), kind, k[part].tobytes(), n[part].astype(np.uint32).tobytes())):
                         o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["bucket", "kind", "keys", "counts"])
@@ -220,17 +221,19 @@ def low_orders(counts: DataFrame) -> list[Level]:
     return [level(code, n, 1), level(code, n, 0)]
 
 
-def frequent_contexts(counts: DataFrame, low: list[Level], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The 3-byte contexts that are broadcast, and their resolved rows."""
+def frequent_contexts(counts: DataFrame, low: list[Level], most: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts that are broadcast, sorted, where the row of each is, and the resolved rows."""
     least = _least(counts, 1, most)
 
     def pick(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ctx, total = _merged(code >> np.uint64(8), n)
         ctx = ctx[total >= least].astype(np.int64)
-        return ctx, np.concatenate([np.zeros((0, 256), np.float32), *resolve(ctx, levels(code, n, low))])
+        return ctx, np.concatenate([np.zeros((0, 256), np.float32), *resolve(ctx, levels(code, n, low, order))])
 
     got = _picked(counts, 1, pick)
-    return joined(got["x"], np.int64), joined(got["y"], np.float32).reshape(-1, 256)
+    contexts = joined(got["x"], np.int64)
+    place = np.argsort(contexts)
+    return contexts[place], place, joined(got["y"], np.float32).reshape(-1, 256)
 
 
 def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -241,39 +244,36 @@ def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
     return np.where(keys[i] == wanted, values[i], 0)
 
 
-def _answers(kind: int, wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray, low: list[Level]) -> np.ndarray:
-    """Of a bucket: counts of the wanted words, or log10 probabilities of the wanted 4-byte strings."""
+def _answers(kind: int, wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray, low: list[Level], order: int) -> np.ndarray:
+    """Of a bucket: counts of the wanted words, or log10 probabilities of the wanted strings."""
     if kind == 0:
         return lookup(keys, counts, wanted)
     u, back = np.unique(wanted, return_inverse=True)
     ctx, of = np.unique(u >> np.uint64(8), return_inverse=True)
     out, symbol = np.zeros(len(u)), (u & np.uint64(255)).astype(np.int64)
-    for i, p in enumerate(resolve(ctx, levels(keys, counts, low))):
+    for i, p in enumerate(resolve(ctx, levels(keys, counts, low, order))):
         here = np.flatnonzero((of >= 2048 * i) & (of < 2048 * (i + 1)))
         out[here] = p[of[here] - 2048 * i, symbol[here]]
     return out[back]
 
 
-def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2", most_words: int = 1 << 19, most_contexts: int = 1 << 16, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2", most_words: int = 1 << 19, most_contexts: int = 1 << 16, buckets: int | None = None, order: int = 3) -> DataFrame:
     """Per row of docs (doc_id, text): the token counts and base_score of the word model, and score, the trie's log10 probability."""
     spark = docs.sparkSession
     buckets = buckets or 2 * partitions(spark)
-    counts = gather(docs, train, buckets)
+    if not 2 <= order <= 6:
+        raise ValueError("order is 2 to 6")
+    counts = gather(docs, train, buckets, order)
     n_docs = docs.where(f"coalesce({train}, false)").count()
     known = counts.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n, v = known[0] + n_docs, known[1] + (n_docs > 0)
     low = low_orders(counts)
-    sent = spark.sparkContext.broadcast((*frequent_words(counts, most_words), *frequent_contexts(counts, low, most_contexts)))
-    name = uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast((*frequent_words(counts, most_words), *frequent_contexts(counts, low, most_contexts, order)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, contexts, logp = sent.value
-        if name not in _tables:
-            _tables.clear()
-            _tables[name] = np.full(1 << 24, -1, dtype=np.int32)
-            _tables[name][contexts] = np.arange(len(contexts))
-        table, row = _tables[name], TaskContext.get().partitionId() << 33
-        for batch in batches:
+        keys, values, contexts, place, logp = sent.value
+        row = TaskContext.get().partitionId() << 33
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             first = row
             parts: list[tuple] = []
             rare: tuple[list, list] = ([], [])
@@ -283,7 +283,7 @@ def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2"
                 doc = np.repeat(np.arange(len(t)), np.diff(w.ptr)) + row
                 unsure = c == 0
                 base = segment_sum(np.log10(c + 1.0), w.ptr) + np.log10(n_docs + 1.0)
-                p, code, of = log_probability(logp, table, t)
+                p, code, of = log_probability(logp, contexts, place, t, order)
                 rare[0].append((w.hash[unsure], doc[unsure]))
                 rare[1].append((code, of + row))
                 parts.append((np.diff(w.ptr) + 1, segment_sum((c > 0).astype(np.int64), w.ptr) + (n_docs > 0), base, p))
@@ -294,9 +294,9 @@ def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2"
             asks: list[list] = [[], [], [], []]
             for kind in (0, 1):
                 h, d = (np.concatenate(x) for x in zip(*rare[kind]))
-                order, cut = by_bucket(string_buckets(h) if kind else h, buckets)
+                by, cut = by_bucket(string_buckets(h) if kind else h, buckets)
                 for b in np.flatnonzero(np.diff(cut)):
-                    x = order[cut[b] : cut[b + 1]]
+                    x = by[cut[b] : cut[b + 1]]
                     for o, y in zip(asks, (int(b), kind, h[x].tobytes(), d[x].tobytes())):
                         o.append(y)
             m, k = len(tokens), len(asks[0])
@@ -317,15 +317,15 @@ def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2"
             return pa.table({c: pa.array([], t) for c, t in zip(("part", "rows", "base", "score", "found"), (pa.int32(), *[pa.binary()] * 4))})
         kind = key[1].as_py()
         h, d = joined(asked["asked"], np.uint64), joined(asked["rows"], np.int64)
-        got = _answers(kind, h, joined(counted["keys"], np.uint64), joined(counted["counts"], np.int64), low)
+        got = _answers(kind, h, joined(counted["keys"], np.uint64), joined(counted["counts"], np.int64), low, order)
         if kind == 0:
             d, got = d[got > 0], np.log10(got[got > 0] + 1.0)
         u, inv = np.unique(d, return_inverse=True)
         more, nothing = np.bincount(inv, weights=got, minlength=len(u)), np.zeros(len(u))
         base, p, found = (nothing, more, nothing) if kind else (more, nothing, np.bincount(inv, minlength=len(u)).astype(float))
-        order, cut = by_bucket(u.astype(np.uint64), buckets)
+        by, cut = by_bucket(u.astype(np.uint64), max(buckets // 2, 1))
         some = np.flatnonzero(np.diff(cut))
-        blobs = [order[cut[b] : cut[b + 1]] for b in some]
+        blobs = [by[cut[b] : cut[b + 1]] for b in some]
         return pa.table({"part": pa.array(some.astype(np.int32)), **{c: pa.array([y[x].tobytes() for x in blobs], pa.binary()) for c, y in (("rows", u), ("base", base), ("score", p), ("found", found))}})
 
     def summed(key: tuple, rows: pa.Table) -> pa.Table:

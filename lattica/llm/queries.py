@@ -42,7 +42,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(table(spark, sf_dir, "documents"))
+    return ppm.score(table(spark, sf_dir, "documents"), order=5)
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

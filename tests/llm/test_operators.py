@@ -335,6 +335,38 @@ def test_ppm(spark, docs, rows, empty):
     assert ppm.score(empty).count() == 0
 
 
+def test_ppm_of_higher_order(spark, docs, rows):
+    learn = [(r[1] or "").translate(LOWER).encode() for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    text = {r[0]: (r[1] or "").translate(LOWER).encode() for r in rows if len(r[1] or "") < 3000}
+    counts = defaultdict(Counter)
+    for b in (bytes([254] * 5) + t + bytes([255]) for t in learn):
+        for i in range(5, len(b)):
+            for k in range(6):
+                counts[b[i - k : i]][b[i]] += 1
+
+    def brute(t):
+        b, total = bytes([254] * 5) + t + bytes([255]), 0.0
+        for i in range(5, len(b)):
+            p, gone = 1.0, set()
+            for k in range(5, -1, -1):
+                c = {s: n for s, n in counts[b[i - k : i]].items() if s not in gone}
+                whole = sum(c.values()) + len(c)
+                if b[i] in c:
+                    p *= c[b[i]] / whole
+                    break
+                p *= len(c) / whole if c else 1
+                gone |= set(c)
+            else:
+                p /= 255 - len(gone)
+            total += math.log10(p)
+        return total
+
+    for most in (1 << 19, 50):
+        got = {x.doc_id: x.score for x in ppm.score(docs, most_contexts=most, order=5).collect()}
+        for d in (0, 3, 16, 61, 63):
+            assert abs(got[d] - brute(text[d])) < 1e-3 * max(1, abs(got[d]))
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{'é' * (i % 7)}{i}</p>" if i % 11 else None) for i in range(300)] + [(None, None, None), (5, "again", "x")], "page_id long, url string, html string")
     assert warc_fixity.audit(pages, pages.repartition(7), per_file=32, fanout=4).count() == 0
