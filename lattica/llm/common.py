@@ -16,7 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 _U = np.uint64
@@ -29,10 +30,26 @@ _LOWER[65:91] += 32
 CHUNK_BYTES = 1 << 21
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(*frames: DataFrame, start: str = "x") -> str:
+    """A name that no column of the frames begins with, in either case."""
+    names = [c.lower() for f in frames for c in f.columns]
+    name = start
+    while any(c.startswith(name) for c in names):
+        name += "x"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; if that is unset (tests), a temporary one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or the one set by setCheckpointDir; if both are unset and all runs on this machine (tests), a temporary one of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="lattica-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
