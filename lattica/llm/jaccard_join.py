@@ -9,41 +9,55 @@ similarity of 0.8, a distance of at most r = 0.2.
    elsewhere are settled. (Unrelated texts are all at distance 1 from each other, so
    pivots cannot part them; this step stands in for that.)
 2. Equal sets are one class, the rest goes on by its least doc_id.
-3. Pivots are documents. The bound of step 1 holds in any common order, so also with
-   frequent shingles put last; the holder of a shingle with the least random rank is
-   its pivot. x meets the pivots of its first 30 %, its nearest in most shingles. It
-   may leave those it meets in fewest, in less than half of its bound of shingles
-   together: what it shares with a partner in the regions that either left is then
-   less than what they share, so linked documents meet in at least one region. In the
-   others x stays as boundary replica.
-4. A region takes pivots in turn. Exact distances to a pivot p give links, and
-   windows: x and y with |d(x,p) - d(y,p)| > r cannot be linked. Documents that links
-   have joined need no comparison. Large regions are cut into chunks with the pivot in
-   each; only what is not within r of the pivot is compared over chunks.
-5. Components of the links, by stars.
+3. First regions: the bound of step 1 holds in any common order, so also with frequent
+   shingles put last; the holder of a shingle with the least random rank is its pivot. x
+   meets the pivots of its first 30 %, its nearest in most shingles. It may leave those it
+   meets in fewest, in less than half of its bound of shingles together: what it shares
+   with a partner in the regions that either left is then less than what they share, so
+   linked documents meet in at least one region. In the others x stays as replica.
+4. A region beyond a size is cut by pivots of its own, documents of least random rank, to
+   which all its members' exact distances are computed. The nearest pivot is a member's
+   home; members within r of it are its core, linked through it and never compared with
+   each other. The others go to their home's cell, and as boundary replicas to each cell
+   q with d(x,q) <= d(x,home) + 2r: the Voronoi cells of linked documents overlap by that.
+   Cells are regions again, with pivots of their own. Unrelated texts are at distance 1
+   from all pivots; those over 0.6 from each (with the boundary down to 0.4) form one more
+   cell. A core is compared, in chunks, with members of other homes or cells within 2r of
+   its pivot, unless the two pivots are linked. After MOST_DEPTH cuts what pivots could
+   not part is compared chunk by chunk: memory stays bounded, and nothing is left out.
+5. In a region of bearable size members take turns as pivots: exact distances give links,
+   and windows, as x and y with |d(x,p) - d(y,p)| > r cannot be linked. Documents that
+   links have joined need no comparison.
+6. Components of the links, by stars.
 
 Null and empty texts have n_shingles 0 and are their own component; with fewer words
 than five the whole sequence is one shingle; equal sets (so repeated rows) are linked;
-rows that share a doc_id are one document when components are formed; rows without
-doc_id get no component. Other columns are ignored by `join` and carried by `keep_one`.
+rows that share a doc_id are one document when components are formed, whatever their
+texts; rows without doc_id get no component. Other columns, whatever their names, are
+ignored by `join` and carried by `keep_one`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import by_bucket, flat, joined, mix, partitions, ranges, sets, shingles, stash, words
+from lattica.llm.common import by_bucket, flat, free, joined, mix, partitions, quoted, ranges, sets, shingles, stash, words
 from lattica.llm.components import components
 
 _U = np.uint64
-#: Regions of more documents are cut; so many frequent shingles at most are told to all tasks; so many ids are broadcast.
-MOST_REGION, MOST_FREQUENT, BROADCAST_IDS = 2048, 1 << 18, 1 << 20
+#: Regions of more documents, or more shingles, are cut, by so many pivots at most, so often at most.
+MOST_REGION, MOST_WEIGHT, MOST_PIVOTS, MOST_DEPTH = 256, 1 << 20, 32, 4
+#: So many frequent shingles at most are told to all tasks; so many ids are broadcast.
+MOST_FREQUENT, BROADCAST_IDS = 1 << 18, 1 << 20
+#: The distance of linked documents, that of those which no pivot is near, and room for rounding.
+R, FAR, EPS = 0.2, 0.6, 1e-9
 
 
 def linked(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -251,11 +265,12 @@ class Region:
         return np.bincount(self.holder[ranges(self.start[i], self.start[i + 1] - self.start[i])], minlength=len(self.own))
 
 
-def region_links(nodes: np.ndarray, own: list[np.ndarray], first: int, queries: np.ndarray | None = None, kept: int = 8) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links that span the components of a region, and distances to its first pivot (index `first`).
+def region_links(nodes: np.ndarray, own: list[np.ndarray], queries: np.ndarray | None = None, joined_already: bool = False, kept: int = 8) -> list[tuple[int, int]]:
+    """Links that span the components of a region.
 
     queries: indexes of those to compare with the rest (not among themselves); None: all pairs.
-    Exact: a pair is left out only if it is in one component or in no common window.
+    joined_already: the rest are in one component. Exact: a pair is left out only if it is in
+    one component or in no common window.
     """
     g = Region(nodes, own)
     k = len(nodes)
@@ -263,68 +278,156 @@ def region_links(nodes: np.ndarray, own: list[np.ndarray], first: int, queries:
     rest = np.ones(k, dtype=bool)
     if queries is not None:
         rest[queries] = False
-    to_first = np.ones(k)
-    for x in [first, *[i for i in (range(k) if queries is None else queries) if i != first]]:
-        maybe = (part != part[x]) & (~done if queries is None else rest) & (5 * g.n <= 6.25 * g.n[x] + 1e-9) & (g.n >= 0.8 * g.n[x] - 1e-9)
+    if joined_already and rest.any():
+        part[rest] = np.flatnonzero(rest)[0]
+    for x in range(k) if queries is None else queries:
+        maybe = (part != part[x]) & (~done if queries is None else rest) & (5 * g.n <= 6.25 * g.n[x] + EPS) & (g.n >= 0.8 * g.n[x] - EPS)
         for d in pivots:
-            maybe &= np.abs(d - d[x]) <= 0.2 + 1e-9
+            maybe &= np.abs(d - d[x]) <= R + EPS
         done[x] = True
-        if x != first and not maybe.any():
+        if not maybe.any():
             continue
         both = g.common(own[x])
-        d = 1 - both / np.maximum(g.n + g.n[x] - both, 1)
-        if x == first:
-            to_first, maybe = d, np.arange(k) != x
         if len(pivots) < kept:
-            pivots.append(d)
+            pivots.append(1 - both / np.maximum(g.n + g.n[x] - both, 1))
         for y in np.flatnonzero(maybe & linked(both, g.n, g.n[x])):
             if part[y] != part[x]:
                 links.append((int(nodes[x]), int(nodes[y])))
                 part[part == part[y]] = part[x]
-    return links, to_first
+    return links
 
 
 LINKS = "a long, b long"
 
 
-def region_join(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that meet in a region, by regions and, where these are large, chunks of them."""
-    pairs = stash(pairs, "join-pairs")
-    size = pairs.groupBy(F.col("pivot").alias("p")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    sized = pairs.join(size.withColumn("k", F.ceil(F.col("members") / MOST_REGION).cast("int")), F.col("pivot") == F.col("p")).drop("p", "members")
+def _links(links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _own(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    return np.array(rows["node"].to_pylist(), dtype=np.int64), [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()]
+
+
+def _with_sets(rows: DataFrame, own: DataFrame) -> DataFrame:
+    return rows.join(own.select(F.col("node").alias("id"), "shingles"), F.col("node") == F.col("id")).drop("id")
+
+
+def _whole(regions: DataFrame, own: DataFrame) -> DataFrame:
+    """Links within regions (region, node), each in one task."""
+
+    def within(rows: pa.Table) -> pa.Table:
+        return _links(region_links(*_own(rows)))
+
+    return _with_sets(regions.select("region", "node"), own).groupBy("region").applyInArrow(within, LINKS)
+
+
+def _grid(left: DataFrame, right: DataFrame, own: DataFrame, joined_already: bool) -> DataFrame:
+    """Links between left and right (region, node, k: the region's number of chunks on that side), chunk by chunk; left's may be in one component."""
     chunk = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    # the pivot goes to every chunk
-    chunks = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(chunk))
-    dealt = sized.select("pivot", "node", "k", F.explode(chunks).alias("chunk"))
-    own = own.select(F.col("node").alias("id"), "shingles")
-
-    def within(key: tuple, rows: pa.Table) -> pa.Table:
-        nodes = np.array(rows["node"].to_pylist(), dtype=np.int64)
-        at = np.flatnonzero(nodes == key[0].as_py())
-        links, d = region_links(nodes, [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], int(at[0]) if len(at) else 0)
-        far = nodes[(d > 0.2) & (nodes != key[0].as_py())] if rows["k"][0].as_py() > 1 else nodes[:0]
-        a, b = [x for x, _ in links], [y for _, y in links]
-        return pa.table({"a": pa.array(a + [key[0].as_py()] * len(far), pa.int64()), "b": pa.array(b + far.tolist(), pa.int64()), "far": pa.array([False] * len(a) + [True] * len(far), pa.bool_())})
-
-    sets_of = dealt.join(own, F.col("node") == F.col("id")).select("pivot", "chunk", "node", "k", "shingles")
-    first = stash(sets_of.groupBy("pivot", "chunk").applyInArrow(within, "a long, b long, far boolean"), "join-links")
-    # chunks of large regions: those far from the pivot against all of the other chunks
-    far = first.where("far").select(F.col("a").alias("pivot"), F.col("b").alias("node"))
-    hot = dealt.where("k > 1")
-    query = far.join(hot.select(F.col("pivot").alias("p"), F.col("node").alias("m"), "k", "chunk"), (F.col("pivot") == F.col("p")) & (F.col("node") == F.col("m"))).select("pivot", "node", "k", "chunk")
-    grid = query.select("pivot", "node", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("base"), F.col("chunk").alias("ask"), F.lit(True).alias("q")).where("base <> ask")
-    asks = query.select(F.col("pivot").alias("p"), F.col("chunk").alias("ask")).distinct()
-    base = hot.join(asks, F.col("pivot") == F.col("p")).where("chunk <> ask and node <> pivot").select("pivot", "node", F.col("chunk").alias("base"), "ask", F.lit(False).alias("q"))
-    over = grid.unionByName(base).join(own, F.col("node") == F.col("id")).select("pivot", "base", "ask", "node", "q", "shingles")
-
-    def across(_: tuple, rows: pa.Table) -> pa.Table:
+    k = lambda df: df.groupBy("region").agg(F.max("k").alias("others"))
+    every = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    base = left.join(k(right), "region").select("region", "node", chunk.alias("i"), every.alias("j"), F.lit(False).alias("q"))
+    ask = right.join(k(left), "region").select("region", "node", every.alias("i"), chunk.alias("j"), F.lit(True).alias("q"))
+
+    def across(rows: pa.Table) -> pa.Table:
         q = np.flatnonzero(np.array(rows["q"].to_pylist(), dtype=bool))
-        links = []
-        if len(q) and len(q) < rows.num_rows:
-            links, _d = region_links(np.array(rows["node"].to_pylist(), dtype=np.int64), [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], int(q[0]), q)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        return _links(region_links(*_own(rows), q, joined_already) if len(q) and len(q) < rows.num_rows else [])
 
-    return first.where("not far").select("a", "b").unionAll(over.groupBy("pivot", "base", "ask").applyInArrow(across, LINKS))
+    return _with_sets(base.unionByName(ask), own).groupBy("region", "i", "j").applyInArrow(across, LINKS)
+
+
+def _chunks(size: str, weight: str) -> Column:
+    return F.ceil(F.greatest(F.col(size) / MOST_REGION, F.col(weight) / MOST_WEIGHT)).cast("int")
+
+
+def voronoi(chosen: list[int], pivots: list[np.ndarray], nodes: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int, int | None, int, float]]:
+    """(kind, cell, home, node, distance) of the members of a region; cell and home are nodes of pivots.
+
+    CORE: within R of the home; TWIN: linked with that cell's pivot as well as with its home's; VISIT:
+    in a core, and within 2R of another cell's pivot; OPEN: in the cell as its home's or as replica;
+    APART: far from all pivots or nearly so (cell null).
+    """
+    g = Region(np.array(chosen), pivots)
+    out = []
+    for node, s in zip(nodes.tolist(), own):
+        both = g.common(s)
+        d = 1 - both / np.maximum(g.n + len(s) - both, 1)
+        near = linked(both, g.n, len(s))
+        h = int(np.argmin(d))
+        home, least = chosen[h], d[h]
+        if near[h]:
+            out.append((CORE, home, home, node, float(least)))
+            out += [(TWIN, chosen[i], home, node, float(d[i])) for i in np.flatnonzero(near) if i != h]
+            out += [(VISIT, chosen[i], home, node, float(d[i])) for i in np.flatnonzero(~near & (d <= 2 * R + EPS))]
+            continue
+        if least <= FAR:
+            out += [(OPEN, chosen[i], home, node, float(d[i])) for i in np.flatnonzero(d <= least + 2 * R + EPS)]
+        if least > FAR - R - EPS:
+            out.append((APART, None, home, node, float(least)))
+    return out
+
+
+CORE, TWIN, VISIT, OPEN, APART = range(5)
+
+
+def _cut(large: DataFrame, own: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(links, cells as regions of the next depth) of large regions (region, node, members, weight)."""
+    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64(F.lit(depth), "node"), "node"))
+    n = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(2), F.ceil(F.col("members") / 32)))
+    large = large.withColumn("k", _chunks("members", "weight"))
+    chosen = large.withColumn("rank", rank).where(F.col("rank") <= MOST_PIVOTS).where(F.col("rank") <= n)
+    chosen = chosen.select("region", "node", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"), F.lit(True).alias("pivot"))
+    members = large.select("region", "node", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("chunk"), F.lit(False).alias("pivot"))
+
+    def split(key: tuple, rows: pa.Table) -> pa.Table:
+        nodes, sets_ = _own(rows)
+        is_pivot = np.array(rows["pivot"].to_pylist(), dtype=bool)
+        # in order of node, so that ties of distance have the same home in every chunk
+        at = np.flatnonzero(is_pivot)[np.argsort(nodes[is_pivot])]
+        mine = np.flatnonzero(~is_pivot)
+        found = voronoi(nodes[at].tolist(), [sets_[i] for i in at], nodes[mine], [sets_[i] for i in mine])
+        kind, cell, home, node, _ = zip(*found) if found else ((),) * 5
+        return pa.table({"kind": pa.array(kind, pa.int32()), "region": pa.array([key[0].as_py()] * len(kind), pa.int64()), "cell": pa.array(cell, pa.int64()), "home": pa.array(home, pa.int64()), "node": pa.array(node, pa.int64()), "near": pa.array([x[4] <= 2 * R + EPS for x in found], pa.bool_())})
+
+    dealt = _with_sets(members.unionByName(chosen), own).groupBy("region", "chunk").applyInArrow(split, "kind int, region long, cell long, home long, node long, near boolean")
+    at = stash(dealt.withColumn("next", F.xxhash64("region", "cell", F.lit(depth))), "join-cells")
+    to_pivot = at.where(F.col("kind").isin(CORE, TWIN) & (F.col("node") != F.col("cell"))).select(F.col("node").alias("a"), F.col("cell").alias("b"))
+    # cores of linked pivots are one component already
+    twins = at.where(F.col("kind") == TWIN).select("region", F.least("cell", "home").alias("p"), F.greatest("cell", "home").alias("q")).distinct()
+    visits = at.where(F.col("kind") == VISIT).withColumns({"p": F.least("cell", "home"), "q": F.greatest("cell", "home")}).join(twins, ["region", "p", "q"], "left_anti")
+    guests = visits.select(F.col("next").alias("region"), "node").unionAll(at.where((F.col("kind") == OPEN) & F.col("near")).select(F.col("next").alias("region"), "node"))
+    cores = at.where(F.col("kind") == CORE).select(F.col("next").alias("region"), "node")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        n = rows.join(own.select(F.col("node").alias("id"), (F.length("shingles") / 8).alias("n")), F.col("node") == F.col("id")).drop("id")
+        per = n.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+        return rows.join(per.select("region", _chunks("members", "weight").alias("k")), "region")
+
+    links = to_pivot.unionAll(_grid(sized(cores), sized(guests), own, True))
+    cells = at.where(F.col("kind").isin(OPEN, APART)).select(F.col("next").alias("region"), "node")
+    return links, cells
+
+
+def region_join(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes that meet in a region (pivot, node); large regions are cut by pivots again and again."""
+    regions, links = stash(pairs.select(F.col("pivot").alias("region"), "node"), "join-pairs"), []
+    sizes = own.select(F.col("node").alias("id"), (F.length("shingles") / 8).alias("n"))
+    for depth in range(MOST_DEPTH + 1):
+        per = regions.join(sizes, F.col("node") == F.col("id")).groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")).where("members > 1")
+        large = (F.col("members") > MOST_REGION) | ((F.col("weight") > MOST_WEIGHT) & (F.col("members") > 2))
+        per = stash(per.withColumn("large", large), "join-sizes")
+        links.append(stash(_whole(regions.join(per.where("not large"), "region", "left_semi"), own), "join-links"))
+        hot = regions.join(per.where("large"), "region")
+        if per.where("large").isEmpty():
+            break
+        if depth == MOST_DEPTH:
+            hot = hot.select("region", "node", _chunks("members", "weight").alias("k"))
+            links.append(_grid(hot, hot, own, False))
+            break
+        more, cells = _cut(stash(hot, "join-large"), own, depth)
+        links.append(stash(more, "join-links"))
+        regions = stash(cells, "join-regions")
+    return reduce(DataFrame.unionAll, links)
 
 
 def join(docs: DataFrame, k: int = 5, buckets: int | None = None) -> DataFrame:
@@ -350,17 +453,23 @@ def join(docs: DataFrame, k: int = 5, buckets: int | None = None) -> DataFrame:
 
     held = stash(texts.mapInArrow(own, "node long, shingles binary"), "join-sets")
     links = region_join(meetings(held, buckets), held)
-    label = components(links)
-    out = one.join(classes.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("node").alias("rep")), (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left")
-    out = out.join(label, F.col("rep") == F.col("node"), "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    reps = classes.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("node").alias("rep"))
+    out = one.join(reps, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    out = stash(out.select("doc_id", "n", "rep"), "join-reps")
+    # a doc_id with several texts links their classes
+    several = out.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    bridges = out.where("rep is not null").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    label = components(links.unionAll(bridges))
+    at = F.coalesce("rep", "doc_id")
+    out = out.join(label, at == F.col("node"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", at).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs without near copies: of each component the row of least doc_id stays (all rows without doc_id or shingles do)."""
-    found = join(docs, k).where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = free(docs, start="gone")
+    found = join(docs, k).where("component_id is not null and n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     found = stash(found, "join-gone")
     if found.count() <= BROADCAST_IDS:
         found = F.broadcast(found)
-    return docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(found, F.col("doc_id").cast("bigint") == F.col(gone), "left_anti").select(*[quoted(c) for c in docs.columns])
