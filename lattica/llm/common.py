@@ -30,6 +30,10 @@ _LOWER[65:91] += 32
 CHUNK_BYTES = 1 << 21
 
 
+#: The temporary folder of local runs, once there is one.
+_temporary: list[str] = []
+
+
 def quoted(name: str) -> Column:
     """A column by its whole name, dots and quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -50,9 +54,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="lattica-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not _temporary:
+            _temporary.append(tempfile.mkdtemp(prefix="lattica-"))
+            atexit.register(shutil.rmtree, _temporary[0], ignore_errors=True)
+        at = _temporary[0]
     return at.rstrip("/")
 
 

@@ -15,16 +15,18 @@ similarity of 0.8, a distance of at most r = 0.2.
    meets in fewest, in less than half of its bound of shingles together: what it shares
    with a partner in the regions that either left is then less than what they share, so
    linked documents meet in at least one region. In the others x stays as replica.
-4. A region beyond a size is cut by pivots of its own, documents of least random rank, to
-   which all its members' exact distances are computed. The nearest pivot is a member's
-   home; members within r of it are its core, linked through it and never compared with
-   each other. The others go to their home's cell, and as boundary replicas to each cell
-   q with d(x,q) <= d(x,home) + 2r: the Voronoi cells of linked documents overlap by that.
-   Cells are regions again, with pivots of their own. Unrelated texts are at distance 1
-   from all pivots; those over 0.6 from each (with the boundary down to 0.4) form one more
-   cell. A core is compared, in chunks, with members of other homes or cells within 2r of
-   its pivot, unless the two pivots are linked. After MOST_DEPTH cuts what pivots could
-   not part is compared chunk by chunk: memory stays bounded, and nothing is left out.
+4. A region beyond a size is cut by pivots of its own, documents of least random rank
+   that are more than 4r apart, to which all its members' exact distances are computed.
+   The nearest pivot is a member's home; members within r of it are its core, linked
+   through it and never compared with each other. The others go to their home's cell, and
+   as boundary replicas to each cell q with d(x,q) <= d(x,home) + 2r: the Voronoi cells of
+   linked documents overlap by that. Cells are regions again, with pivots of their own.
+   Unrelated texts are at distance 1 from all pivots; those over 0.6 from each (with the
+   boundary down to 0.4) form one more cell. A core is compared, in chunks, with its guests:
+   the cell's members within 2r of the pivot. (No member of another core is so near.)
+   Where cells hold more than half as many members again, or one of them nearly all, the
+   pivots part nothing: the region is compared chunk by chunk instead, as is any left after
+   MOST_DEPTH cuts. Memory stays bounded, and nothing is left out.
 5. In a region of bearable size members take turns as pivots: exact distances give links,
    and windows, as x and y with |d(x,p) - d(y,p)| > r cannot be linked. Documents that
    links have joined need no comparison.
@@ -58,6 +60,8 @@ MOST_REGION, MOST_WEIGHT, MOST_PIVOTS, MOST_DEPTH = 256, 1 << 20, 32, 4
 MOST_FREQUENT, BROADCAST_IDS = 1 << 18, 1 << 20
 #: The distance of linked documents, that of those which no pivot is near, and room for rounding.
 R, FAR, EPS = 0.2, 0.6, 1e-9
+#: A cut is given up where cells have so many times the members, or one cell has this share of them.
+MOST_COPIES, MOST_SHARE = 1.5, 0.8
 
 
 def linked(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -321,91 +325,101 @@ def _whole(regions: DataFrame, own: DataFrame) -> DataFrame:
     return _with_sets(regions.select("region", "node"), own).groupBy("region").applyInArrow(within, LINKS)
 
 
-def _grid(left: DataFrame, right: DataFrame, own: DataFrame, joined_already: bool) -> DataFrame:
-    """Links between left and right (region, node, k: the region's number of chunks on that side), chunk by chunk; left's may be in one component."""
+def _grid(left: DataFrame, right: DataFrame | None, own: DataFrame) -> DataFrame:
+    """Links between left and right (region, node, k: the region's number of chunks on that side), chunk by chunk; left's are in one component.
+
+    right None: links within left, whose members are not in one component.
+    """
+    alone = right is None
+    right = left if alone else right
     chunk = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     k = lambda df: df.groupBy("region").agg(F.max("k").alias("others"))
     every = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
     base = left.join(k(right), "region").select("region", "node", chunk.alias("i"), every.alias("j"), F.lit(False).alias("q"))
     ask = right.join(k(left), "region").select("region", "node", every.alias("i"), chunk.alias("j"), F.lit(True).alias("q"))
+    both = base.unionByName(ask)
+    if alone:
+        both = both.where("i < j or (i = j and q)")
 
     def across(rows: pa.Table) -> pa.Table:
-        q = np.flatnonzero(np.array(rows["q"].to_pylist(), dtype=bool))
-        return _links(region_links(*_own(rows), q, joined_already) if len(q) and len(q) < rows.num_rows else [])
+        q = np.array(rows["q"].to_pylist(), dtype=bool)
+        return _links(region_links(*_own(rows)) if q.all() else region_links(*_own(rows), np.flatnonzero(q), not alone) if q.any() else [])
 
-    return _with_sets(base.unionByName(ask), own).groupBy("region", "i", "j").applyInArrow(across, LINKS)
+    return _with_sets(both, own).groupBy("region", "i", "j").applyInArrow(across, LINKS)
 
 
 def _chunks(size: str, weight: str) -> Column:
     return F.ceil(F.greatest(F.col(size) / MOST_REGION, F.col(weight) / MOST_WEIGHT)).cast("int")
 
 
-def voronoi(chosen: list[int], pivots: list[np.ndarray], nodes: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int, int | None, int, float]]:
-    """(kind, cell, home, node, distance) of the members of a region; cell and home are nodes of pivots.
+CORE, OPEN, APART = range(3)
+
+
+def voronoi(chosen: list[int], pivots: list[np.ndarray], nodes: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int | None, int, float]]:
+    """(kind, cell, node, distance) of the members of a region; cells are nodes of pivots, of which those within 4R of an earlier one don't count.
 
-    CORE: within R of the home; TWIN: linked with that cell's pivot as well as with its home's; VISIT:
-    in a core, and within 2R of another cell's pivot; OPEN: in the cell as its home's or as replica;
-    APART: far from all pivots or nearly so (cell null).
+    CORE: within R of the home; OPEN: in the cell as its home's or as replica; APART: far from all pivots or nearly so (cell null).
     """
-    g = Region(np.array(chosen), pivots)
+    apart: list[int] = []
+    for i, s in enumerate(pivots):
+        g = Region(np.array([chosen[j] for j in apart]), [pivots[j] for j in apart])
+        both = g.common(s)
+        if (1 - both / np.maximum(g.n + len(s) - both, 1) > 4 * R + EPS).all():
+            apart.append(i)
+    chosen = [chosen[i] for i in apart]
+    g = Region(np.array(chosen), [pivots[i] for i in apart])
     out = []
     for node, s in zip(nodes.tolist(), own):
         both = g.common(s)
         d = 1 - both / np.maximum(g.n + len(s) - both, 1)
-        near = linked(both, g.n, len(s))
         h = int(np.argmin(d))
-        home, least = chosen[h], d[h]
-        if near[h]:
-            out.append((CORE, home, home, node, float(least)))
-            out += [(TWIN, chosen[i], home, node, float(d[i])) for i in np.flatnonzero(near) if i != h]
-            out += [(VISIT, chosen[i], home, node, float(d[i])) for i in np.flatnonzero(~near & (d <= 2 * R + EPS))]
+        if linked(both[h], g.n[h], len(s)):
+            out.append((CORE, chosen[h], node, float(d[h])))
             continue
-        if least <= FAR:
-            out += [(OPEN, chosen[i], home, node, float(d[i])) for i in np.flatnonzero(d <= least + 2 * R + EPS)]
-        if least > FAR - R - EPS:
-            out.append((APART, None, home, node, float(least)))
+        if d[h] <= FAR:
+            out += [(OPEN, chosen[i], node, float(d[i])) for i in np.flatnonzero(d <= d[h] + 2 * R + EPS)]
+        if d[h] > FAR - R - EPS:
+            out.append((APART, None, node, float(d[h])))
     return out
 
 
-CORE, TWIN, VISIT, OPEN, APART = range(5)
-
-
 def _cut(large: DataFrame, own: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """(links, cells as regions of the next depth) of large regions (region, node, members, weight)."""
     rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64(F.lit(depth), "node"), "node"))
     n = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(2), F.ceil(F.col("members") / 32)))
     large = large.withColumn("k", _chunks("members", "weight"))
     chosen = large.withColumn("rank", rank).where(F.col("rank") <= MOST_PIVOTS).where(F.col("rank") <= n)
-    chosen = chosen.select("region", "node", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"), F.lit(True).alias("pivot"))
-    members = large.select("region", "node", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("chunk"), F.lit(False).alias("pivot"))
+    chosen = chosen.select("region", "node", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"), F.col("rank").alias("turn"))
+    members = large.select("region", "node", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("chunk"), F.lit(0).alias("turn"))
 
     def split(key: tuple, rows: pa.Table) -> pa.Table:
         nodes, sets_ = _own(rows)
-        is_pivot = np.array(rows["pivot"].to_pylist(), dtype=bool)
-        # in order of node, so that ties of distance have the same home in every chunk
-        at = np.flatnonzero(is_pivot)[np.argsort(nodes[is_pivot])]
-        mine = np.flatnonzero(~is_pivot)
+        turn = np.array(rows["turn"].to_pylist(), dtype=np.int64)
+        # in order of rank, so that every chunk has the same pivots
+        at, mine = np.argsort(turn, kind="stable")[(turn == 0).sum() :], np.flatnonzero(turn == 0)
         found = voronoi(nodes[at].tolist(), [sets_[i] for i in at], nodes[mine], [sets_[i] for i in mine])
-        kind, cell, home, node, _ = zip(*found) if found else ((),) * 5
-        return pa.table({"kind": pa.array(kind, pa.int32()), "region": pa.array([key[0].as_py()] * len(kind), pa.int64()), "cell": pa.array(cell, pa.int64()), "home": pa.array(home, pa.int64()), "node": pa.array(node, pa.int64()), "near": pa.array([x[4] <= 2 * R + EPS for x in found], pa.bool_())})
+        kind, cell, node, _ = zip(*found) if found else ((),) * 4
+        return pa.table({"kind": pa.array(kind, pa.int32()), "region": pa.array([key[0].as_py()] * len(kind), pa.int64()), "cell": pa.array(cell, pa.int64()), "node": pa.array(node, pa.int64()), "near": pa.array([x[3] <= 2 * R + EPS for x in found], pa.bool_())})
 
-    dealt = _with_sets(members.unionByName(chosen), own).groupBy("region", "chunk").applyInArrow(split, "kind int, region long, cell long, home long, node long, near boolean")
+    dealt = _with_sets(members.unionByName(chosen), own).groupBy("region", "chunk").applyInArrow(split, "kind int, region long, cell long, node long, near boolean")
     at = stash(dealt.withColumn("next", F.xxhash64("region", "cell", F.lit(depth))), "join-cells")
-    to_pivot = at.where(F.col("kind").isin(CORE, TWIN) & (F.col("node") != F.col("cell"))).select(F.col("node").alias("a"), F.col("cell").alias("b"))
-    # cores of linked pivots are one component already
-    twins = at.where(F.col("kind") == TWIN).select("region", F.least("cell", "home").alias("p"), F.greatest("cell", "home").alias("q")).distinct()
-    visits = at.where(F.col("kind") == VISIT).withColumns({"p": F.least("cell", "home"), "q": F.greatest("cell", "home")}).join(twins, ["region", "p", "q"], "left_anti")
-    guests = visits.select(F.col("next").alias("region"), "node").unionAll(at.where((F.col("kind") == OPEN) & F.col("near")).select(F.col("next").alias("region"), "node"))
-    cores = at.where(F.col("kind") == CORE).select(F.col("next").alias("region"), "node")
+    core, open_ = at.where(F.col("kind") == CORE), at.where(F.col("kind") != CORE)
+    guests = at.where((F.col("kind") == OPEN) & F.col("near"))
+    links = core.where("node <> cell").select(F.col("node").alias("a"), F.col("cell").alias("b"))
+    links = links.unionAll(_grid(_sized(core.select(F.col("next").alias("region"), "node"), own), _sized(guests.select(F.col("next").alias("region"), "node"), own), own))
+    per = open_.groupBy("region", "next").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.sum("n").alias("copies"), F.max("n").alias("most"))
+    members = large.groupBy("region").agg(F.max("members").alias("members"))
+    poor = per.join(members, "region").where((F.col("copies") > MOST_COPIES * F.col("members")) | (F.col("most") > MOST_SHARE * F.col("members"))).select("region")
+    alike = open_.select("region", "node").distinct().join(poor, "region", "left_semi")
+    links = links.unionAll(_grid(_sized(alike, own), None, own))
+    return links, open_.join(poor, "region", "left_anti").select(F.col("next").alias("region"), "node")
 
-    def sized(rows: DataFrame) -> DataFrame:
-        n = rows.join(own.select(F.col("node").alias("id"), (F.length("shingles") / 8).alias("n")), F.col("node") == F.col("id")).drop("id")
-        per = n.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
-        return rows.join(per.select("region", _chunks("members", "weight").alias("k")), "region")
 
-    links = to_pivot.unionAll(_grid(sized(cores), sized(guests), own, True))
-    cells = at.where(F.col("kind").isin(OPEN, APART)).select(F.col("next").alias("region"), "node")
-    return links, cells
+def _sized(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """rows (region, node) with k, the region's number of chunks."""
+    n = rows.join(own.select(F.col("node").alias("id"), (F.length("shingles") / 8).alias("n")), F.col("node") == F.col("id"))
+    per = n.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    return rows.join(per.select("region", _chunks("members", "weight").alias("k")), "region")
 
 
 def region_join(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -422,7 +436,7 @@ def region_join(pairs: DataFrame, own: DataFrame) -> DataFrame:
             break
         if depth == MOST_DEPTH:
             hot = hot.select("region", "node", _chunks("members", "weight").alias("k"))
-            links.append(_grid(hot, hot, own, False))
+            links.append(stash(_grid(hot, None, own), "join-links"))
             break
         more, cells = _cut(stash(hot, "join-large"), own, depth)
         links.append(stash(more, "join-links"))

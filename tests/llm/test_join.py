@@ -61,17 +61,16 @@ def test_cells_of_linked_documents_meet():
             for _ in range(r.randint(0, 25)):
                 b[r.randrange(len(b))] = r.randrange(3000)
             own.append(np.unique(np.array(b, dtype=np.uint64)))
-        chosen = r.sample(range(40), r.randint(2, 6))
+        chosen = r.sample(range(40), r.randint(2, 9))
         found = jaccard_join.voronoi(chosen, [own[i] for i in chosen], np.arange(40), own)
-        core = {n: c for k, c, _, n, _ in found if k == jaccard_join.CORE}
-        twin = {(n, c) for k, c, _, n, _ in found if k == jaccard_join.TWIN}
-        guest = {(n, c) for k, c, _, n, d in found if k == jaccard_join.VISIT or (k == jaccard_join.OPEN and d <= 0.4 + 1e-9)}
-        cells = {n: {(k, c) for k, c, _, m, _ in found if m == n and k in (jaccard_join.OPEN, jaccard_join.APART)} for n in range(40)}
+        core = {n: c for k, c, n, _ in found if k == jaccard_join.CORE}
+        guest = {(n, c) for k, c, n, d in found if k == jaccard_join.OPEN and d <= 0.4 + 1e-9}
+        cells = {n: {(k, c) for k, c, m, _ in found if m == n and k != jaccard_join.CORE} for n in range(40)}
         for x in range(40):
             for y in range(x):
                 if linked(set(own[x].tolist()), set(own[y].tolist())):
                     hits += 1
-                    both = x in core and y in core and (core[x] == core[y] or (x, core[y]) in twin | guest or (y, core[x]) in twin | guest)
+                    both = x in core and y in core and core[x] == core[y]
                     one = (x in core and (y, core[x]) in guest) or (y in core and (x, core[y]) in guest)
                     assert both or one or cells[x] & cells[y]
     assert hits > 200
@@ -80,9 +79,9 @@ def test_cells_of_linked_documents_meet():
 def test_clashing_columns(spark):
     names = ["__gone", "gone", "gonex", "q", "q_t", "Qx", "__q", "__w", "a.b", "c`d", "n", "node", "level"]
     text = " ".join(f"word{i}" for i in range(50))
-    docs = spark.createDataFrame([(i, text if i < 2 else f"{text} {i} " * i, "en", *[f"{n}{i}" for n in names]) for i in range(5)], ["doc_id", "text", "lang", *names])
+    docs = spark.createDataFrame([(i, text if i < 2 else text.replace("word", f"other{i}"), "en", *[f"{n}{i}" for n in names]) for i in range(5)], ["doc_id", "text", "lang", *names])
     got = jaccard_join.keep_one(docs)
-    assert got.columns == docs.columns and {x.doc_id for x in got.collect()} >= {0, 3, 4} and got.where("doc_id = 1").isEmpty()
+    assert got.columns == docs.columns and {x.doc_id for x in got.collect()} == {0, 2, 3, 4} and got.where("doc_id = 1").isEmpty()
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     kept = quality_rules.keep(docs, labels)
     assert kept.columns == docs.columns
@@ -95,10 +94,10 @@ def test_few_good_documents_prove_a_cutoff(spark):
     r = random.Random(2)
     prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(40))
     rows = [(i, prose(), "abcd"[i % 4]) for i in range(1400)] + [(5000 + i, " ".join(w + "###" for w in prose().split()), "abcd"[i % 4]) for i in range(40)] + [(6000 + i, prose().upper(), "abcd"[i % 4]) for i in range(40)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(1400)] + [(6000 + i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1400)] + [(6000 + i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int")
     got = quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
     lang = {d: x for d, _, x in rows}
     assert all(not x.kept for x in got if 5000 <= x.doc_id < 6000)
     for s in "abcd":
-        good = [x for x in got if lang[x.doc_id] == s and (x.doc_id < 1400 or 6000 <= x.doc_id < 6012)]
+        good = [x for x in got if lang[x.doc_id] == s and (x.doc_id < 1400 or 6000 <= x.doc_id < 6004)]
         assert sum(not x.kept for x in good) <= 0.02 * len(good)
