@@ -56,8 +56,8 @@ from lattica.llm.components import components
 _U = np.uint64
 #: Regions of more documents, or more shingles, are cut, by so many pivots at most, so often at most.
 MOST_REGION, MOST_WEIGHT, MOST_PIVOTS, MOST_DEPTH = 256, 1 << 20, 32, 4
-#: So many frequent shingles at most are told to all tasks; so many ids are broadcast.
-MOST_FREQUENT, BROADCAST_IDS = 1 << 18, 1 << 20
+#: So many frequent shingles at most are told to all tasks; so many ids, and places in regions, are broadcast.
+MOST_FREQUENT, BROADCAST_IDS, BROADCAST_ROWS = 1 << 18, 1 << 20, 1 << 18
 #: The distance of linked documents, that of those which no pivot is near, and room for rounding.
 R, FAR, EPS = 0.2, 0.6, 1e-9
 #: A cut is given up where cells have so many times the members, or one cell has this share of them.
@@ -313,7 +313,11 @@ def _own(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _with_sets(rows: DataFrame, own: DataFrame) -> DataFrame:
-    return rows.join(own.select(F.col("node").alias("id"), "shingles"), F.col("node") == F.col("id")).drop("id")
+    """rows (node, ...) with their shingles. Few rows are broadcast, so that the sets are not shuffled to meet them."""
+    rows = stash(rows, "join-asked")
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    return own.select(F.col("node").alias("id"), "shingles").join(rows, F.col("node") == F.col("id")).drop("id")
 
 
 def _whole(regions: DataFrame, own: DataFrame) -> DataFrame:
