@@ -57,7 +57,7 @@ _U = np.uint64
 #: Regions of more documents, or more shingles, are cut, by so many pivots at most, so often at most.
 MOST_REGION, MOST_WEIGHT, MOST_PIVOTS, MOST_DEPTH = 256, 1 << 20, 32, 4
 #: So many frequent shingles at most are told to all tasks; so many ids, and places in regions, are broadcast.
-MOST_FREQUENT, BROADCAST_IDS, BROADCAST_ROWS = 1 << 18, 1 << 20, 1 << 18
+MOST_FREQUENT, BROADCAST_IDS, BROADCAST_ROWS = 1 << 18, 1 << 20, 1 << 15
 #: The distance of linked documents, that of those which no pivot is near, and room for rounding.
 R, FAR, EPS = 0.2, 0.6, 1e-9
 #: A cut is given up where cells have so many times the members, or one cell has this share of them.
