@@ -79,6 +79,22 @@ def bind(text: str, values: dict[str, float]) -> str | None:
     return " ".join(out)
 
 
+def snapshots(program: str | None) -> list[tuple[str, dict[str, float]]]:
+    """Each statement with the names' values after it; of equal statements the last counts, at the place of the first. Ends before one that is not valid."""
+    values: dict[str, float] = {}
+    out: dict[str, dict[str, float]] = {}
+    for statement in filter(None, (s.strip() for s in (program or "").split(";"))):
+        if not statement.startswith("return "):
+            name, eq, expr = statement.partition("=")
+            name, bound = name.strip(), bind(expr, values)
+            value = evaluate(bound) if eq and bound and _NAME.match(name) else None
+            if value is None:
+                break
+            values[name] = value
+        out[statement] = dict(values)
+    return list(out.items())
+
+
 def run(program: str | None) -> tuple[float | None, dict[str, float]]:
     """(value of the return statement, names at the end); null and no names if a statement is not valid."""
     values: dict[str, float] = {}
@@ -108,3 +124,13 @@ def to_postfix(text: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def run_program(text: pd.Series) -> pd.Series:
     return text.map(lambda t: run(t)[0]).astype("float64")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("statement", T.StringType()), T.StructField("names", T.MapType(T.StringType(), T.DoubleType()))])))
+def run_snapshots(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: [{"statement": s, "names": v} for s, v in snapshots(t)])
+
+
+@F.pandas_udf(T.BooleanType())
+def is_valid(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: postfix(t) is not None)

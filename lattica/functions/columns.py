@@ -133,6 +133,60 @@ def json_or_text(x: Column, field: str, marker: str) -> Column:
     return F.coalesce(parsed, F.when(F.contains(x, F.lit(marker)), F.try_element_at(F.split(x, ": "), F.lit(2))))
 
 
+def vector_product(row: Column, first: int, last: int, by: Column) -> Column:
+    """Elements first..last (from 0) times those of `by` in step, its last one beyond its end."""
+    return F.transform(F.slice(row, first + 1, last - first + 1), lambda x, i: x * F.get(by, F.least(i, F.size(by) - 1)))
+
+
+def quoted_value(message: Column) -> Column:
+    """What stands in the first pair of quotes of an error message."""
+    return F.regexp_extract(message, r"""(["'])(\\?.)*?\1""", 0)
+
+
+def days_until(day_month: Column, today: Column) -> Column:
+    """Days from tomorrow to the next such d/m: of this year, or of the next one if that is past."""
+    part = lambda i: F.try_element_at(F.split(day_month, "/"), F.lit(i)).try_cast("int")
+    on = lambda year: F.try_make_date(year, part(2), part(1)) if hasattr(F, "try_make_date") else F.make_date(year, part(2), part(1))
+    this = on(F.year(today))
+    return F.datediff(F.when(this >= today, this).otherwise(on(F.year(today) + 1)), F.date_add(today, 1))
+
+
+def host_name(x: Column) -> Column:
+    """Without www. and .com."""
+    return F.replace(F.replace(x, F.lit("www.")), F.lit(".com"))
+
+
+def cells_map(cells: Column) -> Column:
+    """Cells label, value, label, value, ... as a map; a missing or blank value is N/A, of equal labels the last counts."""
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / 2).cast("int")), lambda i: F.struct(F.get(cells, 2 * i).alias("key"), F.coalesce(F.nullif(F.get(cells, 2 * i + 1), F.lit("")), F.lit("N/A")).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.when(F.size(cells) > 0, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>"))
+
+
+def random_token(seed: int, n: int, *keys: Column) -> Column:
+    """n hex digits by seed and keys, the same in every run."""
+    return F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]), 256), 1, n)
+
+
+def random_code(seed: int, *keys: Column) -> Column:
+    """Six digits, leading zeros kept."""
+    return F.lpad(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1000000)).cast("string"), 6, "0")
+
+
+def file_name(prefix: Column, token: Column, millis: Column, mime: Column) -> Column:
+    """prefix-token-millis.ext; the extension is what follows the slash of the type."""
+    return F.concat(F.concat_ws("-", prefix, token, millis.cast("string")), F.lit("."), F.element_at(F.split(mime, "/"), -1))
+
+
+def path_tail(path: Column) -> Column:
+    """The last two parts, up to the first dot."""
+    return F.get(F.split(F.array_join(F.slice(F.split(path, "/"), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(1)), F.lit(2)), "/"), "[.]"), F.lit(0))
+
+
+def expires_at(now: Column, seconds: Column) -> Column:
+    return F.timestamp_add("SECOND", seconds.cast("int"), now)
+
+
 # arrays, from 0
 def get_at(a: Column, i: Column) -> Column:
     return F.get(a, i)
@@ -221,8 +275,9 @@ def bilinear(image: Column, y: Column, x: Column) -> Column:
 
 
 def convolve(image: Column, kernel: Sequence[Sequence[float]]) -> Column:
-    """Weighted sum over the neighbourhood; pixels off the edge count as the centre; rounded half to even and clamped."""
+    """Weighted mean over the neighbourhood (sum by the kernel's sum; just the sum if that is 0); pixels off the edge count as the centre; rounded half to even and clamped."""
     r = len(kernel) // 2
+    whole = sum(map(sum, kernel)) or 1
     at = lambda a, b: F.get(F.get(image, a), b)
     total = lambda v, y, x: sum((F.coalesce(F.when((y + dy >= 0) & (x + dx >= 0), at(y + dy, x + dx)), v) * kernel[dy + r][dx + r] for dy in range(-r, r + 1) for dx in range(-r, r + 1)), F.lit(0.0))
-    return F.transform(image, lambda row, y: F.transform(row, lambda v, x: clamp(F.rint(F.round(total(v, y, x), 9))).cast("int")))
+    return F.transform(image, lambda row, y: F.transform(row, lambda v, x: clamp(F.rint(F.round(total(v, y, x) / whole, 9))).cast("int")))

@@ -53,7 +53,7 @@ def band(df: DataFrame, value: str, tiers: Sequence[tuple[float, float, object]]
 
 
 def band_join(df: DataFrame, value: str, tiers: DataFrame, low: str, high: str, position: str, width: float) -> DataFrame:
-    """As `band` with tiers as a table of any size: both sides are cut into cells of `width`, joined by cell, first tier wins."""
+    """As `band` with tiers as a table of any size, without the rows that no tier has: both sides are cut into cells of `width`, joined by cell, first tier wins."""
     cells = tiers.withColumn("__c", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     rows = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__c2", F.floor(F.col(value) / width))
     hit = rows.join(cells, (F.col("__c2") == F.col("__c")) & F.col(value).between(F.col(low), F.col(high)))
@@ -154,8 +154,9 @@ def roles(readers: DataFrame, writers: DataFrame, user: str) -> DataFrame:
 
 # keyed updates
 def last_wins(ops: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key (put, put, ...)."""
-    return ops.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+    """The last row of each key (put, put, ...); of rows at one place in the order the one of greatest hash."""
+    tie = F.xxhash64(*[F.col(c) for c, t in ops.dtypes if not t.startswith("map")])
+    return ops.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), tie.desc()))).where("__n = 1").drop("__n")
 
 
 def replay(ops: DataFrame, key: str, order: str, op: str = "op") -> DataFrame:
@@ -181,6 +182,11 @@ def increment(stock: DataFrame, lines: DataFrame, key: str, foreign: str, amount
     return out.withColumn(minus, F.col(minus) - F.col("__n")).withColumn(plus, F.col(plus) + F.col("__n")).drop("__k", "__n")
 
 
+def stamp(df: DataFrame, reached: Column, flag: str, at: str, when: Column) -> DataFrame:
+    """A state with the time it was reached; null as long as it is not."""
+    return df.withColumn(flag, F.coalesce(reached, F.lit(False))).withColumn(at, F.when(reached, when))
+
+
 def validate(df: DataFrame, rules: Sequence[tuple[Column, str]], name: str = "errors") -> DataFrame:
     """All messages of rules that a row breaks; an unknown outcome breaks the rule."""
     return df.withColumn(name, F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(m)) for ok, m in rules])))

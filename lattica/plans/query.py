@@ -75,6 +75,22 @@ class Page:
         return {"results": self.results, "paginationResult": self.meta(), "data": [r.asDict(True) for r in self.data.collect()]}
 
 
+    def meta_frame(self) -> DataFrame:
+        """The envelope's figures as one row."""
+        m = self.meta()
+        row = (self.results, self.current, self.limit, self.pages, m.get("nextPage"), m.get("prevPage"))
+        return self.data.sparkSession.createDataFrame([row], "results long, current_page int, page_limit int, pages int, next_page int, prev_page int")
+
+
+def secured(df: DataFrame, role: str, owner: str, me: object) -> DataFrame:
+    """A plain user sees own rows, other roles all."""
+    return df.where(F.col(owner) == F.lit(me)) if role == "user" else df
+
+
+def only_keys(pairs: Column, allowed: Sequence[str]) -> Column:
+    return F.map_filter(pairs, lambda k, _: k.isin(*allowed))
+
+
 def _number(value, default: int) -> int:
     try:
         return int(value) or default

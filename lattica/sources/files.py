@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,7 +22,7 @@ def keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
 
 def delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """No header, no quotes; empty fields stay empty strings."""
-    names = [x.split()[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).names
     parts = F.split(F.trim("value"), ",")
     return spark.read.text(path).where(F.trim("value") != "").select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
@@ -75,3 +76,86 @@ def union_columns(frames: Sequence[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def by_id(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The row with that key; running it fails if there is none."""
+    found = df.where(F.col(key) == F.lit(value)).limit(1)
+    # one row whatever was found, so that a missing one is noticed
+    n = found.agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in df.columns])
+    ok = F.when(F.col("__n") == 1, F.col(key)).otherwise(F.raise_error(F.lit(f"no {key} {value}")).cast(dict(df.dtypes)[key]))
+    return n.withColumn(key, ok).select(*df.columns)
+
+
+def json_keys(df: DataFrame, column: str, key: str, name: str) -> DataFrame:
+    """One key of each object in a column of JSON arrays."""
+    return df.withColumn(name, F.transform(F.from_json(column, f"array<struct<{key}:string>>"), lambda x: x[key]))
+
+
+def random_pick(spark: SparkSession, path: str, seed: int) -> DataFrame:
+    """One file of a folder by the seed: (path)."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(1)
+
+
+def cells(pages: DataFrame, tag: str, html: str = "html", name: str = "cells") -> DataFrame:
+    """Texts of the elements of a tag that hold no element of that tag, in order, without inner tags."""
+    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>((?:(?!<{tag}[\s>]).)*?)</{tag}>"), 1)
+    return pages.withColumn(name, F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"<[^>]*>", ""))))
+
+
+def append(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
+def truncate(df: DataFrame, path: str) -> None:
+    """Leave an empty table of df's columns."""
+    df.limit(0).write.mode("overwrite").parquet(path)
+
+
+def append_log(df: DataFrame, path: str, line: str) -> None:
+    """Lines of text, added to those before."""
+    df.select(F.col(line).cast("string").alias("value")).write.mode("append").text(path)
+
+
+def append_projections(df: DataFrame, full: str, least: str, columns: Sequence[str]) -> None:
+    """All columns to one place and some to another; null, false, 0 and blank are written as blank."""
+    blank = lambda c: F.coalesce(F.when(F.col(c).cast("string").isin("0", "0.0", "false"), "").otherwise(F.col(c).cast("string")), F.lit(""))
+    out = df.select(*[blank(c).alias(c) for c in df.columns])
+    append(out, full)
+    append(out.select(*columns), least)
+
+
+def write_all_or_nothing(df: DataFrame, path: str, ok: Column | None = None, message: str = "a row is not valid") -> None:
+    """Replace what is at path only if every row is valid and the whole job succeeds; else the old rows stay."""
+    import uuid
+
+    spark = df.sparkSession
+    if ok is not None:
+        c = df.columns[0]
+        df = df.withColumn(c, F.when(F.coalesce(ok, F.lit(False)), F.col(c)).otherwise(F.raise_error(F.lit(message)).cast(dict(df.dtypes)[c])))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    new, to = hadoop.Path(f"{path}-{uuid.uuid4().hex}"), hadoop.Path(path)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new.toString())
+        fs.delete(to, True)
+        fs.rename(new, to)
+    finally:
+        fs.delete(new, True)
+
+
+def upsert_json(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """old with new's rows in place of those of the same key; a null key counts as blank."""
+    named = lambda df: df.withColumn(key, F.coalesce(F.col(key), F.lit("")))
+    return named(old).join(named(new).select(key), key, "left_anti").unionByName(named(new), allowMissingColumns=True)
+
+
+def wide(pairs: DataFrame, row: str, key: str, value: str, keys: Sequence[str]) -> DataFrame:
+    """Rows of (row, key, value) with a column for each of the keys, in their order; the last value of a key counts."""
+    return pairs.groupBy(row).pivot(key, list(keys)).agg(F.last(value))
+
+
+def first_seen(pairs: DataFrame, row: str, key: str) -> list[str]:
+    """Keys in the order of the rows in which they come first: the header of a file whose columns appear on first sight."""
+    return [r[0] for r in pairs.groupBy(key).agg(F.min(row).alias("at")).orderBy("at", key).select(key).collect()]

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def retry(call: Callable, tries: int = 5, wait: float = 1.0):
@@ -27,7 +28,7 @@ def _frame(rows: Sequence[tuple], names: Sequence[str]) -> pd.DataFrame:
 
 def numbered(spark: SparkSession, pages: int | None, fetch: Callable[[int], Sequence[tuple]], schema: str, tasks: int | None = None, tries: int = 5, wait: float = 1.0) -> DataFrame:
     """Pages 1 to `pages`, dealt over tasks; an unknown number of pages is 1."""
-    names = [x.split()[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -43,7 +44,7 @@ def followed(spark: SparkSession, starts: Sequence[str], fetch: Callable[[str, o
 
     One task for each start. most: no page is fetched once a start has that many rows; an empty page ends it too.
     """
-    names = [x.split()[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -70,4 +71,7 @@ def linked(pages: DataFrame, first: object, page: str, after: str, depth: int =
         select {page}, {after}, 0 from {view} where {page} = :first
         union all select p.{page}, p.{after}, w.position + 1 from walk w join {view} p on p.{page} = w.nxt)
         select at, position from walk"""
-    return pages.join(spark.sql(walk, args={"first": first}), F.col(page) == F.col("at")).drop("at")
+    try:
+        return pages.join(spark.sql(walk, args={"first": first}), F.col(page) == F.col("at")).drop("at")
+    finally:
+        spark.catalog.dropTempView(view)

@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -111,3 +112,40 @@ def key_values(rows: DataFrame, key: str, value: str, compat: bool = False) -> D
     pairs = k.join(v, ["file", "row"])
     lists = F.transform(F.sort_array(F.collect_list(F.struct("file", "row", "value"))), lambda x: F.coalesce(x["value"], F.lit("None")))
     return pairs.groupBy("key").agg(lists.alias("values"))
+
+
+_BOOK = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+}
+
+
+def book(rows: Sequence[Sequence], name: str = "Sheet1") -> bytes:
+    """A workbook of one sheet with the rows as text; None leaves a cell out."""
+    letter = lambda i: (letter(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+    cells = lambda r, row: "".join(f'<c r="{letter(i)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for i, v in enumerate(row) if v is not None)
+    body = "".join(f'<row r="{r}">{cells(r, row)}</row>' for r, row in enumerate(rows, 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for part, text in _BOOK.items():
+            z.writestr(part, text.replace("{name}", escape(name)))
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def books(df: DataFrame, header: Sequence[str], by: str, most: int = 1_000_000) -> DataFrame:
+    """(by, part, content): the rows of each value of `by` as workbooks of at most `most` rows (a sheet holds no more), each with the header.
+
+    Write them with media.write_files. A later run's rows are further parts: a sheet is not opened again.
+    """
+    order = Window.partitionBy(by).orderBy(*header)
+    dealt = df.withColumn("part", ((F.row_number().over(order) - 1) / most).cast("int"))
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(list(header))
+        cells = [[None if pd.isna(v) else v for v in row] for row in rows[list(header)].astype(object).values.tolist()]
+        return pd.DataFrame([(str(key[0]), int(key[1]), book([list(header), *cells]))], columns=["by", "part", "content"])
+
+    return dealt.groupBy(by, "part").applyInPandas(one, "by string, part int, content binary")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def online(events: DataFrame, conn: str = "conn_id", ts: str = "ts", kind: str = "kind") -> DataFrame:
-    """Batch: connections whose last event is no close."""
-    last = events.groupBy(conn).agg(F.max_by(kind, ts).alias("last"))
-    return last.where("last <> 'close'").select(conn)
+def online(events: DataFrame, conn: str = "conn_id", ts: str = "ts", kind: str = "kind", closing: str = "close") -> DataFrame:
+    """Batch: connections whose last event is no closing one; of events at one time the greatest kind is the last."""
+    last = events.groupBy(conn).agg(F.max(F.struct(ts, kind))[kind].alias("last"))
+    return last.where(F.col("last") != closing).select(conn)
 
 
 def online_counts(events: DataFrame, window: str = "1 hour", ts: str = "ts", kind: str = "kind") -> DataFrame:
@@ -28,13 +28,24 @@ def next_mark(messages: DataFrame, last_run, ts: str = "ts") -> DataFrame:
 
 
 def write_snapshots(events: DataFrame, path: str, checkpoint: str):
-    """Keep the set of open connections at path: each batch folds its last events into the snapshot before it."""
+    """Keep each connection's last event at path: a batch folds its own into the snapshot before it, and writes path/<batch>."""
+
+    def last(df: DataFrame) -> DataFrame:
+        return df.groupBy("conn_id").agg(F.max(F.struct("ts", "kind")).alias("e")).select("conn_id", "e.ts", "e.kind")
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        last = batch.groupBy("conn_id").agg(F.max("ts").alias("ts"), F.max_by("kind", "ts").alias("kind"))
+        new = last(batch.select("conn_id", "ts", "kind"))
         if epoch:
-            last = spark.read.parquet(f"{path}/{epoch - 1}").unionByName(last).groupBy("conn_id").agg(F.max("ts").alias("ts"), F.max_by("kind", "ts").alias("kind"))
-        last.write.mode("overwrite").parquet(f"{path}/{epoch}")
+            new = last(batch.sparkSession.read.parquet(f"{path}/{epoch - 1}").unionByName(new))
+        new.write.mode("overwrite").parquet(f"{path}/{epoch}")
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The last snapshot that was written whole."""
+    files = spark._jvm.org.apache.hadoop.fs
+    at = files.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(s.getPath().getName()) for s in fs.listStatus(at) if fs.exists(files.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{path}/{max(done)}")
