@@ -3,11 +3,15 @@
 Seeds are 5-word shingles, of every 6 neighbours the one of least hash, so that 10
 equal words always share one. A seed's reference is the smallest document that has
 it (its k-th place there for the k-th here), which leaves one match for each further place and not one
-for each pair. Matches of a document with a reference are chained in order: a Fenwick
-tree of prefix maxima over reference positions finds the best predecessor under a
-linear gap cost. A further place than the reference has is matched with its first. Chains are aligned word by word over both texts and extended at both
-ends; of an alignment the longest stretches of at least 50 words and 80 % of equal words
-are reported, without what lies beyond their last equal words.
+for each pair. A further place than the reference has is matched with its first. Matches
+of a document with a reference are chained in order: a Fenwick tree of prefix maxima
+over reference positions gives each match its best predecessor, so that chains are
+optimal under a linear gap cost; they are cut at gaps over 48 words. What is left
+chains again, so every match is in one chain. Chains are aligned word by word from
+match to match, and extended at both ends; of an alignment the longest stretches of at
+least 50 words and 80 % of equal words are reported, without what lies beyond their last
+equal words. A chain of one match is not aligned if, in each 50 words about it, less
+than half occur in the reference near its place there.
 Where all seeds are known but no passage came out, as their references differ, all
 50-word windows are looked up by their own hash: every equal run of 50 words that a
 smaller document has lies in a reported passage.
@@ -20,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,8 +84,36 @@ class Fenwick:
         return out
 
 
-def chains(p: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(first p, last p, first q, last q) of the chains of matches (p, q), the best first; every match is in one chain at most.
+Run = tuple[int, int, int, int]
+
+
+def best_chain(runs: list[Run]) -> tuple[float, list[int]]:
+    """(score, runs by index) of the best chain of runs (first p, first q, last p, last q), given in order: words covered less GAP_COST for each word between."""
+    ends = sorted({r[3] for r in runs})
+    place = {v: i for i, v in enumerate(ends)}
+    tree = Fenwick(len(ends))
+    score, back = [0.0] * len(runs), [-1] * len(runs)
+    waiting = sorted(range(len(runs)), key=lambda i: runs[i][2])
+    w = 0
+    for i, (p0, q0, p1, _) in enumerate(runs):
+        while w < len(waiting) and runs[waiting[w]][2] < p0:
+            j = waiting[w]
+            tree.put(place[runs[j][3]], (score[j] + GAP_COST * (runs[j][2] + runs[j][3]), j))
+            w += 1
+        score[i] = p1 - p0 + K
+        value, j = tree.get(bisect_left(ends, q0))
+        if j >= 0 and value > GAP_COST * (p0 + q0):
+            score[i], back[i] = score[i] + value - GAP_COST * (p0 + q0), j
+    i = max(range(len(runs)), key=lambda i: (score[i], -i))
+    top, out = score[i], []
+    while i >= 0:
+        out.append(i)
+        i = back[i]
+    return top, out[::-1]
+
+
+def chains(p: np.ndarray, q: np.ndarray) -> list[list[Run]]:
+    """The chains of matches (p, q), the best first; every match is in one.
 
     Matches in step on one diagonal are joined to a run first; a run weighs the words it covers.
     """
@@ -91,38 +124,27 @@ def chains(p: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int, int]]:
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(p)) - 1
     runs = sorted(zip(p[a].tolist(), q[a].tolist(), p[b].tolist(), q[b].tolist()))
-    if len(runs) == 1:
-        r = runs[0]
-        return [(r[0], r[2], r[1], r[3])]
-    place = {v: i for i, v in enumerate(sorted({r[3] for r in runs}))}
-    ends = sorted(place)
-    tree = Fenwick(len(ends))
-    score, back = [0.0] * len(runs), [-1] * len(runs)
-    waiting = sorted(range(len(runs)), key=lambda i: runs[i][2])
-    w = 0
-    for i, (p0, q0, p1, _q1) in enumerate(runs):
-        while w < len(waiting) and runs[waiting[w]][2] < p0:
-            j = waiting[w]
-            tree.put(place[runs[j][3]], (score[j] + GAP_COST * (runs[j][2] + runs[j][3]), j))
-            w += 1
-        weight = p1 - p0 + K
-        score[i] = weight
-        value, j = tree.get(int(np.searchsorted(ends, q0)))
-        if j >= 0 and p0 - runs[j][2] <= MOST_GAP + K and q0 - runs[j][3] <= MOST_GAP + K:
-            gain = value - GAP_COST * (p0 + q0)
-            if gain > 0:
-                score[i], back[i] = weight + gain, j
-    out, used = [], [False] * len(runs)
-    for i in sorted(range(len(runs)), key=lambda i: -score[i]):
-        if used[i]:
-            continue
-        first = i
-        used[i] = True
-        while back[first] >= 0 and not used[back[first]]:
-            first = back[first]
-            used[first] = True
-        out.append((runs[first][0], runs[i][2], runs[first][1], runs[i][3]))
-    return out
+    # what lies further apart in the one text can be in no common chain
+    out = []
+    while runs:
+        n = 1
+        end = runs[0][2]
+        while n < len(runs) and runs[n][0] - end <= MOST_GAP + K:
+            end = max(end, runs[n][2])
+            n += 1
+        some, runs = runs[:n], runs[n:]
+        while some:
+            chosen = best_chain(some)[1] if len(some) > 1 else [0]
+            chain = [some[chosen[0]]]
+            for i in chosen[1:]:
+                if some[i][0] - chain[-1][2] > MOST_GAP + K or some[i][1] - chain[-1][3] > MOST_GAP + K:
+                    out.append(chain)
+                    chain = []
+                chain.append(some[i])
+            out.append(chain)
+            gone = set(chosen)
+            some = [r for i, r in enumerate(some) if i not in gone]
+    return sorted(out, key=lambda c: (-sum(r[2] - r[0] + K for r in c), c))
 
 
 def resume(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int) -> tuple[int, int] | None:
@@ -178,14 +200,55 @@ def follow(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int = MOST_GAP)
         i, j = i + step[0], j + step[1]
 
 
-def align(x: np.ndarray, y: np.ndarray, i: int, j: int) -> list[Piece]:
-    """The equal runs before and after a seed at x[i], y[j], in order."""
-    left, right = follow(x[:i][::-1], y[:j][::-1], 0, 0), follow(x, y, i, j)
+def align(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -> list[Piece]:
+    """The equal runs at the anchors of a chain, and those that lead on at both its ends, in order."""
+    (i, j), (k, m) = anchors[0], anchors[-1]
+    left, right = follow(x[:i][::-1], y[:j][::-1], 0, 0), follow(x, y, k, m)
     gaps = [g for *_, g in left[1:]] + [0]
     out = [(i - a - n, j - b - n, n, 0) for a, b, n, _ in left][::-1]
     out = [(a, b, n, g) for (a, b, n, _), g in zip(out, [0, *gaps[:-1][::-1]])]
     a, b, n, g = out.pop()
-    return [*out, (a, b, n + right[0][2], g), *right[1:]]
+    if len(anchors) == 1:
+        return [*out, (a, b, n + right[0][2], g), *right[1:]]
+    # the equal run behind the first anchor, then from anchor to anchor
+    out.append((a, b, n + equal(x, y, i, j), g))
+    for u, v in anchors[1:]:
+        a, b, n, _ = out[-1]
+        e, f = a + n, b + n
+        if u < e or v < f:
+            # inside of the run, or beside it
+            t = max(e - u, f - v)
+            n = equal(x, y, u, v) - t
+            if u - v != a - b and n > 0:
+                out.append((u + t, v + t, n, between(x[e : u + t], y[f : v + t])))
+            continue
+        back = equal(x[e:u][::-1], y[f:v][::-1], 0, 0)
+        u, v = u - back, v - back
+        out.append((u, v, equal(x, y, u, v), between(x[e:u], y[f:v])))
+    # beyond the last run, unless it isn't the last anchor's
+    a, b, n, _ = out[-1]
+    if a - b == k - m:
+        out += [(c, d, size, g) for c, d, size, g in right[1:]] if right[0][0] + right[0][2] == a + n else []
+    return out
+
+
+def equal(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
+    """How many words from x[i], y[j] on are equal."""
+    n = min(len(x) - i, len(y) - j)
+    differ = np.flatnonzero(x[i : i + n] != y[j : j + n])
+    return int(differ[0]) if len(differ) else max(n, 0)
+
+
+def hopeless(x: np.ndarray, y: np.ndarray, i: int, j: int, least_words: int) -> bool:
+    """Whether in each `least_words` words about x[i] less than half occur in y near j."""
+    a = x[max(i - least_words, 0) : i + K + least_words]
+    b = np.sort(y[max(j - least_words - MOST_GAP, 0) : j + K + least_words + MOST_GAP])
+    if len(a) < least_words:
+        return True
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    known = np.concatenate([[0], np.cumsum(b[at] == a)])
+    return 2 * int((known[least_words:] - known[:-least_words]).max()) < least_words
 
 
 def good(runs: list[Piece], least_words: int, least_identity: float) -> list[tuple[int, int, int, int, int]]:
@@ -337,7 +400,8 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         out = []
         for a, b in zip(first, np.append(first[1:], len(d))):
             # a chain may be one seed: edits can have removed all others of its passage
-            out += [(d[a], r[a], p0, q0) for p0, _, q0, _ in chains(p[a:b], q[a:b])]
+            for c in chains(p[a:b], q[a:b]) if b - a > 1 else [[(int(p[a]), int(q[a]), 0, 0)]]:
+                out.append((d[a], r[a], c[0][0], c[0][1], np.array([x[:2] for x in c[1:]], dtype=np.int32).tobytes() if len(c) > 1 else None))
         # where all seeds are known from smaller documents, an equal run can lie, whichever these are: other is null, p and q its first and last seed
         by = np.lexsort((p, d))
         d, p = d[by], p[by]
@@ -346,11 +410,12 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(d)) - 1
         ok = p[b] - p[a] >= least_span
-        out += [(x, None, y, z) for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
-        columns = list(zip(*out)) or [()] * 4
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "other", "p", "q"), columns)})
+        out += [(x, None, y, z, None) for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
+        columns = list(zip(*out)) or [()] * 5
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "other", "p", "q", "more"), columns, [pa.int64()] * 4 + [pa.binary()])})
+
+    starts = stash(matched.groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long, more binary"), "chain-found")
 
-    starts = stash(matched.groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long"), "chain-found")
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -361,11 +426,14 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
                 tried = np.zeros((0, 4), dtype=np.int64)  # runs that alignments went through: another start there leads nowhere else
                 for s in starts:
                     p, q, size = s["p"] - low, s["q"], s["size"]
+                    anchors = [(p, q)] + ([(u - low, v) for u, v in np.frombuffer(s["more"], np.int32).reshape(-1, 2).tolist()] if s["more"] else [])
                     if any(a <= p and p + size <= b and c <= q < e for a, b, c, e, _ in seen):
                         continue
                     if ((tried[:, 0] - tried[:, 1] == p - q) & (tried[:, 0] <= p) & (p < tried[:, 0] + tried[:, 2])).any():
                         continue
-                    runs = align(x, y, p, q)
+                    if len(anchors) == 1 and size == 1 and hopeless(x, y, p, q, least_words):
+                        continue
+                    runs = align(x, y, anchors)
                     # what lies beyond the excerpt could have a say
                     if (low and runs[0][0] < MOST_GAP + 3) or (after and len(x) - runs[-1][0] - runs[-1][2] < MOST_GAP + 3):
                         own = None
@@ -384,7 +452,8 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         for batch in batches:
             x, low, after = [], [], []
             for starts, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = max(min(s["p"] for s in starts) - NEAR, 0), max(s["p"] + s["size"] for s in starts) + NEAR
+                last = [np.frombuffer(s["more"], np.int32)[-2] if s["more"] else s["p"] for s in starts]
+                a, b = max(min(s["p"] for s in starts) - NEAR, 0), max(int(e) + s["size"] for s, e in zip(starts, last)) + NEAR
                 x.append(t[4 * a : 4 * b])
                 low.append(a)
                 after.append(max(len(t) // 4 - b, 0))
@@ -392,7 +461,7 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
 
     def passed(pairs: DataFrame, name: str) -> DataFrame:
         """Passages of pairs (doc_id, other, starts): from excerpts of the one text, or from all of it if an alignment reaches an excerpt's end."""
-        cut = "doc_id long, other long, starts array<struct<p:long,q:long,size:long>>, x binary, low long, after long"
+        cut = "doc_id long, other long, starts array<struct<p:long,q:long,size:long,more:binary>>, x binary, low long, after long"
 
         def against(pairs: DataFrame, whole: bool) -> DataFrame:
             both = pairs.join(spelt.withColumnRenamed("spelt", "x"), F.col("doc_id") == F.col("id")).select("doc_id", "other", "starts", "x")
@@ -405,7 +474,7 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         return near.where("n_equal is not null").unionAll(against(pairs.join(wide, ["doc_id", "other"], "left_semi"), True))
 
     def paired(found: DataFrame) -> DataFrame:
-        return found.groupBy("doc_id", "other").agg(F.collect_list(F.struct("p", "q", F.col("size").cast("bigint").alias("size"))).alias("starts"))
+        return found.groupBy("doc_id", "other").agg(F.sort_array(F.collect_list(F.struct("p", "q", F.col("size").cast("bigint").alias("size"), "more"))).alias("starts"))
 
     first = stash(passed(paired(starts.where("other is not null").withColumn("size", F.lit(1))), "first"), "chain-first")
 
@@ -490,5 +559,5 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
     runs = spelt.mapInArrow(offer, "bucket int, keys binary, places binary").groupBy("bucket").applyInArrow(settle, "part int, matches binary").groupBy("part").applyInArrow(merge, "doc_id long, other long, p long, q long, size long")
     # runs that lie in a passage of the first round are done
     runs = runs.join(done, "doc_id", "left").where("not exists(coalesce(done, array()), v -> v.first_word <= p and p + size <= v.end_word)").drop("done")
-    second = passed(stash(paired(runs), "chain-runs"), "second")
+    second = passed(stash(paired(runs.withColumn("more", F.lit(None).cast("binary"))), "chain-runs"), "second")
     return first.unionAll(second).distinct()

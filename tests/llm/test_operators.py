@@ -402,13 +402,23 @@ def test_chains(spark, rows, docs, empty):
         assert x.other_doc_id < x.doc_id and min(len(a), len(b)) >= 50 and x.identity >= 0.8
         assert x.n_equal <= sum((Counter(a) & Counter(b)).values())
     assert chain_dedup.passages(empty).count() == 0
-    # gap costs by brute force: the best chain under the same score
+    # the best chain by brute force over all chains
     r = random.Random(8)
-    for _ in range(40):
+
+    def value(chain):
+        between = sum(v[0] - u[2] + v[1] - u[3] for u, v in zip(chain, chain[1:]))
+        return sum(x[2] - x[0] + chain_dedup.K for x in chain) - chain_dedup.GAP_COST * between
+
+    for n in range(60):
+        runs = sorted({(p, q, p + k, q + k) for p, q, k in ((r.randrange(80), r.randrange(80), r.choice([0, 0, 3, 9])) for _ in range(9))})
+        every = (c for k in range(1, 6) for c in itertools.combinations(runs, k) if all(u[2] < v[0] and u[3] < v[1] for u, v in zip(c, c[1:])))
+        score, chosen = chain_dedup.best_chain(runs)
+        assert abs(score - max(map(value, every))) < 1e-9 and abs(value([runs[i] for i in chosen]) - score) < 1e-9
         m = sorted({(r.randrange(60), r.randrange(60)) for _ in range(12)})
-        p, q = np.array([x[0] for x in m]), np.array([x[1] for x in m])
-        for a, b, c, d in chain_dedup.chains(p, q):
-            assert a <= b and c <= d
+        found = chain_dedup.chains(np.array([x[0] for x in m]), np.array([x[1] for x in m]))
+        for c in found:
+            assert all(u[2] < v[0] <= u[2] + 53 and u[3] < v[1] <= u[3] + 53 for u, v in zip(c, c[1:]))
+        assert {x[:2] for c in found for x in c} <= set(m) and sum(sum(1 for v in m if v[0] - v[1] == x[0] - x[1] and x[0] <= v[0] <= x[2]) for c in found for x in c) == len(m)
 
 
 def copied(r, pair, edits=0, n=60, around=150):
