@@ -41,6 +41,8 @@ NEAR = 96
 #: Bits of the map of windows asked for, at most; with more windows the map lets more others through.
 MOST_BITS = 1 << 28
 GAP_COST, MOST_GAP = 0.1, 48
+#: So many ids at most are broadcast.
+BROADCAST_IDS = 1 << 20
 SCHEMA = "doc_id long, other_doc_id long, first_word long, end_word long, other_first_word long, other_end_word long, n_equal long, identity double"
 
 
@@ -112,39 +114,50 @@ def best_chain(runs: list[Run]) -> tuple[float, list[int]]:
     return top, out[::-1]
 
 
-def chains(p: np.ndarray, q: np.ndarray) -> list[list[Run]]:
-    """The chains of matches (p, q), the best first; every match is in one.
+def chains(runs: list[Run]) -> list[list[Run]]:
+    """Chains of runs, given in order: the best one, cut at gaps over MOST_GAP, then the best of what is left, and so on."""
+    out = []
+    while runs:
+        chosen = best_chain(runs)[1] if len(runs) > 1 else [0]
+        chain = [runs[chosen[0]]]
+        for i in chosen[1:]:
+            if runs[i][0] - chain[-1][2] > MOST_GAP + K or runs[i][1] - chain[-1][3] > MOST_GAP + K:
+                out.append(chain)
+                chain = []
+            chain.append(runs[i])
+        out.append(chain)
+        gone = set(chosen)
+        runs = [r for i, r in enumerate(runs) if i not in gone]
+    return out
+
+
+def chained(d: np.ndarray, r: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, list[Run]]]]:
+    """Chains of the matches (p, q) of each pair (d, r): (d, r, p, q) of chains of one run, and (d, r, chain) of the others.
 
     Matches in step on one diagonal are joined to a run first; a run weighs the words it covers.
+    Runs that all lie further than MOST_GAP behind those before them begin anew.
     """
-    by = np.lexsort((p, p - q))
-    p, q = p[by], q[by]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] - p[:-1] > WINDOW)
+    by = np.lexsort((p, p - q, r, d))
+    d, r, p, q = d[by], r[by], p[by], q[by]
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] - p[:-1] > WINDOW)
     a = np.flatnonzero(new)
-    b = np.append(a[1:], len(p)) - 1
-    runs = sorted(zip(p[a].tolist(), q[a].tolist(), p[b].tolist(), q[b].tolist()))
-    # what lies further apart in the one text can be in no common chain
-    out = []
-    while runs:
-        n = 1
-        end = runs[0][2]
-        while n < len(runs) and runs[n][0] - end <= MOST_GAP + K:
-            end = max(end, runs[n][2])
-            n += 1
-        some, runs = runs[:n], runs[n:]
-        while some:
-            chosen = best_chain(some)[1] if len(some) > 1 else [0]
-            chain = [some[chosen[0]]]
-            for i in chosen[1:]:
-                if some[i][0] - chain[-1][2] > MOST_GAP + K or some[i][1] - chain[-1][3] > MOST_GAP + K:
-                    out.append(chain)
-                    chain = []
-                chain.append(some[i])
-            out.append(chain)
-            gone = set(chosen)
-            some = [r for i, r in enumerate(some) if i not in gone]
-    return sorted(out, key=lambda c: (-sum(r[2] - r[0] + K for r in c), c))
+    b = np.append(a[1:], len(d)) - 1
+    x = np.stack([d[a], r[a], p[a], q[a], p[b], q[b]])
+    x = x[:, np.lexsort((x[3], x[2], x[1], x[0]))]
+    new = np.ones(x.shape[1], dtype=bool)
+    new[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
+    # the furthest end so far within the pair
+    pair = np.cumsum(new) << 32
+    end = np.maximum.accumulate(pair + x[4])
+    new[1:] |= pair[1:] + x[2, 1:] - end[:-1] > MOST_GAP + K
+    a = np.flatnonzero(new)
+    size = np.diff(np.append(a, x.shape[1]))
+    alone = x[:4, a[size == 1]]
+    several = []
+    for i, n in zip(a[size > 1].tolist(), size[size > 1].tolist()):
+        several += [(int(x[0, i]), int(x[1, i]), c) for c in chains(list(map(tuple, x[2:, i : i + n].T.tolist())))]
+    return alone[:2], alone[2:], several
 
 
 def resume(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int) -> tuple[int, int] | None:
@@ -392,16 +405,9 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
 
     def chain(_: tuple, rows: pa.Table) -> pa.Table:
         d, r, p, q = np.concatenate([np.frombuffer(m, np.int64).reshape(4, -1) for m in rows["matches"].to_pylist()], axis=1)
-        by = np.lexsort((q, p, r, d))
-        d, r, p, q = d[by], r[by], p[by], q[by]
-        new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1])
-        first = np.flatnonzero(new)
-        out = []
-        for a, b in zip(first, np.append(first[1:], len(d))):
-            # a chain may be one seed: edits can have removed all others of its passage
-            for c in chains(p[a:b], q[a:b]) if b - a > 1 else [[(int(p[a]), int(q[a]), 0, 0)]]:
-                out.append((d[a], r[a], c[0][0], c[0][1], np.array([x[:2] for x in c[1:]], dtype=np.int32).tobytes() if len(c) > 1 else None))
+        # a chain may be one seed: edits can have removed all others of its passage
+        pair, at, several = chained(d, r, p, q)
+        out = [(x, y, c[0][0], c[0][1], np.array([v[:2] for v in c[1:]], dtype=np.int32).tobytes() if len(c) > 1 else None) for x, y, c in several]
         # where all seeds are known from smaller documents, an equal run can lie, whichever these are: other is null, p and q its first and last seed
         by = np.lexsort((p, d))
         d, p = d[by], p[by]
@@ -412,7 +418,9 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         ok = p[b] - p[a] >= least_span
         out += [(x, None, y, z, None) for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
         columns = list(zip(*out)) or [()] * 5
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "other", "p", "q", "more"), columns, [pa.int64()] * 4 + [pa.binary()])})
+        whole = [pa.concat_arrays([pa.array(v, pa.int64()), pa.array(c, pa.int64())]) for v, c in zip((*pair, *at), columns)]
+        more = pa.concat_arrays([pa.nulls(pair.shape[1], pa.binary()), pa.array(columns[4], pa.binary())])
+        return pa.table([*whole, more], names=["doc_id", "other", "p", "q", "more"])
 
     starts = stash(matched.groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long, more binary"), "chain-found")
 
@@ -464,19 +472,27 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         cut = "doc_id long, other long, starts array<struct<p:long,q:long,size:long,more:binary>>, x binary, low long, after long"
 
         def against(pairs: DataFrame, whole: bool) -> DataFrame:
-            both = pairs.join(spelt.withColumnRenamed("spelt", "x"), F.col("doc_id") == F.col("id")).select("doc_id", "other", "starts", "x")
+            # of few documents the texts are picked first, so that not all are shuffled
+            texts = spelt
+            ids = stash(pairs.select(F.col("doc_id").alias("of")).unionAll(pairs.select("other")).distinct(), f"chain-{name}-ids")
+            if ids.count() <= BROADCAST_IDS and 4 * ids.count() <= spelt.count():
+                texts = spelt.join(F.broadcast(ids), F.col("id") == F.col("of"), "left_semi")
+            both = pairs.join(texts.withColumnRenamed("spelt", "x"), F.col("doc_id") == F.col("id")).select("doc_id", "other", "starts", "x")
             both = both.withColumns({"low": F.lit(0).cast("bigint"), "after": F.lit(0).cast("bigint")}) if whole else both.mapInArrow(excerpts, cut)
-            both = both.join(spelt.withColumnRenamed("spelt", "y"), F.col("other") == F.col("id"))
+            both = both.join(texts.withColumnRenamed("spelt", "y"), F.col("other") == F.col("id"))
             return both.select("doc_id", "other", "starts", "x", "low", "after", "y").mapInArrow(aligned, SCHEMA)
 
         near = stash(against(pairs, False), f"chain-{name}-near")
         wide = near.where("n_equal is null").select("doc_id", F.col("other_doc_id").alias("other"))
-        return near.where("n_equal is not null").unionAll(against(pairs.join(wide, ["doc_id", "other"], "left_semi"), True))
+        if wide.isEmpty():
+            return near
+        again = stash(pairs.join(F.broadcast(wide) if wide.count() <= BROADCAST_IDS else wide, ["doc_id", "other"], "left_semi"), f"chain-{name}-wide")
+        return near.where("n_equal is not null").unionAll(against(again, True))
 
     def paired(found: DataFrame) -> DataFrame:
         return found.groupBy("doc_id", "other").agg(F.sort_array(F.collect_list(F.struct("p", "q", F.col("size").cast("bigint").alias("size"), "more"))).alias("starts"))
 
-    first = stash(passed(paired(starts.where("other is not null").withColumn("size", F.lit(1))), "first"), "chain-first")
+    first = stash(passed(stash(paired(starts.where("other is not null").withColumn("size", F.lit(1))), "chain-pairs"), "first"), "chain-first")
 
     # equal runs that seeds did not lead to: their windows of least_words are elected themselves
     spans = starts.where("other is null").groupBy("doc_id").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
