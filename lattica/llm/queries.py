@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import chain_dedup, decontaminate, jaccard_join, ppm, quality_rules, secret_scan, source_mix, suffix_dedup, toxicity, warc_fixity
+from lattica.llm import chain_dedup, decontaminate, jaccard_join, oracle, ppm, quality_rules, secret_scan, source_mix, suffix_dedup, toxicity, warc_fixity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_secret_scan, op4_source_mix, op5_quality_rules, op6_toxicity, op7_ppm_scoring, op8_warc_fixity, op9_chain_dedup, op10_suffix_dedup, pipeline)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
