@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Words, by_bucket, flat, joined, mix, partitions, powers, shingles, stash, words
+from lattica.llm.common import Words, buckets_for, by_bucket, flat, joined, mix, powers, shingles, stash, words
 from lattica.llm.suffix_dedup import least
 
 K, WINDOW = 5, 6
@@ -322,7 +322,7 @@ def spelt_words(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, in
 
 def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8, buckets: int | None = None) -> DataFrame:
     """Passages of a document that a smaller one has as well: doc_id, other_doc_id, where in both, equal words and identity."""
-    buckets = buckets or 2 * partitions(docs.sparkSession)
+    buckets = buckets or buckets_for(docs)
     slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
     if slim.count() > slim.select("doc_id").distinct().count():
         slim = slim.groupBy("doc_id").agg(F.max("text").alias("text"))

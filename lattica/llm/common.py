@@ -10,7 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,6 +73,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(docs: DataFrame, most_bytes: int = 1 << 25) -> int:
+    """Into how many hash buckets the work on docs is dealt: two for each shuffle partition, and more where the files are so large that a bucket would stand for over most_bytes of them."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # else the source can't tell
+    return max(2 * partitions(docs.sparkSession), -(-size // most_bytes) if known else 1)
+
+
+def arrow_rows(docs: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow with docs' own columns, whatever their names; `each` sees them by position."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(each, plain.schema).toDF(*docs.columns)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 (a bijection of 64-bit words)."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -4,13 +4,16 @@ Texts are words of lower-cased letters and digits (other ASCII separates). A win
 as long as an item slides over each document; its 64-bit SimHash adds its 5-word
 shingles, each as often as it occurs. Fingerprints are cut into four blocks: within
 radius 20 one block differs by at most 5 bits, so block lists find every item in
-the radius. Candidates are verified by exact weighted Jaccard similarity of shingle
+the radius. (At so wide a radius a list admits many items: it saves the distances of the
+rest, no more.) Candidates are verified by exact weighted Jaccard similarity of shingle
 counts, 0.8 or more.
 
 A window is fingerprinted only if at least half of its shingles belong to some item:
 below 8/9 no window can reach 0.8, so nothing is lost. Items are broadcast in
 blocks of `block_items`, one pass over the documents for each.
 
+A document shorter than an item is one window as a whole.
+
 Null and empty texts match nothing; items without words match nothing; items under
 five words are one shingle; repeated rows are reported each; an item_id that occurs
 twice stands for each of its texts. Other columns are ignored.
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Texts, flat, ranges, shingles, words
+from lattica.llm.common import Texts, arrow_rows, flat, ranges, shingles, words
 
 _STRIP = np.ones(256, dtype=bool)
 _STRIP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -97,12 +100,28 @@ def matches(items: Items, t: Texts, radius: int = 20, least: float = 0.8) -> lis
     """(document of t, item, similarity, distance, first word, words): the best window of each pair that matches."""
     w = words(t, strip=_STRIP)
     best: dict[tuple[int, int], tuple] = {}
+
+    def verify(n: int, h: np.ndarray, ptr: np.ndarray, start: np.ndarray, m: int) -> None:
+        """Compare the windows of m shingles from each start with the items of n words."""
+        pool = items.by_size[n]
+        marks = np.array([x[2] for x in pool])
+        for a in range(0, len(start), 4096):
+            s = start[a : a + 4096]
+            rows = h[s[:, None] + np.arange(m)]
+            for x, y, d in zip(*candidates(simhash(rows), marks, radius)):
+                sim = similarity(Counter(rows[x].tolist()), pool[y][1])
+                if sim >= least:
+                    at = int(np.searchsorted(ptr, s[x], "right") - 1)
+                    key, found = (at, pool[y][0]), (-sim, int(s[x] - ptr[at]), int(d), min(n, int(count[at])))
+                    if key not in best or found < best[key]:
+                        best[key] = found
+
+    count = np.diff(w.ptr)
     for k, sizes in items.sizes.items():
         h, ptr = shingles(w, k)
         if not len(h):
             continue
         maybe = np.flatnonzero(items.any[k][h & np.uint64((1 << _SEEN_BITS) - 1)])
-        count = np.diff(w.ptr)
         for n in sizes:
             m = n - k + 1
             own = items.of_size[n]
@@ -111,23 +130,25 @@ def matches(items: Items, t: Texts, radius: int = 20, least: float = 0.8) -> lis
             if not len(hit):
                 continue
             doc = np.searchsorted(ptr, hit, "right") - 1
-            hit, doc = hit[count[doc] >= n], doc[count[doc] >= n]
+            # texts shorter than the items, whole, by their number of shingles
+            size = count[doc] - k + 1
+            few = (size > 0) & (size < m) & (size >= least * m)
+            for z in np.unique(size[few]):
+                which, hits = np.unique(doc[few & (size == z)], return_counts=True)
+                verify(n, h, ptr, ptr[which[2 * hits >= z]], int(z))
+            hit, doc = hit[size >= m], doc[size >= m]
             first, last = np.maximum(hit - m + 1, ptr[doc]), np.minimum(hit, ptr[doc + 1] - m)
             # a start occurs once for every hit in its window
-            start, hits = np.unique(ranges(first, last - first + 1), return_counts=True)
-            start = start[2 * hits >= m]
-            pool = items.by_size[n]
-            marks = np.array([x[2] for x in pool])
-            for a in range(0, len(start), 4096):
-                s = start[a : a + 4096]
-                rows = h[s[:, None] + np.arange(m)]
-                for x, y, d in zip(*candidates(simhash(rows), marks, radius)):
-                    sim = similarity(Counter(rows[x].tolist()), pool[y][1])
-                    if sim >= least:
-                        at = int(np.searchsorted(ptr, s[x], "right") - 1)
-                        key, found = (at, pool[y][0]), (-sim, int(s[x] - ptr[at]), int(d), n)
-                        if key not in best or found < best[key]:
-                            best[key] = found
+            if (last - first + 1).sum() > len(h):
+                step = np.zeros(len(h) + 1, dtype=np.int64)
+                np.add.at(step, first, 1)
+                np.add.at(step, last + 1, -1)
+                hits = np.cumsum(step[:-1])
+                start = np.flatnonzero((hits > 0) & (2 * hits >= m))
+            else:
+                start, hits = np.unique(ranges(first, last - first + 1), return_counts=True)
+                start = start[2 * hits >= m]
+            verify(n, h, ptr, start, m)
     return [(d, item, -sim, dist, at, n) for (d, item), (sim, at, dist, n) in sorted(best.items())]
 
 
@@ -172,5 +193,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, radius: int = 20, least: float
                     ok[[t.first + x[0] for x in matches(sent.value, t, radius, least)]] = False
                 yield batch.filter(pa.array(ok))
 
-        docs = docs.mapInArrow(each, docs.schema)
+        docs = arrow_rows(docs, each)
     return docs

@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import by_bucket, flat, free, joined, mix, partitions, quoted, ranges, sets, shingles, stash, words
+from lattica.llm.common import buckets_for, by_bucket, flat, free, joined, mix, quoted, ranges, sets, shingles, stash, words
 from lattica.llm.components import components
 
 _U = np.uint64
@@ -450,7 +450,7 @@ def region_join(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, k: int = 5, buckets: int | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): n_shingles and component_id, the least doc_id that links reach."""
-    buckets = buckets or 2 * partitions(docs.sparkSession)
+    buckets = buckets or buckets_for(docs)
     rows = survey(docs, k, buckets)
     one = rows.where("row is not null")
     more = _shared(rows.where("bucket is not null").select("bucket", "keys", "rows"), buckets)

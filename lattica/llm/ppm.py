@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Texts, by_bucket, flat, joined, mix, partitions, ranges, segment_sum, stash, words
+from lattica.llm.common import Texts, buckets_for, by_bucket, flat, joined, mix, ranges, segment_sum, stash, words
 
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -260,7 +260,7 @@ def _answers(kind: int, wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray
 def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2", most_words: int = 1 << 19, most_contexts: int = 1 << 16, buckets: int | None = None, order: int = 3) -> DataFrame:
     """Per row of docs (doc_id, text): the token counts and base_score of the word model, and score, the trie's log10 probability."""
     spark = docs.sparkSession
-    buckets = buckets or 2 * partitions(spark)
+    buckets = buckets or buckets_for(docs)
     if not 2 <= order <= 6:
         raise ValueError("order is 2 to 6")
     counts = gather(docs, train, buckets, order)

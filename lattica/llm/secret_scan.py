@@ -19,6 +19,8 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from lattica.llm.common import arrow_rows
 from pyspark.sql import types as T
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -157,4 +159,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", width: int = 20, thresholds:
             columns = [texts if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(each, docs.schema)
+    return arrow_rows(docs, each)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Texts, by_bucket, flat, joined, mix, partitions, powers, prefix_hash, ranges
+from lattica.llm.common import Texts, buckets_for, by_bucket, flat, joined, mix, powers, prefix_hash, ranges
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
@@ -229,8 +229,8 @@ def _short(key: np.ndarray, buckets: int) -> np.ndarray:
 
 def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): bytes, removed bytes, removed runs, and the hash of what is kept."""
-    buckets = buckets or 2 * partitions(docs.sparkSession)
-    slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "coalesce(cast(text as string), '') text", f"cast(pmod(xxhash64(doc_id), {buckets}) as int) part")
+    buckets = buckets or buckets_for(docs)
+    slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "coalesce(cast(text as string), '') text", f"cast(pmod(xxhash64(coalesce(cast(doc_id as bigint), xxhash64(text))), {buckets}) as int) part")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -118,33 +118,41 @@ def archives(pages: DataFrame, per_file: int = 1024) -> DataFrame:
     return x.groupBy("file").agg(F.array_join(F.transform(parts, lambda p: p["r"]), "").cast("binary").alias("content"))
 
 
-def split_records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(start, end, headers, body) of the records of one file, gzipped or not; stops at the first that is cut short."""
+def split_records(content: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """(start, end, headers, body) of the records of one file, gzipped or not. A range that is no whole record has headers None, up to the next record or the end."""
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
     at = 0
-    while content[at : at + 5] == b"WARC/":
-        head = content.find(b"\r\n\r\n", at)
+    while at < len(content):
+        head = content.find(b"\r\n\r\n", at) if content[at : at + 5] == b"WARC/" else -1
         if head < 0:
-            return
+            end = content.find(b"WARC/1", at + 1)
+            end = end if end >= 0 else len(content)
+            yield at, end, None, content[at:end]
+            at = end
+            continue
         lines = content[at:head].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = int(headers.get("content-length", "0")) if headers.get("content-length", "0").isdigit() else -1
         end = head + 4 + size + 4
-        if size < 0 or end > len(content):
-            return
+        if size < 0 or end > len(content) or content[end - 4 : end] != b"\r\n\r\n":
+            end = content.find(b"WARC/1", at + 1)
+            end = end if end >= 0 else len(content)
+            yield at, end, None, content[at:end]
+            at = end
+            continue
         yield at, end, headers, content[head + 4 : head + 4 + size]
         at = end
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files below path: file, start, end, record_id, url, body."""
-    schema = "path string, start long, end long, record_id string, url string, body binary"
+    """Records of all WARC files below path: file, start, end, record_id, url, body; ranges that are no whole records are `damaged`."""
+    schema = "path string, start long, end long, record_id string, url string, body binary, damaged boolean"
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"]):
-                rows = [(name, s, e, h.get("warc-record-id"), h.get("warc-target-uri"), body) for s, e, h, body in split_records(bytes(content))]
-                yield pd.DataFrame(rows, columns=["path", "start", "end", "record_id", "url", "body"])
+                rows = [(name, s, e, (h or {}).get("warc-record-id"), (h or {}).get("warc-target-uri"), body, h is None) for s, e, h, body in split_records(bytes(content))]
+                yield pd.DataFrame(rows, columns=["path", "start", "end", "record_id", "url", "body", "damaged"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(each, schema)
