@@ -6,8 +6,8 @@ it (its k-th place there for the k-th here), which leaves one match for each fur
 for each pair. A further place than the reference has is matched with its first. Matches
 of a document with a reference are chained in order: a Fenwick tree of prefix maxima
 over reference positions gives each match its best predecessor, so that chains are
-optimal under a linear gap cost; they are cut at gaps over 48 words. What is left
-chains again, so every match is in one chain. Chains are aligned word by word from
+optimal under a linear gap cost; they are cut at gaps over 48 words. Those left end where
+they meet a better one, so every match is in one chain. Chains are aligned word by word from
 match to match, and extended at both ends; of an alignment the longest stretches of at
 least 50 words and 80 % of equal words are reported, without what lies beyond their last
 equal words. A chain of one match is not aligned if, in each 50 words about it, less
@@ -89,8 +89,8 @@ class Fenwick:
 Run = tuple[int, int, int, int]
 
 
-def best_chain(runs: list[Run]) -> tuple[float, list[int]]:
-    """(score, runs by index) of the best chain of runs (first p, first q, last p, last q), given in order: words covered less GAP_COST for each word between."""
+def scored(runs: list[Run]) -> tuple[list[float], list[int]]:
+    """For each of runs (first p, first q, last p, last q), given in order: the score of the best chain that ends with it, words covered less GAP_COST for each word between, and the run before it there."""
     ends = sorted({r[3] for r in runs})
     place = {v: i for i, v in enumerate(ends)}
     tree = Fenwick(len(ends))
@@ -106,28 +106,24 @@ def best_chain(runs: list[Run]) -> tuple[float, list[int]]:
         value, j = tree.get(bisect_left(ends, q0))
         if j >= 0 and value > GAP_COST * (p0 + q0):
             score[i], back[i] = score[i] + value - GAP_COST * (p0 + q0), j
-    i = max(range(len(runs)), key=lambda i: (score[i], -i))
-    top, out = score[i], []
-    while i >= 0:
-        out.append(i)
-        i = back[i]
-    return top, out[::-1]
+    return score, back
 
 
 def chains(runs: list[Run]) -> list[list[Run]]:
-    """Chains of runs, given in order: the best one, cut at gaps over MOST_GAP, then the best of what is left, and so on."""
-    out = []
-    while runs:
-        chosen = best_chain(runs)[1] if len(runs) > 1 else [0]
-        chain = [runs[chosen[0]]]
-        for i in chosen[1:]:
-            if runs[i][0] - chain[-1][2] > MOST_GAP + K or runs[i][1] - chain[-1][3] > MOST_GAP + K:
-                out.append(chain)
+    """Chains of runs, given in order: the best one, then the best ends of those left, back to a run that is in a chain already; cut at gaps over MOST_GAP."""
+    score, back = scored(runs)
+    out, used = [], [False] * len(runs)
+    for i in sorted(range(len(runs)), key=lambda i: -score[i]):
+        chain: list[Run] = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            if chain and (chain[-1][0] - runs[i][2] > MOST_GAP + K or chain[-1][1] - runs[i][3] > MOST_GAP + K):
+                out.append(chain[::-1])
                 chain = []
             chain.append(runs[i])
-        out.append(chain)
-        gone = set(chosen)
-        runs = [r for i, r in enumerate(runs) if i not in gone]
+            i = back[i]
+        if chain:
+            out.append(chain[::-1])
     return out
 
 

@@ -412,8 +412,12 @@ def test_chains(spark, rows, docs, empty):
     for n in range(60):
         runs = sorted({(p, q, p + k, q + k) for p, q, k in ((r.randrange(80), r.randrange(80), r.choice([0, 0, 3, 9])) for _ in range(9))})
         every = (c for k in range(1, 6) for c in itertools.combinations(runs, k) if all(u[2] < v[0] and u[3] < v[1] for u, v in zip(c, c[1:])))
-        score, chosen = chain_dedup.best_chain(runs)
-        assert abs(score - max(map(value, every))) < 1e-9 and abs(value([runs[i] for i in chosen]) - score) < 1e-9
+        score, back = chain_dedup.scored(runs)
+        i = max(range(len(runs)), key=score.__getitem__)
+        top, best = score[i], []
+        while i >= 0:
+            best, i = [runs[i], *best], back[i]
+        assert abs(top - max(map(value, every))) < 1e-9 and abs(value(best) - top) < 1e-9
         m = sorted({(r.randrange(60), r.randrange(60)) for _ in range(12)})
         p, q = np.array(m).T
         pair, at, several = chain_dedup.chained(np.full(12, 9)[: len(p)], np.full(12, 4)[: len(p)], p, q)
