@@ -3,7 +3,13 @@
 Three patterns give the base spans. The method adds spans of kind `entropy`: over
 every run of key-like characters a window slides, its Shannon entropy kept by
 incremental counts, and windows over the threshold of their character class are
-joined. Spans are code points, end exclusive.
+joined and widened to whole tokens (pieces between `/`, `_`, `=` and `-`). Tokens on the
+allow-list are cut out of a run before, what is left of it is scanned. Spans are code
+points, end exclusive.
+
+A threshold is what all but 2 % of random 20-character strings of the class reach.
+Windows with marks, with one digit or of letters in both cases need more, as paths and
+names in prose reach that too; letters of one case count only where vowels are few.
 
 Null and empty texts have no spans; texts are never cut; repeated rows are scanned
 each for itself; a null doc_id is carried along; other columns are ignored by
@@ -28,10 +34,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Bits per character that a window must reach, by class: hexadecimal, letters with digits, letters with digits and marks, letters of both cases.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9, "letters": 4.1}
-#: Whole candidates that are no secrets: UUIDs, and strings that say they are examples.
-ALLOW = (r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"(?i).*(example|placeholder|changeme|dummy|sample).*")
+#: Bits per character that a window must reach, by class: hexadecimal; digits and letters of one case, of both; letters of one case, of both; all others.
+THRESHOLDS = {"hex": 2.95, "base36": 3.45, "base62": 3.68, "single": 3.28, "letters": 3.9, "mixed": 3.9}
+#: Tokens that are no secrets: UUIDs, those that say they are examples, and the key of a well-known manual.
+ALLOW = (r"(?i)(?<![0-9a-z])[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])", r"(?i)example|placeholder|changeme|dummy|sample", r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
+#: Characters between tokens.
+BETWEEN = "/_=-"
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -52,15 +60,22 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _class(n_hex: int, n_lower: int, n_upper: int, n_digit: int, width: int) -> str | None:
+def _class(n_hex: int, n_lower: int, n_upper: int, n_digit: int, n_vowel: int, width: int) -> str | None:
     letters = n_lower + n_upper
-    if not n_digit:
-        return "letters" if letters == width and n_lower >= 5 and n_upper >= 5 else None
+    both = bool(n_lower and n_upper)
     if not letters:
         return None
-    if n_hex == width:
+    if n_digit and n_hex == width:
         return "hex"
-    return "alnum" if letters + n_digit == width else "base64"
+    if n_digit > 1 and (both or letters + n_digit == width):
+        return "base62" if both else "base36"
+    if n_digit:
+        return "mixed"
+    if letters < width:
+        return None
+    if not both:
+        return "single" if 5 * n_vowel <= width else None
+    return "letters" if 4 * min(n_lower, n_upper) >= width else None
 
 
 def hot_windows(s: str, width: int, thresholds: dict[str, float]) -> Iterator[tuple[int, int]]:
@@ -71,7 +86,7 @@ def hot_windows(s: str, width: int, thresholds: dict[str, float]) -> Iterator[tu
     logs = [0.0, 0.0] + [c * math.log2(c) for c in range(2, width + 1)]
     counts: dict[str, int] = {}
     total = 0.0
-    n_hex = n_lower = n_upper = n_digit = 0
+    n_hex = n_lower = n_upper = n_digit = n_vowel = 0
     start = end = -1
     for i, c in enumerate(s):
         for ch, step in ((s[i - width] if i >= width else "", -1), (c, 1)):
@@ -83,9 +98,10 @@ def hot_windows(s: str, width: int, thresholds: dict[str, float]) -> Iterator[tu
                 n_lower += step * ("a" <= ch <= "z")
                 n_upper += step * ("A" <= ch <= "Z")
                 n_digit += step * ("0" <= ch <= "9")
+                n_vowel += step * (ch in "aeiouAEIOU")
         if i < width - 1:
             continue
-        kind = _class(n_hex, n_lower, n_upper, n_digit, width)
+        kind = _class(n_hex, n_lower, n_upper, n_digit, n_vowel, width)
         if kind and math.log2(width) - total / width >= thresholds[kind] - 1e-9:
             if start >= 0 and i - width + 1 > end:
                 yield start, end
@@ -97,15 +113,38 @@ def hot_windows(s: str, width: int, thresholds: dict[str, float]) -> Iterator[tu
         yield start, end
 
 
+def widened(s: str, i: int, j: int) -> tuple[int, int]:
+    """[i, j) of s up to the ends of the tokens that it begins and ends in."""
+    while i and s[i] not in BETWEEN and s[i - 1] not in BETWEEN:
+        i -= 1
+    while j < len(s) and s[j - 1] not in BETWEEN and s[j] not in BETWEEN:
+        j += 1
+    return i, j
+
+
+def allowed(s: str, allow: Sequence[re.Pattern]) -> list[tuple[int, int]]:
+    """Stretches of whole tokens of s that the allow-list names, in order."""
+    return sorted(widened(s, *m.span()) for a in allow for m in a.finditer(s) if m[0])
+
+
 def entropy_spans(text: str, base: Sequence[Span], width: int, thresholds: dict[str, float], allow: Sequence[re.Pattern]) -> list[Span]:
-    found = []
+    found: list[Span] = []
     for m in CANDIDATE.finditer(text):
-        if any(a.fullmatch(m[0]) for a in allow):
-            continue
-        for i, j in hot_windows(m[0], width, thresholds):
-            at, to = m.start() + i, m.start() + j
-            if not any(s <= at and to <= e for s, _, e in base):
-                found.append((at, 3, to))
+        at = 0
+        for i, j in [*allowed(m[0], allow), (len(m[0]), len(m[0]))]:
+            # marks beside an allowed token belong to neither
+            piece = m[0][at:i].rstrip(BETWEEN) if j > i else m[0][at:]
+            last = m.start() + at
+            if at:
+                last += len(piece) - len(piece.lstrip(BETWEEN))
+                piece = piece.lstrip(BETWEEN)
+            at = max(at, j)
+            for x, y in hot_windows(piece, width, thresholds):
+                x, y = widened(piece, x, y)
+                if found and found[-1][2] >= last + x:
+                    x = found.pop()[0] - last
+                if not any(s <= last + x and last + y <= e for s, _, e in base):
+                    found.append((last + x, 3, last + y))
     return found
 
 

@@ -155,7 +155,7 @@ def brute_windows(s, width, limits):
     for i in range(len(s) - width + 1):
         w = s[i : i + width]
         h = -sum(c / width * math.log2(c / width) for c in Counter(w).values())
-        kind = secret_scan._class(sum(c in "0123456789abcdefABCDEF" for c in w), sum("a" <= c <= "z" for c in w), sum("A" <= c <= "Z" for c in w), sum("0" <= c <= "9" for c in w), width)
+        kind = secret_scan._class(sum(c in "0123456789abcdefABCDEF" for c in w), sum("a" <= c <= "z" for c in w), sum("A" <= c <= "Z" for c in w), sum("0" <= c <= "9" for c in w), sum(c in "aeiouAEIOU" for c in w), width)
         if kind and h >= limits[kind] - 1e-9:
             hot |= set(range(i, i + width))
     return hot
@@ -179,11 +179,36 @@ def test_secrets(spark, rows, empty):
         s = "".join(r.choice(r.choice(["abc123", "0123456789abcdef", "aB3xY9zQ7/+=-_kLmNoP", "aZ"])) for _ in range(r.randint(20, 60)))
         found = set(itertools.chain(*(range(a, b) for a, b in secret_scan.hot_windows(s, 20, secret_scan.THRESHOLDS))))
         assert found == brute_windows(s, 20, secret_scan.THRESHOLDS)
+    long = "prose " * 40000 + "q8Zr2Lx7Vn4Tb9Wm3Kc6Hd" + " prose" * 40000
+    assert secret_scan.all_spans(long) == [(240000, 3, 240022)]
     clean = {x.doc_id: x.text for x in secret_scan.redact(table).collect()}
     assert clean[10] is None and clean[3] == "[SECRET]" and clean[100] == rows[0][1]
     assert secret_scan.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("alphabet, size, least", [("0123456789abcdef", 24, 0.98), ("abcdefghijklmnopqrstuvwxyz0123456789", 20, 0.93), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 0.95), ("a-zA-Z0-9", 20, 0.8), ("a-zA-Z0-9", 40, 0.98), ("a-zA-Z0-9+/", 40, 0.98), ("a-zA-Z", 20, 0.65), ("a-zA-Z", 40, 0.93)])
+def test_random_keys_are_found_whole(alphabet, size, least):
+    import string
+
+    alphabet = alphabet.replace("a-z", string.ascii_lowercase).replace("A-Z", string.ascii_uppercase).replace("0-9", string.digits)
+    r, found, whole = random.Random(size), 0, 0
+    for _ in range(1000):
+        key = "".join(r.choice(alphabet) for _ in range(size))
+        spans = secret_scan.all_spans(f"prose /keys/{key} prose")
+        found += bool(spans)
+        whole += any(s <= 12 and e >= 12 + size for s, _, e in spans)
+    assert found >= 1000 * least, found
+    assert whole >= 0.95 * found, (found, whole)
+
+
+def test_allow_list_and_prose():
+    key = "q8Zr2Lx7Vn4Tb9Wm3Kc6Hd"
+    assert secret_scan.all_spans(f"/sample/{key}") == [(8, 3, 30)]
+    assert secret_scan.all_spans(f"{key}_EXAMPLE") == [(0, 3, 22)]
+    for t in ("EXAMPLE" + key, "/user/123e4567-e89b-12d3-a456-426614174000/", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "internationalizationisation", "Geschwindigkeitsbegrenzung", "thisIsALongFunctionNameInJava8", "ThisIsALongCamelCaseName", "/usr/share/doc/python/README", "some-article-title-about-nothing", "20240115_backup_database_full", "01234567890123456789-0123"):
+        assert secret_scan.all_spans(t) == [], t
+
+
 def water(sizes, weights, total):
     """Reshare the excess by weight until nobody is above its cap."""
     target, full = {}, set()
