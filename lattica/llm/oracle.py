@@ -58,4 +58,19 @@ select t.doc_id, n as n_bytes, coalesce(removed, 0)::bigint as n_removed, coales
 from t left join per on per.doc_id = t.doc_id left join kept on kept.doc_id = t.doc_id
 """
 
-ORACLE = {"op1_jaccard_join": JACCARD_JOIN, "op5_quality_rules": quality_rules(), "op10_suffix_dedup": SUFFIX_DEDUP}
+WARC_FIXITY = """
+with one as (select page_id, url, html from pages),
+two as (select page_id, url, case when page_id % 97 = 13 then html || chr(1) else html end as html from pages where page_id % 211 <> 5
+  union all select -page_id, url, html from pages where page_id % 307 = 11),
+r as (select side, coalesce(page_id, -1) as page_id, 'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(page_id, -1) || '>' || nl || 'WARC-Target-URI: ' || coalesce(url, '') || nl || 'Content-Length: ' || strlen(coalesce(html, '')) || nl || nl || coalesce(html, '') || nl || nl as record
+  from (select 1 as side, * from one union all select 2, * from two), (select chr(13) || chr(10) as nl)),
+h as (select side, page_id, floor(page_id / 1024.0)::bigint as file_id, strlen(record) as size, sha256(record) as hash from r),
+l as (select *, sum(size) over (partition by side, file_id order by page_id, hash rows unbounded preceding)::bigint as stop, row_number() over (partition by side, page_id order by hash) as rank from h),
+a as (select * from l where side = 1),
+b as (select * from l where side = 2)
+select coalesce(a.page_id, b.page_id) as page_id, coalesce(a.file_id, b.file_id) as file_id, a.stop - a.size as "start", a.stop as "end", a.hash as sha256, b.hash as replica_sha256,
+  case when b.hash is null then 'missing' when a.hash is null then 'added' else 'corrupt' end as status
+from a full join b on a.page_id = b.page_id and a.rank = b.rank where a.hash is distinct from b.hash
+"""
+
+ORACLE = {"op1_jaccard_join": JACCARD_JOIN, "op5_quality_rules": quality_rules(), "op8_warc_fixity": WARC_FIXITY, "op10_suffix_dedup": SUFFIX_DEDUP}

@@ -17,4 +17,5 @@ def test_oracle(spark, name, folder):
         c.execute(f"create view {f.split('.')[0]} as select * from '{at}/{f}'")
     want = c.execute(queries.ORACLE[name])
     names = [d[0] for d in want.description]
-    assert sorted(map(tuple, queries.QUERIES[name](spark, at).select(*names).collect())) == sorted(want.fetchall())
+    # repr, as some values are null
+    assert sorted(map(tuple, queries.QUERIES[name](spark, at).select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
