@@ -22,11 +22,11 @@ def children(parent: DataFrame, child: DataFrame, key: str, foreign: str, column
 
 
 def populate_array(df: DataFrame, ids: str, right: DataFrame, key: str, value: str, name: str, row: str) -> DataFrame:
-    """An array of references as an array of the values they lead to, in order; dangling ones are left out."""
-    one = df.select(F.col(row).alias("__r"), F.posexplode(ids).alias("__i", "__k"))
+    """An array of references as an array of the values they lead to, in order; dangling ones are left out. Rows that share `row` keep their own arrays."""
+    one = df.select(F.col(row).alias("__r"), F.col(ids).alias("__a")).distinct().select("__r", "__a", F.posexplode("__a").alias("__i", "__k"))
     got = one.join(right.select(F.col(key).alias("__rk"), F.col(value).alias("__v")), F.col("__k") == F.col("__rk"))
-    lists = got.groupBy("__r").agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]).alias(name))
-    out = df.join(lists, F.col(row) == F.col("__r"), "left").drop("__r")
+    lists = got.groupBy("__r", "__a").agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]).alias(name))
+    out = df.join(lists, F.col(row).eqNullSafe(F.col("__r")) & F.col(ids).eqNullSafe(F.col("__a")), "left").drop("__r", "__a")
     return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(dict(out.dtypes)[name])))
 
 
@@ -53,12 +53,13 @@ def band(df: DataFrame, value: str, tiers: Sequence[tuple[float, float, object]]
 
 
 def band_join(df: DataFrame, value: str, tiers: DataFrame, low: str, high: str, position: str, width: float) -> DataFrame:
-    """As `band` with tiers as a table of any size, without the rows that no tier has: both sides are cut into cells of `width`, joined by cell, first tier wins."""
-    cells = tiers.withColumn("__c", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    rows = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__c2", F.floor(F.col(value) / width))
-    hit = rows.join(cells, (F.col("__c2") == F.col("__c")) & F.col(value).between(F.col(low), F.col(high)))
-    rank = F.row_number().over(Window.partitionBy("__id").orderBy(position))
-    return hit.withColumn("__n", rank).where("__n = 1").drop("__n", "__id", "__c", "__c2")
+    """As `band` with tiers as a table of any size, without the rows that no tier has: tiers are listed, in order, for each cell of `width` that they touch, and a row takes the first that holds it from its cell's list."""
+    first = F.struct(F.col(position).alias("__p"), F.struct(*tiers.columns).alias("__t"))
+    cells = tiers.select(F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("__c"), first.alias("__o"))
+    lists = cells.groupBy("__c").agg(F.transform(F.sort_array(F.collect_list("__o")), lambda x: x["__t"]).alias("__l"))
+    both = df.join(lists, F.floor(F.col(value) / width) == F.col("__c"))
+    hit = both.withColumn("__l", F.try_element_at(F.filter("__l", lambda x: F.col(value).between(x[low], x[high])), F.lit(1))).where("__l is not null")
+    return hit.select(*df.columns, *[F.col("__l")[c].alias(c) for c in tiers.columns])
 
 
 def lookup(df: DataFrame, column: str, mapping: Mapping, name: str, default=None) -> DataFrame:
