@@ -12,8 +12,9 @@ match to match, and extended at both ends; of an alignment the longest stretches
 least 50 words and 80 % of equal words are reported, without what lies beyond their last
 equal words. A chain of one match is not aligned if, in each 50 words about it, less
 than half occur in the reference near its place there.
-Where all seeds are known but no passage came out, as their references differ, all
-50-word windows are looked up by their own hash: every equal run of 50 words that a
+Where known seeds follow each other closely but no passage came out, as their references
+differ, references are elected once more, among the documents with such open stretches.
+Where all seeds are known and still no passage came out, all 50-word windows are looked up by their own hash: every equal run of 50 words that a
 smaller document has lies in a reported passage.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Null, empty and short texts have no
@@ -41,6 +42,8 @@ NEAR = 96
 #: Bits of the map of windows asked for, at most; with more windows the map lets more others through.
 MOST_BITS = 1 << 28
 GAP_COST, MOST_GAP = 0.1, 48
+#: Steps from one known seed to the next within an open stretch, at most: what two edits in a row of words take away.
+OPEN_GAP = WINDOW + 2 * K
 #: So many ids at most are broadcast.
 BROADCAST_IDS = 1 << 20
 SCHEMA = "doc_id long, other_doc_id long, first_word long, end_word long, other_first_word long, other_end_word long, n_equal long, identity double"
@@ -338,6 +341,16 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
             for first, last, w in spelt_words(batch.column(1)):
                 h, ptr = shingles(w, K)
                 at, d = seeds(h, ptr)
+                if batch.num_columns > 2:
+                    # only places in the document's open stretches
+                    want = np.zeros(len(h), dtype=bool)
+                    for i in range(last - first):
+                        own = want[ptr[i] : ptr[i + 1]]
+                        for v in batch.column(2)[first + i].as_py():
+                            own[v["p"] : v["q"] + 1] = True
+                        for v in batch.column(3)[first + i].as_py() or []:
+                            own[max(v["first_word"] - K + 1, 0) : v["end_word"]] = False
+                    at, d = at[want[at]], d[want[at]]
                 hs.append(h[at])
                 ds.append(ids[d + first])
                 ps.append(at - ptr[d])
@@ -413,6 +426,12 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         b = np.append(a[1:], len(d)) - 1
         ok = p[b] - p[a] >= least_span
         out += [(x, None, y, z, None) for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
+        # and where known seeds follow each other closely enough for a passage with edits: marked by an empty `more`
+        new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > OPEN_GAP)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(d)) - 1
+        ok = (p[b] - p[a] >= least_span // 2) & (b - a >= 3)
+        out += [(x, None, y, z, b"") for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
         columns = list(zip(*out)) or [()] * 5
         whole = [pa.concat_arrays([pa.array(v, pa.int64()), pa.array(c, pa.int64())]) for v, c in zip((*pair, *at), columns)]
         more = pa.concat_arrays([pa.nulls(pair.shape[1], pa.binary()), pa.array(columns[4], pa.binary())])
@@ -490,8 +509,17 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
 
     first = stash(passed(stash(paired(starts.where("other is not null").withColumn("size", F.lit(1))), "chain-pairs"), "first"), "chain-first")
 
+    # stretches of known seeds that no passage came of, as their references differ: references are elected anew among the documents that have such stretches
+    done = first.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "end_word")).alias("done"))
+    left = starts.where("other is null and length(more) = 0").groupBy("doc_id").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
+    left = left.join(done, "doc_id", "left").where("exists(spans, s -> not exists(coalesce(done, array()), v -> v.first_word <= s.p and s.q < v.end_word))")
+    left = stash(left.join(spelt, F.col("doc_id") == F.col("id")).select("id", "spelt", "spans", "done"), "chain-open")
+    anew = left.mapInArrow(tell, "bucket int, keys binary, seed binary, places binary").groupBy("bucket").applyInArrow(match, "part int, matches binary").groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long, more binary")
+    anew = paired(anew.where("other is not null").withColumn("size", F.lit(1))).join(starts.where("other is not null").select("doc_id", "other").distinct(), ["doc_id", "other"], "left_anti")
+    first = stash(first.unionAll(passed(stash(anew, "chain-anew"), "anew")), "chain-known")
+
     # equal runs that seeds did not lead to: their windows of least_words are elected themselves
-    spans = starts.where("other is null").groupBy("doc_id").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
+    spans = starts.where("other is null and more is null").groupBy("doc_id").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
     done = first.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "end_word")).alias("done"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

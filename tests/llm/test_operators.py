@@ -489,6 +489,22 @@ def test_fuzzy_passages(spark):
         assert share >= least
 
 
+def test_fuzzy_passages_with_seeds_in_other_documents(spark):
+    r, rows, n = random.Random(3), [], 40
+    prose = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    for c in range(n):
+        shared = prose(100)
+        edited = list(shared)
+        for i in r.sample(range(100), 10):
+            edited[i] = "edited"
+        pieces = [prose(40) + shared[i : i + 12] + prose(40) for i in range(0, 95, 6)]
+        rows += [(100 * c + k, " ".join(t)) for k, t in enumerate([*pieces, prose(60) + shared + prose(60), prose(60) + edited + prose(60)])]
+    last = len(pieces)
+    got = {(x.doc_id, x.other_doc_id) for x in chain_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((100 * c + last + 1, 100 * c + last) in got for c in range(n)) >= 0.9 * n
+    assert all(d - o == 1 for d, o in got)
+
+
 def test_every_equal_run_is_covered(spark):
     r = random.Random(9)
     prose = lambda k: [f"w{v}" for v in r.choices(range(5000), k=k)]
