@@ -73,4 +73,43 @@ select coalesce(a.page_id, b.page_id) as page_id, coalesce(a.file_id, b.file_id)
 from a full join b on a.page_id = b.page_id and a.rank = b.rank where a.hash is distinct from b.hash
 """
 
-ORACLE = {"op1_jaccard_join": JACCARD_JOIN, "op5_quality_rules": quality_rules(), "op8_warc_fixity": WARC_FIXITY, "op10_suffix_dedup": SUFFIX_DEDUP}
+
+
+def _crc32(column: str) -> str:
+    """CRC-32 of a text's bytes, by the usual table."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1
+        table.append(c)
+    step = f"xor(c // 256, {table}[(xor(c, b) % 256) + 1])"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(encode({column}))), lambda i: ('0x' || substr(hex(encode({column})), 2 * i + 1, 2))::bigint)), lambda c, b: {step}))"
+
+
+IMPORTANCE = rf"""
+with w as (select *, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from (select 0 as side, row_number() over () as r, doc_id, text from documents union all select 1, row_number() over (), item_id, text from benchmark)),
+f as (select side, r, unnest(w || list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')) || list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) as f from w),
+n as (select side, r, f, count(*) as n from f group by all),
+b as (select f, {_crc32("f")} % 10000 as b from (select distinct f from n)),
+p as (select side, r, b, sum(n)::bigint as n from n join b using (f) group by all),
+c as (select b, sum(n) filter (side = 0)::bigint as s, coalesce(sum(n) filter (side = 1), 0)::bigint as t from p group by b),
+z as (select coalesce(sum(n) filter (side = 0), 0)::bigint as s, coalesce(sum(n) filter (side = 1), 0)::bigint as t from p),
+g as (select b, floor(1000 * ln((c.t + 1) * (z.s + 10000) / ((c.s + 1) * (z.t + 10000))::double))::bigint as g from c, z),
+d as (select r, sum(n)::bigint as n_features, sum(n * g)::bigint as weight from p join g using (b) where side = 0 group by r),
+e as (select r, doc_id, len(w) >= 20 as able, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight from w left join d using (r) where side = 0),
+x as (select *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score from e),
+o as (select r, row_number() over (order by score desc, doc_id nulls last) as rank from x where able)
+select doc_id, n_features, weight, score, case when rank <= 5 * (select count(*) from o) // 100 then rank end as rank from x left join o using (r)
+"""
+
+HARD_NEGATIVES = """
+with v as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.r as ar, a.vec_id as a, a.label as al, b.vec_id as b, b.label as bl, list_dot_product(a.e, b.e)::bigint as s from v a join v b on a.vec_id % 100 = 0 and a.r <> b.r),
+p as (select *, row_number() over (partition by ar order by s desc, b) as k from s where al = bl qualify k <= 5)
+select p.a as anchor_id, p.b as positive_id, row_number() over (partition by p.ar, p.k order by n.s desc, n.b)::int as rank, n.b as negative_id, p.s as positive_score, n.s as negative_score
+from p join s n on n.ar = p.ar and n.al <> n.bl and 30 * p.s <= 100 * n.s and 100 * n.s <= 90 * p.s qualify rank <= 10
+"""
+
+ORACLE = {"op1_jaccard_join": JACCARD_JOIN, "op5_quality_rules": quality_rules(), "op8_warc_fixity": WARC_FIXITY, "op10_suffix_dedup": SUFFIX_DEDUP, "op11_importance_resampling": IMPORTANCE, "op12_hard_negatives": HARD_NEGATIVES}

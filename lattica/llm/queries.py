@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import chain_dedup, decontaminate, jaccard_join, oracle, ppm, quality_rules, secret_scan, source_mix, suffix_dedup, toxicity, warc_fixity
+from lattica.llm import chain_dedup, decontaminate, hard_negatives, importance, jaccard_join, oracle, ppm, quality_rules, secret_scan, source_mix, suffix_dedup, token_ids, toxicity, warc_fixity
+from lattica.llm.common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(t.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as files of ids of a public tokenizer, read back."""
+    import public_tokenizers
+
+    at = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    token_ids.write(table(spark, sf_dir, "documents"), at, public_tokenizers.path("word_bpe_49k.json"), by_pieces=True)
+    return token_ids.digest(spark, at)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_secret_scan, op4_source_mix, op5_quality_rules, op6_toxicity, op7_ppm_scoring, op8_warc_fixity, op9_chain_dedup, op10_suffix_dedup, pipeline)
+    f.__name__: f for f in (op1_jaccard_join, op2_decontaminate, op3_secret_scan, op4_source_mix, op5_quality_rules, op6_toxicity, op7_ppm_scoring, op8_warc_fixity, op9_chain_dedup, op10_suffix_dedup, op11_importance_resampling, op12_hard_negatives, op13_token_ids, pipeline)
 }
 
 ORACLE: dict[str, str] = oracle.ORACLE
