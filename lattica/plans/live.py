@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.plans.registry import query
-from lattica.sources import paged, scratch
+from lattica.sources import pages, scratch
 from lattica.streaming import events as E
-from lattica.streaming import presence
+from lattica.streaming import presence, sink, state
 
 
 def _stream(t, parts: int = 3):
@@ -22,11 +22,18 @@ def _stream(t, parts: int = 3):
 
 @query("select user_id from events group by user_id having arg_max(event_type, (ts, event_type)) <> 'error'")
 def s22_connections(t):
-    """Who is online after the stream: the last snapshot."""
-    at = scratch.folder(t.spark, "online")
+    """Who is online after the stream, which is stopped half-way and started again: the keyed state."""
+    at, check = scratch.folder(t.spark, "online"), scratch.folder(t.spark, "check")
     stream = _stream(t).select(F.col("user_id").alias("conn_id"), "ts", F.col("event_type").alias("kind"))
-    E.finish(presence.write_snapshots(stream, at, scratch.folder(t.spark, "check")))
-    return presence.snapshot(t.spark, at).where("kind <> 'error'").select(F.col("conn_id").alias("user_id"))
+    running = state.start(state.presence(stream, closing="error"), at, check, once=False)
+    try:
+        while not [p for p in running.recentProgress if p.batchId >= 0 and p.numInputRows]:
+            if not running.awaitTermination(1):
+                continue
+    finally:
+        running.stop()
+    E.finish(state.start(state.presence(stream, closing="error"), at, check))
+    return state.online(t.spark, check, closing="error").select(F.col("conn_id").alias("user_id"))
 
 
 @query("select event_id::varchar as id, value from events where event_type = 'purchase'")
@@ -40,21 +47,20 @@ def s23_webhook(t):
 
 @query("select count(distinct user_id) as known, count(*) as events, 3::bigint as batches from events")
 def k05_micro_batches(t):
-    """Batches of one file each, flushed as they come."""
+    """Batches of one file each, flushed as they come, every 1000 rows into a file of its own."""
     to = scratch.folder(t.spark, "flushed")
-    E.finish(E.routed(_stream(t), {"all": (F.lit(True), to)}, scratch.folder(t.spark, "check")))
-    return t.spark.read.parquet(to).agg(F.countDistinct("user_id").alias("known"), F.count(F.lit(1)).alias("events"), F.countDistinct("batch").alias("batches"))
+    E.finish(sink.start(_stream(t), to, scratch.folder(t.spark, "check"), columns="event_id,user_id", rows=1000))
+    return sink.committed(t.spark, to, "event_id long, user_id long").agg(F.countDistinct("user_id").alias("known"), F.count(F.lit(1)).alias("events"), F.countDistinct("batch").alias("batches"))
 
 
 @query("with u as (select event_id % 3 as epoch, user_id, ts, event_type from events), s as (select e.epoch, u.user_id, arg_max(u.event_type, (u.ts, u.event_type)) as kind from (select unnest(range(3)) as epoch) e join u on u.epoch <= e.epoch group by 1, 2) select epoch, count(*) filter (kind <> 'error') as online from s group by 1")
 def t02_snapshots(t):
-    """Number online after each batch."""
-    at = scratch.folder(t.spark, "snapshots")
+    """Number online after each batch, from the state as it was then."""
+    check = scratch.folder(t.spark, "check")
     stream = _stream(t).select(F.col("user_id").alias("conn_id"), "ts", F.col("event_type").alias("kind"))
-    E.finish(presence.write_snapshots(stream, at, scratch.folder(t.spark, "check")))
-    every = t.spark.read.option("basePath", at).option("recursiveFileLookup", True).parquet(at)
-    epoch = F.element_at(F.split(F.input_file_name(), "/"), -2).cast("bigint")
-    return every.withColumn("epoch", epoch).groupBy("epoch").agg(F.count_if(F.col("kind") != "error").alias("online"))
+    E.finish(state.start(state.presence(stream, closing="error"), scratch.folder(t.spark, "changes"), check))
+    after = lambda n: state.online(t.spark, check, "error", n).agg(F.count(F.lit(1)).alias("online")).select(F.lit(n).cast("bigint").alias("epoch"), "online")
+    return after(0).unionAll(after(1)).unionAll(after(2))
 
 
 @query("with o as (select user_id from events group by user_id having arg_max(event_type, (ts, event_type)) <> 'error') select event_id, (select count(*) from o) as answer from events where event_type = 'click'")
@@ -98,9 +104,18 @@ def t12_tagged_routing(t):
 
 @query("select user_id, floor(round(sum(value) / count(value), 9) * 10 + 0.5) / 10 as average, count(value) as quantity from events group by 1")
 def t13_maintained(t):
-    at = scratch.folder(t.spark, "ratings")
-    E.finish(E.maintained(_stream(t), "user_id", "value", at, scratch.folder(t.spark, "check")))
-    return E.ratings_at(t.spark, at, "user_id", 2)
+    check = scratch.folder(t.spark, "check")
+    E.finish(state.maintained(_stream(t), "user_id", "value", scratch.folder(t.spark, "ratings"), check))
+    return state.ratings(t.spark, check, "user_id", None)
+
+
+@query("with r as (select user_id, event_type, max_by([case when event_id % 7 = 0 then null else value end], (event_id % 3, event_id)) as v from events where event_type is not null group by 1, 2) select user_id, floor(round(sum(v[1]) / count(v[1]), 9) * 10 + 0.5) / 10 as average, count(v[1]) as quantity from r group by 1 having count(v[1]) > 0")
+def t13_reviews(t):
+    """A user rates each type anew with every event, some take the rating back; averages follow each change of one review."""
+    check = scratch.folder(t.spark, "check")
+    changes = _stream(t).select(F.col("user_id").alias("product"), F.col("event_type").alias("review"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("rating"))
+    E.finish(state.start(state.reviews(changes), scratch.folder(t.spark, "reviews"), check))
+    return state.ratings(t.spark, check, "user_id")
 
 
 @query("select event_type, count(*) as n from events where event_type in ('click', 'purchase') group by 1")
@@ -108,21 +123,3 @@ def t14_handlers(t):
     paths = {k: scratch.folder(t.spark, k) for k in ("click", "purchase")}
     E.finish(E.routed(_stream(t), {k: (F.col("event_type") == k, p) for k, p in paths.items()}, scratch.folder(t.spark, "check")))
     return t.spark.read.parquet(paths["click"]).unionByName(t.spark.read.parquet(paths["purchase"])).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("select p::bigint as page, 3::bigint as tries from (select unnest(range(1, 5)) as p) x")
-def t15_retries(t):
-    """Each page fails twice."""
-
-    def fetch(page):
-        calls = []
-
-        def call():
-            calls.append(1)
-            if len(calls) < 3:
-                raise OSError("busy")
-            return len(calls)
-
-        return [(page, paged.retry(call, 5, 0))]
-
-    return paged.numbered(t.spark, 4, fetch, "page long, tries long", wait=0)

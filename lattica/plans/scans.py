@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions import sequential as S
 from lattica.plans.registry import query
-from lattica.sources import files, media, paged, scratch, sheets
+from lattica.sources import files, media, pages, scratch, sheets, versions
+from lattica.streaming import sink
 
 
 @query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'")
@@ -112,24 +113,61 @@ def s14_resume(t):
     return t("orders").join(files.seen(t.spark, at, "Link"), F.col("o_orderkey") == F.col("Link").cast("bigint"), "left_anti").select("o_orderkey")
 
 
-@query("select r_name as start, i::bigint as item from region, (select unnest(range(25)) as i) x")
+def _folder(t, size: int, start=None):
+    """pages as an endpoint's pages of `size` rows, in order of page_id; with start as a chain for each."""
+    at = scratch.folder(t.spark, "pages")
+    rows = t("pages").where("page_id is not null").select("page_id", "url", F.length("html").alias("n"))
+    pages.write_pages(rows, at, F.floor(F.col("page_id") / size).cast("int"), ["page_id"], start)
+    return at
+
+
+@query("select (page_id % 5)::varchar as start, page_id, url from pages")
 def s15_token_pages(t):
-    def fetch(start, token):
-        n = token or 0
-        return [(start, 10 * n + i) for i in range(10 if n < 2 else 5)], n + 1 if n < 2 else None
+    """A chain of pages for each start, followed by tokens, with a task for each."""
+    at = _folder(t, 50, F.concat(F.col("page_id") % 5, F.lit("")))
+    return pages.read(t.spark, at, "start string, page_id long, url string", starts=["0", "1", "2", "3", "4"], wait=0)
 
-    starts = [r[0] for r in t("region").select("r_name").collect()]
-    return paged.followed(t.spark, starts, fetch, "start string, item long", wait=0)
+
+@query("select page_id, url, length(html) as n from pages")
+def s15_page_stream(t):
+    """The same pages as a stream of three at a time, stopped and gone on with from the stored offset."""
+    at, to, check = _folder(t, 20), scratch.folder(t.spark, "paged"), scratch.folder(t.spark, "check")
+    x = pages.stream(t.spark, at, "page_id long, url string, n int", batch=3, wait=0)
+    running = sink.start(x, to, check, once=False)
+    try:
+        while not sink.listed(to):
+            running.awaitTermination(1)
+    finally:
+        running.stop()
+    # a source in Python has all that is there as one batch of availableNow unless it is asked again
+    running = sink.start(x, to, check, once=False)
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return sink.committed(t.spark, to, "page_id long, url string, n int").select("page_id", "url", "n")
 
 
-@query("select (10 * p + i)::bigint as item from (select unnest(range(1, 8)) as p) a, (select unnest(range(3)) as i) b")
+@query("select page_id, url from pages")
 def s16_numbered_pages(t):
-    return paged.numbered(t.spark, 7, lambda p: [(10 * p + i,) for i in range(3)], "item long", wait=0)
+    at = _folder(t, 20)
+    known = t("pages").agg(F.floor(F.max("page_id") / 20) + 1).first()[0]
+    return pages.read(t.spark, at, "page_id long, url string", pages=known, wait=0)
 
 
-@query("select i::bigint as item from (select unnest(range(17)) as i) x")
+@query("select page_id from pages order by page_id limit 47")
 def s18_pages_until(t):
-    return paged.followed(t.spark, ["all"], lambda start, token: ([(5 * (token or 0) + i,) for i in range(5)], (token or 0) + 1), "item long", most=17, wait=0)
+    return pages.read(t.spark, _folder(t, 10), "page_id long", most=47, wait=0)
+
+
+@query("select page_id, url from pages")
+def t15_retries(t):
+    """Over HTTP, where each page is refused twice before it is given."""
+    to = scratch.folder(t.spark, "retried")
+    with pages.served(_folder(t, 20), failures=2) as address:
+        known = t("pages").agg(F.floor(F.max("page_id") / 20) + 1).first()[0]
+        pages.read(t.spark, address + "?page={page}", "page_id long, url string", pages=known, wait=0.01).write.parquet(to)
+    return t.spark.read.parquet(to)
 
 
 @query("select page_id, array_to_string(list_transform(regexp_extract_all(html, '(?s)<li(?:\\s[^>]*)?>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), '|') as cells from pages where len(regexp_extract_all(html, '(?s)<li(\\s[^>]*)?>')) = len(regexp_extract_all(html, '</li>'))")
@@ -212,13 +250,27 @@ def k08_upsert_json(t):
 @query("select count(*) as n from orders where o_orderkey % 2 = 0")
 def k09_all_or_nothing(t):
     at = scratch.folder(t.spark, "atomic")
-    files.write_all_or_nothing(t("orders").where("o_orderkey % 2 = 0"), at, F.col("o_totalprice") > 0)
+    versions.write_all_or_nothing(t("orders").where("o_orderkey % 2 = 0"), at, F.col("o_totalprice") > 0)
     try:
-        files.write_all_or_nothing(t("orders"), at, F.col("o_orderkey") < 100, "too large a key")
+        versions.write_all_or_nothing(t("orders"), at, F.col("o_orderkey") < 100, "too large a key")
     except Exception as e:  # the old rows stay
         if "too large a key" not in str(e):
             raise
-    return t.spark.read.parquet(at).agg(F.count(F.lit(1)).alias("n"))
+    return versions.read_whole(t.spark, at).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select p_partkey, p_name, n from (select p_partkey, p_name from part) join (select l_partkey, count(*) as n from lineitem group by 1) on l_partkey = p_partkey")
+def k09_catalogue(t):
+    """Products and their sales are loaded together; a second load fails at its second table, and both stay."""
+    load = versions.Place(t.spark, scratch.folder(t.spark, "catalogue"))
+    sales = t("lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    load.commit({"products": t("part").select("p_partkey", "p_name"), "sales": sales})
+    try:
+        load.commit({"products": t("part").limit(0), "sales": versions.valid(sales, F.lit(False), "no sale is valid")})
+    except Exception as e:
+        if "no sale is valid" not in str(e):
+            raise
+    return load.read("products").join(load.read("sales"), F.col("p_partkey") == F.col("l_partkey")).drop("l_partkey")
 
 
 @query("select 2 * count(*) as loaded, 0::bigint as after from region")

@@ -126,25 +126,6 @@ def append_projections(df: DataFrame, full: str, least: str, columns: Sequence[s
     append(out.select(*columns), least)
 
 
-def write_all_or_nothing(df: DataFrame, path: str, ok: Column | None = None, message: str = "a row is not valid") -> None:
-    """Replace what is at path only if every row is valid and the whole job succeeds; else the old rows stay."""
-    import uuid
-
-    spark = df.sparkSession
-    if ok is not None:
-        c = df.columns[0]
-        df = df.withColumn(c, F.when(F.coalesce(ok, F.lit(False)), F.col(c)).otherwise(F.raise_error(F.lit(message)).cast(dict(df.dtypes)[c])))
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    new, to = hadoop.Path(f"{path}-{uuid.uuid4().hex}"), hadoop.Path(path)
-    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        df.write.parquet(new.toString())
-        fs.delete(to, True)
-        fs.rename(new, to)
-    finally:
-        fs.delete(new, True)
-
-
 def upsert_json(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """old with new's rows in place of those of the same key; a null key counts as blank."""
     named = lambda df: df.withColumn(key, F.coalesce(F.col(key), F.lit("")))

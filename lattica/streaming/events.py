@@ -46,27 +46,6 @@ def routed(stream: DataFrame, routes: Mapping[str, tuple[Column, str]], checkpoi
     return each_batch(stream, put, checkpoint)
 
 
-def maintained(stream: DataFrame, by: str, value: str, path: str, checkpoint: str):
-    """Average and count of a value for each key, kept up to date: sums are stored, a batch touches its own keys alone.
-
-    The state after batch n is at path/n; `ratings_at` reads it.
-    """
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        new = batch.groupBy(by).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
-        if epoch:
-            old = batch.sparkSession.read.parquet(f"{path}/{epoch - 1}")
-            touched = old.unionByName(new).join(new.select(by), by, "left_semi").groupBy(by).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-            new = old.join(new.select(by), by, "left_anti").unionByName(touched)
-        new.write.mode("overwrite").parquet(f"{path}/{epoch}")
-
-    return each_batch(stream, fold, checkpoint)
-
-
-def ratings_at(spark: SparkSession, path: str, by: str, epoch: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/{epoch}").select(by, (F.floor(F.col("total") / F.col("n") * 10 + 0.5) / 10).alias("average"), F.col("n").alias("quantity"))
-
-
 def alerts(old: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame:
     """What a snapshot has that the one before has not, and the reverse: (columns, change)."""
     a, b = old.select(*columns).distinct(), new.select(*columns).distinct()

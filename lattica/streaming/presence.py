@@ -1,8 +1,8 @@
-"""Presence and incremental loads: a streaming form, and a batch twin with the same result."""
+"""Presence in batches, counts by window, and incremental loads; `state` has presence on streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,26 +26,3 @@ def next_mark(messages: DataFrame, last_run, ts: str = "ts") -> DataFrame:
     """One row: the mark for the next run, the old one if nothing is new."""
     return new_since(messages, last_run, ts).agg(F.coalesce(F.max(ts), F.lit(last_run).cast(dict(messages.dtypes)[ts])).alias("next_run"))
 
-
-def write_snapshots(events: DataFrame, path: str, checkpoint: str):
-    """Keep each connection's last event at path: a batch folds its own into the snapshot before it, and writes path/<batch>."""
-
-    def last(df: DataFrame) -> DataFrame:
-        return df.groupBy("conn_id").agg(F.max(F.struct("ts", "kind")).alias("e")).select("conn_id", "e.ts", "e.kind")
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        new = last(batch.select("conn_id", "ts", "kind"))
-        if epoch:
-            new = last(batch.sparkSession.read.parquet(f"{path}/{epoch - 1}").unionByName(new))
-        new.write.mode("overwrite").parquet(f"{path}/{epoch}")
-
-    return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The last snapshot that was written whole."""
-    files = spark._jvm.org.apache.hadoop.fs
-    at = files.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [int(s.getPath().getName()) for s in fs.listStatus(at) if fs.exists(files.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{path}/{max(done)}")

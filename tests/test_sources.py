@@ -78,16 +78,3 @@ def test_quota_and_numbers(spark):
     a = {r.id for r in keyed.quota_sample(x, F.col("g"), 7, 1, "id").collect()}
     assert len(a) == 21 and a == {r.id for r in keyed.quota_sample(x.repartition(7), F.col("g"), 7, 1, "id").collect()} != {r.id for r in keyed.quota_sample(x, F.col("g"), 7, 2, "id").collect()}
     assert [r.n for r in keyed.numbered(x, [F.desc("id")], "n").orderBy(F.desc("id")).collect()] == list(range(1, 501))
-
-
-def test_a_batch_done_again_changes_nothing(spark):
-    at, check = scratch.folder(spark, "again"), scratch.folder(spark, "check")
-    x = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 5.0)], "k long, v double")
-    src = scratch.folder(spark, "src")
-    x.coalesce(1).write.mode("append").parquet(src)
-    for more in (None, [(1, 6.0), (3, 1.0)]):
-        if more:
-            spark.createDataFrame(more, x.schema).coalesce(1).write.mode("append").parquet(src)
-        E.finish(E.maintained(E.connections(spark, src, x.schema), "k", "v", at, check))
-    E.finish(E.maintained(E.connections(spark, src, x.schema), "k", "v", at, check))  # nothing new
-    assert {r.k: (r.average, r.quantity) for r in E.ratings_at(spark, at, "k", 1).collect()} == {1: (4.0, 3), 2: (5.0, 1), 3: (1.0, 1)}
