@@ -174,7 +174,7 @@ class Encoder:
     from batch to batch, the others are encoded anew in each batch that has them.
     """
 
-    def __init__(self, given: str, by_pieces: bool, most_known: int = 1_000_000):
+    def __init__(self, given: str, by_pieces: bool, most_known: int = 400_000):
         self.tokenizer, self.known = _tokenizer(given)
         self.by_pieces, self.most_known = by_pieces, most_known
 
