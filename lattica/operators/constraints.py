@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.names import fresh
+
 #: Fixed formats.
 OBJECT_ID = r"^[0-9a-fA-F]{24}$"
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
@@ -57,14 +59,16 @@ def _broken(name: str, r: Rule) -> list[tuple[Column, str]]:
 
 def check(df: DataFrame, rules: Mapping[str, Rule], errors: str = "errors") -> DataFrame:
     """Cleaned rows with an array of messages. Of equal values of a unique column all rows are told; a null breaks `required` alone."""
-    out = cleaned(df, rules)
+    out, x = cleaned(df, rules), fresh(df)
     found = [(test, text) for name, r in rules.items() for test, text in _broken(name, r)]
     for name, r in rules.items():
         if r.unique:
-            out = out.withColumn(f"{errors}_{name}", F.count(F.lit(1)).over(Window.partitionBy(name)) > 1)
-            found.append((F.col(name).isNotNull() & F.col(f"{errors}_{name}"), f"{name} is taken"))
+            # counts are summed before the shuffle, and only values that repeat are joined back
+            taken = out.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(f"{x}_{name}")).agg(F.count(F.lit(1)).alias(x)).where(F.col(x) > 1).drop(x)
+            out = out.join(taken, F.col(name) == F.col(f"{x}_{name}"), "left")
+            found.append((F.col(f"{x}_{name}").isNotNull(), f"{name} is taken"))
     out = out.withColumn(errors, F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in found])))
-    return out.drop(*[f"{errors}_{name}" for name, r in rules.items() if r.unique])
+    return out.drop(*[f"{x}_{name}" for name, r in rules.items() if r.unique])
 
 
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:

@@ -7,26 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.sources import scratch
-
-
-def numbered(df: DataFrame, order: Sequence[Column], name: str = "id", start: int = 1) -> DataFrame:
-    """df with numbers from `start` in the given order: ranges are sorted on their own and begin where those before end."""
-    spark = df.sparkSession
-    cut = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    at = scratch.folder(spark, "numbered")
-    cut.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(at)
-    cut = spark.read.parquet(at)
-    # one row for each range
-    sizes = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return cut.join(F.broadcast(before), "__part").withColumn(name, F.col("__row") + F.col("__before") + start).drop("__part", "__row", "__before")
+from lattica.operators.automaton import containing  # noqa: F401
+from lattica.operators.names import fresh
+from lattica.operators.scan import numbered  # noqa: F401
 
 
 def quota_sample(df: DataFrame, groups: Column, quota: int, seed: int, key: str) -> DataFrame:
     """At most `quota` rows of each group, those of least hash of key: a random choice that reruns repeat."""
-    w = Window.partitionBy(groups).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
-    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= quota).drop("__n")
+    n, w = fresh(df), Window.partitionBy(groups).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
+    return df.withColumn(n, F.row_number().over(w)).where(F.col(n) <= quota).drop(n)
 
 
 def get_or(df: DataFrame, table: DataFrame, key: str, value: str, default: object = None) -> DataFrame:
@@ -42,20 +31,9 @@ def rehashed(df: DataFrame, key: str, hashed: Column, capacity: int) -> DataFram
     return df.withColumn("bucket", F.pmod(hashed, F.lit(n)).cast("int"))
 
 
-def containing(df: DataFrame, column: str, words: DataFrame, word: str, length: int) -> DataFrame:
-    """Rows whose column contains a word of a table, with the word: all stretches of `length` are joined with the words' beginnings, then compared.
-
-    Words shorter than `length` are left out; none are by length 1, at the price of a larger join.
-    """
-    n = F.length(column) - length + 1
-    grams = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(column, i, F.lit(length)))))
-    return df.withColumn("__g", F.explode(grams)).join(words.select(F.col(word).alias("__word"), F.substring(word, 1, length).alias("__g")).distinct(), "__g").where(F.contains(F.col(column), F.col("__word"))).withColumn(word, F.col("__word")).drop("__g", "__word")
-
-
 def sorted_modes(df: DataFrame, by: str, order: Sequence[str], value: str) -> DataFrame:
     """Of each group the values of the longest runs in order, with their length; on sorted values these are the modes."""
-    w = Window.partitionBy(by).orderBy(*order)
+    x, w = fresh(df), Window.partitionBy(by).orderBy(*order)
     new = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    n = df.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w)).groupBy(by, "__run", value).agg(F.count(F.lit(1)).alias("frequency"))
-    best = Window.partitionBy(by)
-    return n.withColumn("__top", F.max("frequency").over(best)).where(F.col("frequency") == F.col("__top")).select(by, value, "frequency").distinct()
+    n = df.withColumn(f"{x}new", new).withColumn(f"{x}run", F.sum(f"{x}new").over(w)).groupBy(by, f"{x}run", value).agg(F.count(F.lit(1)).alias("frequency"))
+    return n.withColumn(x, F.max("frequency").over(Window.partitionBy(by))).where(F.col("frequency") == F.col(x)).select(by, value, "frequency").distinct()

@@ -7,26 +7,34 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators import scan
+from lattica.operators.names import fresh
+from lattica.operators.sweep import band_join  # noqa: F401
+
 
 # joins
 def populate(left: DataFrame, right: DataFrame, on: str, key: str, columns: Sequence[str]) -> DataFrame:
     """Resolve a reference: right's columns beside left, null where it dangles."""
-    return left.join(right.select(F.col(key).alias("__k"), *columns), F.col(on) == F.col("__k"), "left").drop("__k")
+    k = fresh(left, right)
+    return left.join(right.select(F.col(key).alias(k), *columns), F.col(on) == F.col(k), "left").drop(k)
 
 
 def children(parent: DataFrame, child: DataFrame, key: str, foreign: str, columns: Sequence[str], name: str) -> DataFrame:
     """Each parent with an array of its children, empty without any."""
-    lists = child.groupBy(F.col(foreign).alias("__k")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
-    out = parent.join(lists, F.col(key) == F.col("__k"), "left").drop("__k")
+    k = fresh(parent, child)
+    lists = child.groupBy(F.col(foreign).alias(k)).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    out = parent.join(lists, F.col(key) == F.col(k), "left").drop(k)
     return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(dict(out.dtypes)[name])))
 
 
 def populate_array(df: DataFrame, ids: str, right: DataFrame, key: str, value: str, name: str, row: str) -> DataFrame:
     """An array of references as an array of the values they lead to, in order; dangling ones are left out. Rows that share `row` keep their own arrays."""
-    one = df.select(F.col(row).alias("__r"), F.col(ids).alias("__a")).distinct().select("__r", "__a", F.posexplode("__a").alias("__i", "__k"))
-    got = one.join(right.select(F.col(key).alias("__rk"), F.col(value).alias("__v")), F.col("__k") == F.col("__rk"))
-    lists = got.groupBy("__r", "__a").agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]).alias(name))
-    out = df.join(lists, F.col(row).eqNullSafe(F.col("__r")) & F.col(ids).eqNullSafe(F.col("__a")), "left").drop("__r", "__a")
+    x = fresh(df, right)
+    r, a, k = f"{x}r", f"{x}a", f"{x}k"
+    one = df.select(F.col(row).alias(r), F.col(ids).alias(a)).distinct().select(r, a, F.posexplode(a).alias(f"{x}i", k))
+    got = one.join(right.select(F.col(key).alias(f"{x}o"), F.col(value).alias(f"{x}v")), F.col(k) == F.col(f"{x}o"))
+    lists = got.groupBy(r, a).agg(F.transform(F.sort_array(F.collect_list(F.struct(f"{x}i", f"{x}v"))), lambda y: y[f"{x}v"]).alias(name))
+    out = df.join(lists, F.col(row).eqNullSafe(F.col(r)) & F.col(ids).eqNullSafe(F.col(a)), "left").drop(r, a)
     return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(dict(out.dtypes)[name])))
 
 
@@ -52,16 +60,6 @@ def band(df: DataFrame, value: str, tiers: Sequence[tuple[float, float, object]]
     return df.withColumn(name, F.coalesce(*[F.when(c.between(lo, hi), F.lit(r)) for lo, hi, r in tiers]))
 
 
-def band_join(df: DataFrame, value: str, tiers: DataFrame, low: str, high: str, position: str, width: float) -> DataFrame:
-    """As `band` with tiers as a table of any size, without the rows that no tier has: tiers are listed, in order, for each cell of `width` that they touch, and a row takes the first that holds it from its cell's list."""
-    first = F.struct(F.col(position).alias("__p"), F.struct(*tiers.columns).alias("__t"))
-    cells = tiers.select(F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("__c"), first.alias("__o"))
-    lists = cells.groupBy("__c").agg(F.transform(F.sort_array(F.collect_list("__o")), lambda x: x["__t"]).alias("__l"))
-    both = df.join(lists, F.floor(F.col(value) / width) == F.col("__c"))
-    hit = both.withColumn("__l", F.try_element_at(F.filter("__l", lambda x: F.col(value).between(x[low], x[high])), F.lit(1))).where("__l is not null")
-    return hit.select(*df.columns, *[F.col("__l")[c].alias(c) for c in tiers.columns])
-
-
 def lookup(df: DataFrame, column: str, mapping: Mapping, name: str, default=None) -> DataFrame:
     pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return df.withColumn(name, F.coalesce(F.try_element_at(pairs, F.col(column)), F.lit(default)))
@@ -94,17 +92,21 @@ def load_statistics(df: DataFrame, key: str, hashed: Column, capacity: int) -> D
     return n.select("size", (F.col("size") / capacity).alias("table_load"), (F.lit(capacity) - F.col("used")).alias("empty_buckets"))
 
 
-# ordered rows
+# ordered rows; without `by` they are those of `scan`, over the whole table and in no single task
 def runs(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Runs of equal values: number, value, length."""
+    if not by:
+        return scan.runs(df, order, value)
+    x = fresh(df)
     w = Window.partitionBy(*by).orderBy(*order)
     new = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.row_number().over(w).eqNullSafe(1)).cast("int")
-    x = df.withColumn("__new", new).withColumn("run", F.sum("__new").over(w))
-    return x.groupBy(*by, "run", value).agg(F.count(F.lit(1)).alias("length"))
+    return df.withColumn(x, new).withColumn("run", F.sum(x).over(w)).groupBy(*by, "run", value).agg(F.count(F.lit(1)).alias("length"))
 
 
 def fill_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """The last value up to each row; leading gaps take the first."""
+    if not by:
+        return scan.fill_forward(df, order, value)
     w = Window.partitionBy(*by).orderBy(*order)
     back = w.rowsBetween(0, Window.unboundedFollowing)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -113,20 +115,27 @@ def fill_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
 
 def take_while(df: DataFrame, by: Sequence[str], order: Sequence[str], condition: Column) -> DataFrame:
     """Rows before the first that fails."""
+    if not by:
+        return scan.take_while(df, order, condition)
+    x = fresh(df)
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__bad", F.max((~F.coalesce(condition, F.lit(False))).cast("int")).over(w)).where("__bad = 0").drop("__bad")
+    return df.withColumn(x, F.max((~F.coalesce(condition, F.lit(False))).cast("int")).over(w)).where(F.col(x) == 0).drop(x)
 
 
 def first_or_last_marked(df: DataFrame, key: str, order: str, marked: Column) -> DataFrame:
-    """Of each key the first row, or the last marked row if there is one."""
-    rank = Window.partitionBy(key).orderBy(marked.desc(), F.when(marked, -F.col(order)).otherwise(F.col(order)))
-    return df.withColumn("__n", F.row_number().over(rank)).where("__n = 1").drop("__n")
+    """Of each key the first row, or the last marked row if there is one; of rows at one place in the order the one of least hash."""
+    x, hit = fresh(df), F.coalesce(marked, F.lit(False))
+    rank = Window.partitionBy(key).orderBy(hit.desc(), F.when(hit, F.col(order)).desc_nulls_last(), F.col(order).asc(), scan.row_hash(df))
+    return df.withColumn(x, F.row_number().over(rank)).where(F.col(x) == 1).drop(x)
 
 
 def above_high_water(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Rows whose value exceeds all before it."""
+    if not by:
+        return scan.above_high_water(df, order, value)
+    x = fresh(df)
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__top", F.max(value).over(w)).where(F.col("__top").isNull() | (F.col(value) > F.col("__top"))).drop("__top")
+    return df.withColumn(x, F.max(value).over(w)).where(F.col(x).isNull() | (F.col(value) > F.col(x))).drop(x)
 
 
 # sets and changes
@@ -140,11 +149,12 @@ def subset(a: DataFrame, b: DataFrame) -> bool:
 
 def changed(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Rows of new that differ from old's of the same key."""
-    other = old.select(F.col(key).alias("__k"), *[F.col(c).alias(f"old_{c}") for c in columns])
+    k = fresh(old, new)
+    other = old.select(F.col(key).alias(k), *[F.col(c).alias(f"old_{c}") for c in columns])
     diff = F.lit(False)
     for c in columns:
         diff |= ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
-    return new.join(other, F.col(key) == F.col("__k")).where(diff).drop("__k")
+    return new.join(other, F.col(key) == F.col(k)).where(diff).drop(k)
 
 
 def roles(readers: DataFrame, writers: DataFrame, user: str) -> DataFrame:
@@ -156,8 +166,8 @@ def roles(readers: DataFrame, writers: DataFrame, user: str) -> DataFrame:
 # keyed updates
 def last_wins(ops: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key (put, put, ...); of rows at one place in the order the one of greatest hash."""
-    tie = F.xxhash64(*[F.col(c) for c, t in ops.dtypes if not t.startswith("map")])
-    return ops.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), tie.desc()))).where("__n = 1").drop("__n")
+    n = fresh(ops)
+    return ops.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), scan.row_hash(ops).desc()))).where(F.col(n) == 1).drop(n)
 
 
 def replay(ops: DataFrame, key: str, order: str, op: str = "op") -> DataFrame:
@@ -171,16 +181,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def update(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Non-null columns of new replace old's."""
-    other = new.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in columns])
-    out = old.join(other, F.col(key) == F.col("__k"), "left")
-    return out.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).select(*old.columns)
+    x = fresh(old, new)
+    other = new.select(F.col(key).alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    out = old.join(other, F.col(key) == F.col(x), "left")
+    return out.withColumns({c: F.coalesce(f"{x}_{c}", c) for c in columns}).select(*old.columns)
 
 
 def increment(stock: DataFrame, lines: DataFrame, key: str, foreign: str, amount: str, minus: str, plus: str) -> DataFrame:
     """Take the lines' amounts off one column and add them to another; no floor."""
-    total = lines.groupBy(F.col(foreign).alias("__k")).agg(F.sum(amount).alias("__n"))
-    out = stock.join(total, F.col(key) == F.col("__k"), "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
-    return out.withColumn(minus, F.col(minus) - F.col("__n")).withColumn(plus, F.col(plus) + F.col("__n")).drop("__k", "__n")
+    x = fresh(stock, lines)
+    k, n = f"{x}k", f"{x}n"
+    total = lines.groupBy(F.col(foreign).alias(k)).agg(F.sum(amount).alias(n))
+    out = stock.join(total, F.col(key) == F.col(k), "left").withColumn(n, F.coalesce(n, F.lit(0)))
+    return out.withColumn(minus, F.col(minus) - F.col(n)).withColumn(plus, F.col(plus) + F.col(n)).drop(k, n)
 
 
 def stamp(df: DataFrame, reached: Column, flag: str, at: str, when: Column) -> DataFrame:

@@ -139,7 +139,7 @@ def j09_band(t):
 @query("select p_partkey, t.r_regionkey as tier from part, (select r_regionkey, r_regionkey * 9.0 as lo, r_regionkey * 9.0 + 15 as hi from region) t where p_size between lo and hi qualify row_number() over (partition by p_partkey order by t.r_regionkey) = 1")
 def j09_band_table(t):
     tiers = t("region").select("r_regionkey", (F.col("r_regionkey") * 9.0).alias("lo"), (F.col("r_regionkey") * 9.0 + 15).alias("hi"))
-    return R.band_join(t("part"), "p_size", tiers, "lo", "hi", "r_regionkey", 8.0).select("p_partkey", F.col("r_regionkey").alias("tier"))
+    return R.band_join(t("part"), "p_size", tiers, "lo", "hi", "r_regionkey").select("p_partkey", F.col("r_regionkey").alias("tier"))
 
 
 @query("select o_orderkey, case o_orderstatus when 'F' then 1 when 'O' then 2 else 0 end as code from orders")
@@ -379,4 +379,4 @@ def i03_gray(t):
     return t("nation").select("n_nationkey", F.get(F.get(C.gray(pixel), F.lit(0)), F.lit(0)).cast("double").alias("luma"))
 
 
-from lattica.plans import live, more, scans, shop, texts  # noqa: E402,F401  (register further queries here)
+from lattica.plans import live, more, scans, shop, texts, whole  # noqa: E402,F401  (register further queries here)

@@ -165,10 +165,11 @@ def a05_sorted_modes(t):
     return keyed.sorted_modes(t("events"), "user_id", ["event_type", "event_id"], "event_type")
 
 
-@query("select p_partkey, r_word from part, (select distinct split_part(p_name, ' ', 1) as r_word from part where p_partkey < 5) where contains(p_name, r_word)")
+@query("select p_partkey, r_word from part, (select distinct split_part(p_name, ' ', 1) as r_word from part union select distinct left(p_name, 2) from part) where contains(p_name, r_word)")
 def j08_contains_table(t):
-    words = t("part").where("p_partkey < 5").select(F.get(F.split("p_name", " "), F.lit(0)).alias("r_word"))
-    return keyed.containing(t("part"), "p_name", words, "r_word", 3).select("p_partkey", "r_word")
+    """All first words, and all first two letters, in all names."""
+    words = t("part").select(F.get(F.split("p_name", " "), F.lit(0)).alias("r_word")).unionAll(t("part").select(F.substring("p_name", 1, 2)))
+    return keyed.containing(t("part"), "p_name", words, "r_word").select("p_partkey", "r_word")
 
 
 @query("select n_nationkey, y, x, n_nationkey * (y + 1) + n_regionkey * (x + 1) as v from nation, (select unnest([-1, 0, 1]) as y) a, (select unnest([-1, 0, 1]) as x) b")

@@ -132,9 +132,9 @@ def upsert_json(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return named(old).join(named(new).select(key), key, "left_anti").unionByName(named(new), allowMissingColumns=True)
 
 
-def wide(pairs: DataFrame, row: str, key: str, value: str, keys: Sequence[str]) -> DataFrame:
-    """Rows of (row, key, value) with a column for each of the keys, in their order; the last value of a key counts."""
-    return pairs.groupBy(row).pivot(key, list(keys)).agg(F.last(value))
+def wide(pairs: DataFrame, row: str, key: str, value: str, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Rows of (row, key, value) with a column for each of the keys, in their order; the last value of a key by `order` counts, the greatest without one."""
+    return pairs.groupBy(row).pivot(key, list(keys)).agg(F.max_by(value, order) if order else F.max(value))
 
 
 def first_seen(pairs: DataFrame, row: str, key: str) -> list[str]:

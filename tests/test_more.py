@@ -147,10 +147,9 @@ def test_queries_without_sql(spark):
 def test_bands_and_references_of_repeated_rows(spark):
     tiers = spark.createDataFrame([(1, 0.0, 10.0, "a"), (0, 5.0, 30.0, "b"), (2, 100.0, 100.0, "c")], "pos int, lo double, hi double, tier string")
     rows = spark.createDataFrame([(1, 3.0), (1, 3.0), (2, 7.0), (3, 10.0), (4, 50.0), (5, None), (6, 100.0)], "k int, v double")
-    for width in (1.0, 8.0, 1000.0):
-        got = sorted((r.k, r.tier) for r in R.band_join(rows, "v", tiers, "lo", "hi", "pos", width).collect())
-        assert got == [(1, "a"), (1, "a"), (2, "b"), (3, "b"), (6, "c")]
-    assert R.band_join(rows, "v", tiers.where("false"), "lo", "hi", "pos", 8.0).count() == 0
+    got = sorted((r.k, r.tier) for r in R.band_join(rows, "v", tiers, "lo", "hi", "pos").collect())
+    assert got == [(1, "a"), (1, "a"), (2, "b"), (3, "b"), (6, "c")]
+    assert R.band_join(rows, "v", tiers.where("false"), "lo", "hi", "pos").count() == 0
     names = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "id int, name string")
     refs = spark.createDataFrame([(1, [2, 1]), (1, [2, 1]), (1, [1, 9]), (2, []), (3, None), (None, [1])], "k int, ids array<int>")
     got = R.populate_array(refs, "ids", names, "id", "name", "names", "k")
