@@ -1,10 +1,10 @@
-"""Functions whose result depends on one element after the other, over Arrow batches; and templates and image search in built-ins."""
+"""Functions whose result depends on one element after the other, over Arrow batches; image search by tiles; templates in built-ins."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +17,20 @@ def height(values: Sequence) -> int:
 
     A new leaf hangs below the deeper one of its two neighbours in sort order.
     """
-    keys: list = []
-    depth: list[int] = []
-    top = -1
-    for i, v in enumerate(values):
-        at = bisect_left(keys, (v, i))
-        d = 1 + max(depth[at - 1] if at else -1, depth[at] if at < len(keys) else -1)
-        keys.insert(at, (v, i))
-        depth.insert(at, d)
-        top = max(top, d)
-    return top
+    n = len(values)
+    order = sorted(range(n), key=values.__getitem__)
+    # taken out again from the last to the first, each value has its neighbours of the time of its insertion beside it
+    before, after = [n] * (n + 1), [n] * (n + 1)
+    for a, b in zip(order, order[1:]):
+        after[a], before[b] = b, a
+    for i in range(n - 1, -1, -1):
+        a, b = before[i], after[i]
+        after[a], before[b] = b, a
+    depth = [-1] * (n + 1)
+    for i in range(n):
+        a, b = depth[before[i]], depth[after[i]]
+        depth[i] = (a if a > b else b) + 1
+    return max(depth)
 
 
 def tree_height(values: Column) -> Column:
@@ -105,12 +109,53 @@ def resize(image: Column, height: int, width: int) -> Column:
     return F.transform(grid(height), lambda i: F.transform(grid(width), lambda j: bilinear(image, i * h / height, j * w / width)))
 
 
+def match(image: np.ndarray, patch: np.ndarray, tile: int = 512) -> tuple[float, int, int]:
+    """(distance, y, x) of the patch's least mean squared difference, the first in reading order; infinite if it doesn't fit.
+
+    The squares of each place come from a summed-area table, the products from Fourier transforms of overlapping tiles. Where all
+    pixels are whole and sums are below 2**50, sums of squares are rounded and so exact; otherwise all places within the rounding error of the least are computed anew.
+    """
+    (h, w), (ph, pw) = image.shape, patch.shape
+    if ph > h or pw > w or not patch.size:
+        return float("inf"), 0, 0
+    area = np.zeros((h + 1, w + 1))
+    area[1:, 1:] = (image**2).cumsum(0).cumsum(1)
+    squares = area[ph:, pw:] - area[:-ph, pw:] - area[ph:, :-pw] + area[:-ph, :-pw]
+    products = np.empty_like(squares)
+    size = [min(1 << (x - 1).bit_length(), max(tile, 1 << (2 * p - 1).bit_length())) for x, p in ((h, ph), (w, pw))]
+    turned = np.conj(np.fft.rfft2(patch, size))
+    step = [n - p + 1 for n, p in zip(size, (ph, pw))]
+    for y in range(0, h - ph + 1, step[0]):
+        for x in range(0, w - pw + 1, step[1]):
+            part = np.fft.irfft2(np.fft.rfft2(image[y : y + size[0], x : x + size[1]], size) * turned, size)
+            to = products[y : y + step[0], x : x + step[1]]
+            to[:] = part[: to.shape[0], : to.shape[1]]
+    own = (patch**2).sum()
+    sums = squares - 2 * products + own
+    scale = float(area[-1, -1]) + float(own)
+    whole = scale < 1 << 50 and bool((image == np.rint(image)).all() and (patch == np.rint(patch)).all())
+    if whole and 64 * np.finfo(float).eps * np.sqrt(float((image**2).max(initial=0)) * size[0] * size[1] * own) * 40 < 0.2:
+        sums = np.rint(sums)
+        y, x = np.unravel_index(np.argmin(sums), sums.shape)
+        return float(sums[y, x]) / patch.size, int(y), int(x)
+    near = np.argwhere(sums <= sums.min() + 1e-9 * scale)
+    exact = [float(((image[y : y + ph, x : x + pw] - patch) ** 2).sum()) for y, x in near]
+    k = int(np.argmin(exact))
+    return exact[k] / patch.size, int(near[k][0]), int(near[k][1])
+
+
 def best_match(image: Column, patch: Column) -> Column:
-    """(distance, y, x) of the patch's least mean squared difference, the first in reading order; infinite if it doesn't fit."""
-    h, w = F.size(image), F.size(F.get(image, F.lit(0)))
-    ph, pw = F.size(patch), F.size(F.get(patch, F.lit(0)))
-    square = lambda i, j: F.flatten(F.transform(patch, lambda row, a: F.transform(row, lambda v, b: F.pow(F.get(F.get(image, i + a), j + b) - v, F.lit(2)))))
-    at = lambda i, j: F.struct((F.aggregate(square(i, j), F.lit(0.0), lambda s, x: s + x) / (ph * pw)).alias("distance"), i.alias("y"), j.alias("x"))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), h - ph), lambda i: F.transform(F.sequence(F.lit(0), w - pw), lambda j: at(i, j))))
-    none = F.struct(F.lit(float("inf")).alias("distance"), F.lit(0).alias("y"), F.lit(0).alias("x"))
-    return F.when((ph <= h) & (pw <= w), F.array_min(every)).otherwise(none)
+    """As `match` for arrays of rows: (distance, y, x); null if one of the images, or a pixel, is null."""
+
+    def grid(rows) -> np.ndarray | None:
+        if rows is None or any(r is None for r in rows):
+            return None
+        out = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+        return None if np.isnan(out).any() else out.reshape(len(rows), -1)
+
+    @F.pandas_udf("distance double, y int, x int")
+    def each(images: pd.Series, patches: pd.Series) -> pd.DataFrame:
+        both = ((grid(a), grid(b)) for a, b in zip(images, patches))
+        return pd.DataFrame([(None, None, None) if a is None or b is None else match(a, b) for a, b in both], columns=["distance", "y", "x"]).astype({"y": "Int32", "x": "Int32"})
+
+    return each(image, patch)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.functions import markup
 from lattica.functions import sequential as S
 from lattica.plans.registry import query
 from lattica.sources import files, media, pages, scratch, sheets, versions
@@ -170,11 +171,17 @@ def t15_retries(t):
     return t.spark.read.parquet(to)
 
 
-@query("select page_id, array_to_string(list_transform(regexp_extract_all(html, '(?s)<li(?:\\s[^>]*)?>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), '|') as cells from pages where len(regexp_extract_all(html, '(?s)<li(\\s[^>]*)?>')) = len(regexp_extract_all(html, '</li>'))")
+@query("select page_id, array_to_string(list_transform(regexp_extract_all(html, '(?s)<li(?:\\s[^>]*)?>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), '|') as cells from pages")
 def s19_html_cells(t):
-    x = files.cells(t("pages"), "li")
-    even = F.size(F.regexp_extract_all("html", F.lit(r"(?s)<li(\s[^>]*)?>"), 0)) == F.size(F.regexp_extract_all("html", F.lit("</li>"), 0))
-    return x.where(even).select("page_id", F.array_join("cells", "|").alias("cells"))
+    x = markup.cells(t("pages"), "li")
+    return x.select("page_id", F.array_join(F.transform("cells", lambda c: c["text"]), "|").alias("cells"))
+
+
+@query("with p as (select page_id, string_split(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<p>')[2:] as p from pages) select page_id, array_to_string(list_transform(p, lambda x: trim(regexp_replace(regexp_extract(x, '(?s)^(.*?)(</p>|</article>|<h[1-6]|<ul|<div|<footer|$)', 1), '<[^>]*(>|$)', '', 'g'))), '|') as paragraphs from p")
+def s19_html_paragraphs(t):
+    """Paragraphs of all pages, also those without an end tag, with open elements in them, or cut off."""
+    x = markup.cells(t("pages"), "p", name="paragraphs")
+    return x.select("page_id", F.array_join(F.transform("paragraphs", lambda c: F.trim(c["text"])), "|").alias("paragraphs"))
 
 
 @query("select '<' || conv_id || '.' || turn || '@x>' as message_id, '<' || conv_id || '.0@x>' as thread_id, role || '@example.org' as sender, 'Turn ' || turn as subject, length(trim(text, ' ' || chr(10) || chr(13) || chr(9))) > 0 as has_body from conversations")

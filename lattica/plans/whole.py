@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.functions import sequential as S
 from lattica.operators import relational as R
 from lattica.plans import paging
 from lattica.plans.registry import query
@@ -53,3 +54,12 @@ def j09_wide_bands(t):
     lo = F.col("p_retailprice") * (F.col("p_partkey") % 150)
     tiers = t("part").select("p_partkey", lo.alias("lo"), (lo + F.pow(F.lit(10), F.col("p_partkey") % 10)).alias("hi"))
     return R.band_join(t("orders"), "o_totalprice", tiers, "lo", "hi", "p_partkey").select("o_orderkey", F.col("p_partkey").alias("tier"))
+
+
+@query("with p as (select vec_id, list_transform(embedding, lambda v: floor(v * 100)) as v from embeddings), d as (select vec_id, y, x, ((v[8 * y + x + 1] - 12) ** 2 + (v[8 * y + x + 2] + 7) ** 2 + (v[8 * y + x + 9] - 3) ** 2 + (v[8 * y + x + 10] - 9) ** 2) / 4 as d from p, (select unnest(range(7)) as y), (select unnest(range(7)) as x)) select vec_id, min(d)::double as distance, arg_min(y, (d, y, x))::int as y, arg_min(x, (d, y, x))::int as x from d group by 1")
+def i08_best_matches(t):
+    """Vectors as 8 x 8 images: where a patch fits best."""
+    v = F.transform("embedding", lambda x: F.floor(x * 100))
+    image = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(v, i * 8 + 1, 8))
+    patch = F.array(F.array(F.lit(12), F.lit(-7)), F.array(F.lit(3), F.lit(9)))
+    return t("embeddings").select("vec_id", S.best_match(image, patch).alias("m")).select("vec_id", "m.*")

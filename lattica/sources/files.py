@@ -98,12 +98,6 @@ def random_pick(spark: SparkSession, path: str, seed: int) -> DataFrame:
     return files.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(1)
 
 
-def cells(pages: DataFrame, tag: str, html: str = "html", name: str = "cells") -> DataFrame:
-    """Texts of the elements of a tag that hold no element of that tag, in order, without inner tags."""
-    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>((?:(?!<{tag}[\s>]).)*?)</{tag}>"), 1)
-    return pages.withColumn(name, F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"<[^>]*>", ""))))
-
-
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -143,3 +143,63 @@ def test_helper_names_do_not_clash(spark):
     assert relational.increment(a, b, "__n", "__n", "v", "x", "xr").collect()[0][2:] == (-3, 10)
     text = spark.createDataFrame([(1, "a", True), (1, "c", True), (1, "d", False), (2, "b", None), (2, "a", False)], "k int, o string, m boolean")
     assert sorted((r.k, r.o) for r in relational.first_or_last_marked(text, "k", "o", F.col("m")).collect()) == [(1, "c"), (2, "a")]
+
+
+def test_tree_of_a_million_values():
+    from time import process_time
+
+    from lattica.functions import sequential as S
+
+    values = np.random.default_rng(1).permutation(1_000_000).tolist()
+    began = process_time()
+    assert 40 < S.height(values) < 70 and process_time() - began < 10
+    assert S.height(list(range(5000))) == S.height([1] * 5000) == 4999 and S.height([]) == -1 and S.height(["b", "a", "c"]) == 1
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_patches_in_large_images(whole):
+    from lattica.functions import sequential as S
+
+    rng = np.random.default_rng(2)
+    for (h, w), (ph, pw), tile in (((512, 512), (24, 40), 128), ((9, 300), (3, 2), 16), ((5, 5), (5, 5), 512), ((40, 30), (1, 1), 8)):
+        image = rng.integers(0, 256, (h, w)).astype(float) if whole else rng.normal(size=(h, w))
+        y, x = (h - ph) * 2 // 3, (w - pw) // 2
+        patch = image[y : y + ph, x : x + pw].copy()
+        if whole and ph * pw > 1:
+            patch[0, 0] += 3
+        want = min((((image[i : i + ph, j : j + pw] - patch) ** 2).mean(), i, j) for i in range(h - ph + 1) for j in range(w - pw + 1)) if h * w < 3000 else (((image[y : y + ph, x : x + pw] - patch) ** 2).mean(), y, x)
+        got = S.match(image, patch, tile)
+        assert got[1:] == want[1:] and abs(got[0] - want[0]) < 1e-9
+    assert S.match(np.full((300, 300), 7.0), np.full((4, 4), 5.0)) == (4.0, 0, 0)
+
+
+@pytest.mark.parametrize(
+    ("html", "tag", "want"),
+    [
+        ("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul>", "li", [(0, "abcd"), (1, "b"), (1, "c"), (0, "e")]),
+        ("<table><tr><td>1<td><table><tr><td>2</table>3<tr><th>4</table>", "td", [(0, "1"), (0, "23"), (1, "2")]),
+        ("<p>a<b>b<p>c<div>d</div>e", "p", [(0, "ab"), (0, "c")]),
+        ("<LI title='a>b' x=\"</li>\">q</LI ><!-- <li>no --><script>'<li>'</script><li>r", "li", [(0, "q"), (0, "r")]),
+        ("<li>1 < 2 &amp; 3<br>4</b></li><li", "li", [(0, "1 < 2 &amp; 34")]),
+        ("<li>open <!-- never", "li", [(0, "open")]),
+        ("<title>a<b></title><p>x", "title", [(0, "a<b>")]),
+        ("", "li", []),
+    ],
+)
+def test_elements(html, tag, want):
+    from lattica.functions import markup
+
+    assert markup.elements(html, tag) == want
+
+
+def test_long_and_broken_pages_take_linear_time(spark):
+    from time import process_time
+
+    from lattica.functions import markup
+
+    began = process_time()
+    for html in ("<a" * 200_000, "<li>x" * 100_000, "<li>" + "<b>" * 50_000, "<a href='" * 100_000, "<!--" * 200_000, "a<" * 200_000, "<i>" * 50_000 + "</b>" * 50_000):
+        markup.elements(html, "li")
+    assert process_time() - began < 20
+    df = spark.createDataFrame([(1, "<li>a</li>"), (2, None), (3, "")], "id int, html string")
+    assert [(r.id, [c.text for c in r.cells]) for r in markup.cells(df, "LI").orderBy("id").collect()] == [(1, ["a"]), (2, []), (3, [])]
