@@ -13,14 +13,15 @@ least 50 words and 80 % of equal words are reported, without what lies beyond th
 equal words. A chain of one match is not aligned if, in each 50 words about it, less
 than half occur in the reference near its place there.
 Where known seeds follow each other closely but no passage came out, as their references
-differ, references are elected once more, among the documents with such open stretches.
+differ, such open stretches are compared with each other: of each window of 50 words all pairs of the 8 least shingles are keys, and a
+key leads to the first document that has it and to the last one before, so that pieces of the passage in many smaller documents do not hide it.
 Where all seeds are known and still no passage came out, all 50-word windows are looked up by their own hash: every equal run of 50 words that a
 smaller document has lies in a reported passage.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Null, empty and short texts have no
-passage; rows without doc_id are left out; rows that share a doc_id are one document,
-the greatest text stands for it; repeats within one document are not reported. Other
-columns are ignored.
+passage; rows without doc_id are left out; different texts that share a doc_id all count, with places in
+their own text; repeats within one document are not reported. Other
+columns are ignored. Words are compared by 32 bits of their hashes: two different words that are compared count as equal with a probability of 2**-32.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import Words, buckets_for, by_bucket, flat, joined, mix, powers, shingles, stash, words
 from lattica.llm.suffix_dedup import least
+from lattica.operators.scan import numbered
 
 K, WINDOW = 5, 6
 #: Words of a text that are taken at both sides of a pair's starts, before all of it.
@@ -42,8 +44,10 @@ NEAR = 96
 #: Bits of the map of windows asked for, at most; with more windows the map lets more others through.
 MOST_BITS = 1 << 28
 GAP_COST, MOST_GAP = 0.1, 48
-#: Steps from one known seed to the next within an open stretch, at most: what two edits in a row of words take away.
-OPEN_GAP = WINDOW + 2 * K
+#: Steps from one known seed to the next within an open stretch, at most: what some edits in a row of words take away.
+OPEN_GAP = 2 * WINDOW + 4 * K
+#: Shingles of a window, and from one window to the next, by which open stretches are compared.
+LEAST, STEP = 8, 8
 #: So many ids at most are broadcast.
 BROADCAST_IDS = 1 << 20
 SCHEMA = "doc_id long, other_doc_id long, first_word long, end_word long, other_first_word long, other_end_word long, n_equal long, identity double"
@@ -306,6 +310,31 @@ def windows(x: np.ndarray, n: int) -> np.ndarray:
     return mix((h[n:] - h[:-n]) * inverse[: len(x) - n + 1])
 
 
+def signatures(h: np.ndarray, spans: list[tuple[int, int]], done: list[tuple[int, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of windows of n shingles, one each STEP, over the spans (first and last place in h) and not in a stretch of words that is done.
+
+    A key joins two of the LEAST shingles of least hash of a window; the place is that of the lesser one.
+    """
+    starts: set[int] = set()
+    for a, b in spans:
+        a, b = max(a - WINDOW, 0), min(b + WINDOW, len(h) - 1)
+        starts.update(range(a, max(b - n + 2, a + 1), STEP))
+    first = np.array(sorted(a for a in starts if not any(c <= a and a + n + K - 1 <= e for c, e in done)), dtype=np.int64)
+    if not len(first) or len(h) < LEAST:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grid = np.minimum(first[:, None] + np.arange(max(n, LEAST)), len(h) - 1)
+    v = h[grid]
+    at = np.argpartition(v, LEAST - 1, axis=1)[:, :LEAST]
+    v, at = np.take_along_axis(v, at, 1), np.take_along_axis(grid, at, 1)
+    by = np.argsort(v, axis=1)
+    v, at = np.take_along_axis(v, by, 1), np.take_along_axis(at, by, 1)
+    i, j = np.triu_indices(LEAST, 1)
+    ok = v[:, i] != v[:, j]
+    key, place = mix(v[:, i] * np.uint64(0x2545F4914F6CDD1D) + v[:, j])[ok], at[:, i][ok]
+    _, one = np.unique(mix(key + place.astype(np.uint64)), return_index=True)
+    return key[one], place[one]
+
+
 def spelt_words(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
     """Of spelt texts, about `most` words at once: the rows [first, last), and their words without places in the text."""
     blobs, first = column.to_pylist(), 0
@@ -323,8 +352,21 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
     """Passages of a document that a smaller one has as well: doc_id, other_doc_id, where in both, equal words and identity."""
     buckets = buckets or buckets_for(docs)
     slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
+    names = None
     if slim.count() > slim.select("doc_id").distinct().count():
-        slim = slim.groupBy("doc_id").agg(F.max("text").alias("text"))
+        # texts that share a doc_id are numbered in its order, and their passages named by it again
+        several = numbered(slim.distinct(), ["doc_id", "text"], "x_number")
+        names, slim = several.select("x_number", "doc_id"), several.select(F.col("x_number").alias("doc_id"), "text")
+    found = _passages(slim, docs, least_words, least_identity, buckets)
+    if names is None:
+        return found
+    own, others = names.select("x_number", F.col("doc_id").alias("x_own")), names.select(F.col("x_number").alias("x_other"), F.col("doc_id").alias("x_theirs"))
+    named = found.join(own, F.col("doc_id") == F.col("x_number")).join(others, F.col("other_doc_id") == F.col("x_other")).where("x_own <> x_theirs")
+    return named.select(F.col("x_own").alias("doc_id"), F.col("x_theirs").alias("other_doc_id"), *found.columns[2:])
+
+
+def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity: float, buckets: int) -> DataFrame:
+    """As `passages` for texts of different ids."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,16 +383,6 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
             for first, last, w in spelt_words(batch.column(1)):
                 h, ptr = shingles(w, K)
                 at, d = seeds(h, ptr)
-                if batch.num_columns > 2:
-                    # only places in the document's open stretches
-                    want = np.zeros(len(h), dtype=bool)
-                    for i in range(last - first):
-                        own = want[ptr[i] : ptr[i + 1]]
-                        for v in batch.column(2)[first + i].as_py():
-                            own[v["p"] : v["q"] + 1] = True
-                        for v in batch.column(3)[first + i].as_py() or []:
-                            own[max(v["first_word"] - K + 1, 0) : v["end_word"]] = False
-                    at, d = at[want[at]], d[want[at]]
                 hs.append(h[at])
                 ds.append(ids[d + first])
                 ps.append(at - ptr[d])
@@ -408,6 +440,33 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         some = np.flatnonzero(np.diff(cut))
         return pa.table({"part": pa.array(some.astype(np.int32)), "matches": pa.array([np.ascontiguousarray(x[:, order[cut[b] : cut[b + 1]]]).tobytes() for b in some], pa.binary())})
 
+    def keyed(h: np.ndarray, d: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        """Places (d, p) of keys h, a blob for each bucket."""
+        order, cut = by_bucket(h, buckets)
+        some = np.flatnonzero(np.diff(cut))
+        blobs = [order[cut[b] : cut[b + 1]] for b in some]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([h[x].tobytes() for x in blobs], pa.binary()), pa.array([packed(d[x], p[x]) for x in blobs], pa.binary())], names=["bucket", "keys", "places"])
+
+    def ordered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, document, place, where the key begins) in order."""
+        h = joined(rows["keys"], np.uint64)
+        d, p = (np.concatenate(x) for x in zip(*[unpacked(m) for m in rows["places"].to_pylist()]))
+        by = np.lexsort((p, d, h))
+        h, d, p = h[by], d[by], p[by]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        return h, d, p, np.flatnonzero(new)[np.cumsum(new) - 1]
+
+    def meet(_: tuple, rows: pa.Table) -> pa.Table:
+        """Each place with the first document that has its key, and with the last one before its own."""
+        h, d, p, head = ordered(rows)
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        last = np.flatnonzero(new)[np.cumsum(new) - 1] - 1
+        one, two = d[head] < d, (last > head) & (d[head] < d)
+        x = np.stack([np.concatenate([d[one], d[two]]), np.concatenate([d[head][one], d[last[two]]]), np.concatenate([p[one], p[two]]), np.concatenate([p[head][one], p[last[two]]])])
+        return dealt(np.unique(x, axis=1))
+
     told = spelt.mapInArrow(tell, "bucket int, keys binary, seed binary, places binary")
     matched = told.groupBy("bucket").applyInArrow(match, "part int, matches binary")
     least_span = least_words - K + 1 - 2 * (WINDOW - 1) - 1  # from the first to the last seed of an equal run of least_words
@@ -430,7 +489,7 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
         new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > OPEN_GAP)
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(d)) - 1
-        ok = (p[b] - p[a] >= least_span // 2) & (b - a >= 3)
+        ok = (p[b] - p[a] >= least_span // 2) & (b - a >= 2)
         out += [(x, None, y, z, b"") for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
         columns = list(zip(*out)) or [()] * 5
         whole = [pa.concat_arrays([pa.array(v, pa.int64()), pa.array(c, pa.int64())]) for v, c in zip((*pair, *at), columns)]
@@ -509,14 +568,28 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
 
     first = stash(passed(stash(paired(starts.where("other is not null").withColumn("size", F.lit(1))), "chain-pairs"), "first"), "chain-first")
 
-    # stretches of known seeds that no passage came of, as their references differ: references are elected anew among the documents that have such stretches
+    # stretches of known seeds that no passage came of, as their references differ: their windows are compared with each other
     done = first.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "end_word")).alias("done"))
     left = starts.where("other is null and length(more) = 0").groupBy("doc_id").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
     left = left.join(done, "doc_id", "left").where("exists(spans, s -> not exists(coalesce(done, array()), v -> v.first_word <= s.p and s.q < v.end_word))")
-    left = stash(left.join(spelt, F.col("doc_id") == F.col("id")).select("id", "spelt", "spans", "done"), "chain-open")
-    anew = left.mapInArrow(tell, "bucket int, keys binary, seed binary, places binary").groupBy("bucket").applyInArrow(match, "part int, matches binary").groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long, more binary")
-    anew = paired(anew.where("other is not null").withColumn("size", F.lit(1))).join(starts.where("other is not null").select("doc_id", "other").distinct(), ["doc_id", "other"], "left_anti")
-    first = stash(first.unionAll(passed(stash(anew, "chain-anew"), "anew")), "chain-known")
+    left = left.join(spelt, F.col("doc_id") == F.col("id")).select("id", "spelt", "spans", "done")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, spans, done = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            hs, ds, ps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for first, last, w in spelt_words(batch.column(1)):
+                h, ptr = shingles(w, K)
+                for i in range(first, last):
+                    k, at = signatures(h[ptr[i - first] : ptr[i - first + 1]], [(v["p"], v["q"]) for v in spans[i]], [(v["first_word"], v["end_word"]) for v in done[i] or []], least_words - K + 1)
+                    hs.append(k)
+                    ds.append(np.full(len(k), ids[i]))
+                    ps.append(at)
+            yield keyed(np.concatenate(hs), np.concatenate(ds), np.concatenate(ps))
+
+    signed = left.mapInArrow(sign, "bucket int, keys binary, places binary").groupBy("bucket").applyInArrow(meet, "part int, matches binary")
+    anew = paired(signed.groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long, more binary").where("other is not null").withColumn("size", F.lit(1)))
+    first = stash(first.unionAll(passed(stash(anew, "chain-anew"), "anew")).distinct(), "chain-known")
 
     # equal runs that seeds did not lead to: their windows of least_words are elected themselves
     spans = starts.where("other is null and more is null").groupBy("doc_id").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
@@ -569,20 +642,10 @@ def passages(docs: DataFrame, least_words: int = 50, least_identity: float = 0.8
                 hs.append(h[p])
                 ds.append(np.full(len(p), d))
                 ps.append(p)
-            h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
-            order, cut = by_bucket(h, buckets)
-            some = np.flatnonzero(np.diff(cut))
-            blobs = [order[cut[b] : cut[b + 1]] for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([h[x].tobytes() for x in blobs], pa.binary()), pa.array([packed(d[x], p[x]) for x in blobs], pa.binary())], names=["bucket", "keys", "places"])
+            yield keyed(np.concatenate(hs), np.concatenate(ds), np.concatenate(ps))
 
     def settle(_: tuple, rows: pa.Table) -> pa.Table:
-        h = joined(rows["keys"], np.uint64)
-        d, p = (np.concatenate(x) for x in zip(*[unpacked(m) for m in rows["places"].to_pylist()]))
-        by = np.lexsort((p, d, h))
-        h, d, p = h[by], d[by], p[by]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = h[1:] != h[:-1]
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        _, d, p, head = ordered(rows)
         ok = d[head] < d
         return dealt(np.stack([d[ok], d[head][ok], p[ok], p[head][ok]]))
 
