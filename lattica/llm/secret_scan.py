@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +42,7 @@ THRESHOLDS = {"hex": 2.95, "base36": 3.45, "base62": 3.68, "single": 3.28, "lett
 ALLOW = (r"(?i)(?<![0-9a-z])[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])", r"(?i)example|placeholder|changeme|dummy|sample", r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
 #: Characters between tokens.
 BETWEEN = "/_=-"
+_BETWEEN = re.compile("[/_=-]")
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -84,21 +87,24 @@ def hot_windows(s: str, width: int, thresholds: dict[str, float]) -> Iterator[tu
     H = log2(width) - sum(c*log2 c)/width, so a step of the window changes two terms.
     """
     logs = [0.0, 0.0] + [c * math.log2(c) for c in range(2, width + 1)]
-    counts: dict[str, int] = {}
+    counts: dict[str, int] = dict.fromkeys(s, 0)
+    flags = {c: (c in "0123456789abcdefABCDEF", "a" <= c <= "z", "A" <= c <= "Z", "0" <= c <= "9", c in "aeiouAEIOU") for c in counts}
     total = 0.0
     n_hex = n_lower = n_upper = n_digit = n_vowel = 0
     start = end = -1
     for i, c in enumerate(s):
-        for ch, step in ((s[i - width] if i >= width else "", -1), (c, 1)):
-            if ch:
-                k = counts.get(ch, 0)
-                total += logs[k + step] - logs[k]
-                counts[ch] = k + step
-                n_hex += step * (ch in "0123456789abcdefABCDEF")
-                n_lower += step * ("a" <= ch <= "z")
-                n_upper += step * ("A" <= ch <= "Z")
-                n_digit += step * ("0" <= ch <= "9")
-                n_vowel += step * (ch in "aeiouAEIOU")
+        if i >= width:
+            old = s[i - width]
+            k = counts[old]
+            total += logs[k - 1] - logs[k]
+            counts[old] = k - 1
+            a, b, d, e, f = flags[old]
+            n_hex, n_lower, n_upper, n_digit, n_vowel = n_hex - a, n_lower - b, n_upper - d, n_digit - e, n_vowel - f
+        k = counts[c]
+        total += logs[k + 1] - logs[k]
+        counts[c] = k + 1
+        a, b, d, e, f = flags[c]
+        n_hex, n_lower, n_upper, n_digit, n_vowel = n_hex + a, n_lower + b, n_upper + d, n_digit + e, n_vowel + f
         if i < width - 1:
             continue
         kind = _class(n_hex, n_lower, n_upper, n_digit, n_vowel, width)
@@ -113,22 +119,33 @@ def hot_windows(s: str, width: int, thresholds: dict[str, float]) -> Iterator[tu
         yield start, end
 
 
-def widened(s: str, i: int, j: int) -> tuple[int, int]:
-    """[i, j) of s up to the ends of the tokens that it begins and ends in."""
-    while i and s[i] not in BETWEEN and s[i - 1] not in BETWEEN:
-        i -= 1
-    while j < len(s) and s[j - 1] not in BETWEEN and s[j] not in BETWEEN:
-        j += 1
+def marks(s: str) -> list[int]:
+    """Where the characters between tokens are."""
+    return [m.start() for m in _BETWEEN.finditer(s)]
+
+
+def widened(s: str, at: Sequence[int], i: int, j: int) -> tuple[int, int]:
+    """[i, j) of s up to the ends of the tokens that it begins and ends in; at: the marks of s."""
+    if s[i] not in BETWEEN:
+        k = bisect_left(at, i)
+        i = at[k - 1] + 1 if k else 0
+    if s[j - 1] not in BETWEEN:
+        k = bisect_left(at, j)
+        j = at[k] if k < len(at) else len(s)
     return i, j
 
 
 def allowed(s: str, allow: Sequence[re.Pattern]) -> list[tuple[int, int]]:
     """Stretches of whole tokens of s that the allow-list names, in order."""
-    return sorted(widened(s, *m.span()) for a in allow for m in a.finditer(s) if m[0])
+    found = [m.span() for a in allow for m in a.finditer(s) if m[0]]
+    at = marks(s) if found else []
+    return sorted({widened(s, at, *x) for x in found})
 
 
 def entropy_spans(text: str, base: Sequence[Span], width: int, thresholds: dict[str, float], allow: Sequence[re.Pattern]) -> list[Span]:
+    """Linear in the text but for a search among marks and among base spans for each hot stretch."""
     found: list[Span] = []
+    starts, ends = [s for s, _, _ in base], [*accumulate((e for _, _, e in base), max)]
     for m in CANDIDATE.finditer(text):
         at = 0
         for i, j in [*allowed(m[0], allow), (len(m[0]), len(m[0]))]:
@@ -139,11 +156,14 @@ def entropy_spans(text: str, base: Sequence[Span], width: int, thresholds: dict[
                 last += len(piece) - len(piece.lstrip(BETWEEN))
                 piece = piece.lstrip(BETWEEN)
             at = max(at, j)
+            own = None
             for x, y in hot_windows(piece, width, thresholds):
-                x, y = widened(piece, x, y)
+                own = marks(piece) if own is None else own
+                x, y = widened(piece, own, x, y)
                 if found and found[-1][2] >= last + x:
                     x = found.pop()[0] - last
-                if not any(s <= last + x and last + y <= e for s, _, e in base):
+                k = bisect_right(starts, last + x)
+                if not k or ends[k - 1] < last + y:
                     found.append((last + x, 3, last + y))
     return found
 
