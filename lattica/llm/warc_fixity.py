@@ -13,7 +13,7 @@ reports every record. Other columns are ignored.
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import stash
 
+#: What a gzip member begins with.
+_GZIP = b"\x1f\x8b\x08"
+
 
 def record(page_id: Column, url: Column, body: Column) -> Column:
     """The bytes of a resource record, as text."""
@@ -118,35 +121,67 @@ def archives(pages: DataFrame, per_file: int = 1024) -> DataFrame:
     return x.groupBy("file").agg(F.array_join(F.transform(parts, lambda p: p["r"]), "").cast("binary").alias("content"))
 
 
-def split_records(content: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
-    """(start, end, headers, body) of the records of one file, gzipped or not. A range that is no whole record has headers None, up to the next record or the end."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+Record = tuple[int, int, dict[str, str] | None, bytes]
+
+
+def _plain_records(content: bytes) -> Iterator[Record]:
     at = 0
     while at < len(content):
         head = content.find(b"\r\n\r\n", at) if content[at : at + 5] == b"WARC/" else -1
-        if head < 0:
+        headers: dict[str, str] = {}
+        if head >= 0:
+            lines = content[at:head].decode("utf-8", "replace").split("\r\n")[1:]
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = headers.get("content-length", "0")
+        end = head + 4 + int(size) + 4 if head >= 0 and size.isdecimal() and len(size) < 19 else -1
+        if 0 <= end <= len(content) and content[end - 4 : end] == b"\r\n\r\n":
+            yield at, end, headers, content[head + 4 : end - 4]
+        else:
             end = content.find(b"WARC/1", at + 1)
             end = end if end >= 0 else len(content)
             yield at, end, None, content[at:end]
-            at = end
-            continue
-        lines = content[at:head].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("content-length", "0")) if headers.get("content-length", "0").isdigit() else -1
-        end = head + 4 + size + 4
-        if size < 0 or end > len(content) or content[end - 4 : end] != b"\r\n\r\n":
-            end = content.find(b"WARC/1", at + 1)
+        at = end
+
+
+def inflated(content: bytes, at: int, step: int = 1 << 16) -> tuple[int, bytes] | None:
+    """(end, data) of the gzip member that begins at `at`; None if it is damaged or cut off."""
+    z, out, fed = zlib.decompressobj(31), [], at
+    try:
+        while not z.eof and fed < len(content):
+            out.append(z.decompress(content[fed : fed + step]))
+            fed = min(fed + step, len(content))
+        return (fed - len(z.unused_data), b"".join(out)) if z.eof else None
+    except zlib.error:
+        return None
+
+
+def split_records(content: bytes) -> Iterator[Record]:
+    """(start, end, headers, body) of the records of one file, gzipped member by member or not. Places are those in the file.
+
+    A range that is no whole record has headers None and its own bytes as body: up to the next record, or the next
+    member that is whole, or the end. Of a member with several records each has the range of the member.
+    """
+    if content[:3] != _GZIP:
+        yield from _plain_records(content)
+        return
+    at = 0
+    while at < len(content):
+        got = inflated(content, at) if content.startswith(_GZIP, at) else None
+        if got is not None:
+            end, data = got
+            for _, _, headers, body in _plain_records(data):
+                yield at, end, headers, body if headers is not None else content[at:end]
+        else:
+            end = content.find(_GZIP, at + 1)
+            while end >= 0 and inflated(content, end) is None:
+                end = content.find(_GZIP, end + 1)
             end = end if end >= 0 else len(content)
             yield at, end, None, content[at:end]
-            at = end
-            continue
-        yield at, end, headers, content[head + 4 : head + 4 + size]
         at = end
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files below path: file, start, end, record_id, url, body; ranges that are no whole records are `damaged`."""
+    """Records of all WARC files below path: file, start, end, record_id, url, body; ranges that are no whole records are `damaged`. A file is one row of Spark's binary files, so it has 2 GB at most."""
     schema = "path string, start long, end long, record_id string, url string, body binary, damaged boolean"
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
