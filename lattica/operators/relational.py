@@ -171,8 +171,10 @@ def last_wins(ops: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def replay(ops: DataFrame, key: str, order: str, op: str = "op") -> DataFrame:
-    """State after puts and removes in order."""
-    return last_wins(ops, key, order).where(F.col(op) == "put").drop(op)
+    """State after puts, removes and clears in order; a clear takes away all keys that were put before it."""
+    cleared = ops.where(F.col(op) == "clear").agg(F.max(order)).scalar()
+    kept = ops.where(~F.col(op).eqNullSafe("clear") & (cleared.isNull() | (F.col(order) > cleared)))
+    return last_wins(kept, key, order).where(F.col(op) == "put").drop(op)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ import email.policy
 import email.utils
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.streaming.sink import opened
+
 _HEAD = b"\x89PNG\r\n\x1a\n"
 _GRAY = T.ArrayType(T.ArrayType(T.IntegerType()))
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -124,17 +127,17 @@ def images(spark: SparkSession, path: str, mode: str = "L") -> DataFrame:
 
 
 def write_files(df: DataFrame, folder: str, name: str, content: str) -> None:
-    """One file for each row; the folder must be one that all executors reach."""
+    """One file for each row, in a folder of any file system that pyarrow opens; a file appears whole, and one that is written again is replaced."""
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.makedirs(folder, exist_ok=True)
+        fs, base = opened(folder)
+        fs.create_dir(base, recursive=True)
         for b in batches:
             for n, c in zip(b[name], b[content]):
-                with open(f"{folder}/{n}.part", "wb") as f:
+                part = f"{base}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
                     f.write(c)
-                os.replace(f"{folder}/{n}.part", f"{folder}/{n}")
+                fs.move(part, f"{base}/{n}")
             yield b[[name]]
 
     df.select(name, content).mapInPandas(put, f"{name} string").write.format("noop").mode("overwrite").save()
