@@ -310,8 +310,23 @@ def windows(x: np.ndarray, n: int) -> np.ndarray:
     return mix((h[n:] - h[:-n]) * inverse[: len(x) - n + 1])
 
 
-def signatures(h: np.ndarray, spans: list[tuple[int, int]], done: list[tuple[int, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place) of windows of n shingles, one each STEP, over the spans (first and last place in h) and not in a stretch of words that is done.
+def uncovered(spans: list[tuple[int, int]], done: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """What `done` (first and end word) leaves of spans (first and last place of shingles), if more than `most` words; as spans."""
+    out = []
+    for a, b in spans:
+        b += K
+        for c, e in sorted(done):
+            if c < b and e > a:
+                if c - a > most:
+                    out.append((a, c - K))
+                a = max(a, e)
+        if b - a > most:
+            out.append((a, b - K))
+    return out
+
+
+def signatures(h: np.ndarray, spans: list[tuple[int, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of windows of n shingles, one each STEP, over the spans (first and last place in h).
 
     A key joins two of the LEAST shingles of least hash of a window; the place is that of the lesser one.
     """
@@ -319,7 +334,7 @@ def signatures(h: np.ndarray, spans: list[tuple[int, int]], done: list[tuple[int
     for a, b in spans:
         a, b = max(a - WINDOW, 0), min(b + WINDOW, len(h) - 1)
         starts.update(range(a, max(b - n + 2, a + 1), STEP))
-    first = np.array(sorted(a for a in starts if not any(c <= a and a + n + K - 1 <= e for c, e in done)), dtype=np.int64)
+    first = np.array(sorted(starts), dtype=np.int64)
     if not len(first) or len(h) < LEAST:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     grid = np.minimum(first[:, None] + np.arange(max(n, LEAST)), len(h) - 1)
@@ -581,14 +596,26 @@ def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity
             for first, last, w in spelt_words(batch.column(1)):
                 h, ptr = shingles(w, K)
                 for i in range(first, last):
-                    k, at = signatures(h[ptr[i - first] : ptr[i - first + 1]], [(v["p"], v["q"]) for v in spans[i]], [(v["first_word"], v["end_word"]) for v in done[i] or []], least_words - K + 1)
+                    k, at = signatures(h[ptr[i - first] : ptr[i - first + 1]], uncovered([(v["p"], v["q"]) for v in spans[i]], [(v["first_word"], v["end_word"]) for v in done[i] or []], least_words // 2), least_words - K + 1)
                     hs.append(k)
                     ds.append(np.full(len(k), ids[i]))
                     ps.append(at)
             yield keyed(np.concatenate(hs), np.concatenate(ds), np.concatenate(ps))
 
     signed = left.mapInArrow(sign, "bucket int, keys binary, places binary").groupBy("bucket").applyInArrow(meet, "part int, matches binary")
-    anew = paired(signed.groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long, more binary").where("other is not null").withColumn("size", F.lit(1)))
+    anew = signed.groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long, more binary").where("other is not null")
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for p, more, known in zip(*[batch.column(c).to_pylist() for c in ("p", "more", "done")]):
+                last = int(np.frombuffer(more, np.int32)[-2]) if more else p
+                keep.append(not any(v["first_word"] <= p and last + K <= v["end_word"] for v in known or []))
+            yield pa.RecordBatch.from_arrays(batch.columns[:5], names=batch.schema.names[:5]).filter(pa.array(keep, pa.bool_()))
+
+    # chains that lie in a passage already lead to nothing new
+    anew = anew.join(done, "doc_id", "left").select("doc_id", "other", "p", "q", "more", "done").mapInArrow(outside, "doc_id long, other long, p long, q long, more binary")
+    anew = paired(anew.withColumn("size", F.lit(1)))
     first = stash(first.unionAll(passed(stash(anew, "chain-anew"), "anew")).distinct(), "chain-known")
 
     # equal runs that seeds did not lead to: their windows of least_words are elected themselves
