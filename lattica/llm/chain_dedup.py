@@ -526,7 +526,7 @@ def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity
                     anchors = [(p, q)] + ([(u - low, v) for u, v in np.frombuffer(s["more"], np.int32).reshape(-1, 2).tolist()] if s["more"] else [])
                     if any(a <= p and p + size <= b and c <= q < e for a, b, c, e, _ in seen):
                         continue
-                    if ((tried[:, 0] - tried[:, 1] == p - q) & (tried[:, 0] <= p) & (p < tried[:, 0] + tried[:, 2])).any():
+                    if len(tried) and ((tried[:, 0] - tried[:, 1] == p - q) & (tried[:, 0] <= p) & (p < tried[:, 0] + tried[:, 2])).any():
                         continue
                     if len(anchors) == 1 and size == 1 and hopeless(x, y, p, q, least_words):
                         continue
