@@ -109,8 +109,8 @@ def f52_expires(t):
 
 
 def _image(t):
-    """A 4x4 image of an embedding's first values, 0 to 255."""
-    v = lambda y, x: F.pmod(F.floor(F.get("embedding", F.lit(4 * y + x)) * 1000), F.lit(256)).cast("int")
+    """A 4x4 image of an embedding's first values, 0 to 255; a value is multiplied as the float that it is, a whole number would make it a double."""
+    v = lambda y, x: F.pmod(F.floor(F.get("embedding", F.lit(4 * y + x)) * F.lit(1000).cast("float")), F.lit(256)).cast("int")
     return t("embeddings").select("vec_id", F.array(*[F.array(*[v(y, x) for x in range(4)]) for y in range(4)]).alias("image"))
 
 
