@@ -7,6 +7,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from lattica.functions import markup
+from lattica.sources import media
 
 
 @pytest.mark.parametrize("name", ["i01_channels", "i05_box_blur", "i06_bilinear", "s20_image_round_trip"])
@@ -22,3 +24,32 @@ def test_pixels_are_cut_as_floats(spark, tmp_path, name):
     want = duck.execute(oracle_sql()[name])
     names = [d[0] for d in want.description]
     assert sorted(tuple(r[n] for n in names) for r in queries()[name](spark, str(tmp_path)).collect()) == sorted(want.fetchall())
+
+
+def test_a_mailbox_is_read_in_splits(spark, tmp_path):
+    letter = lambda i: f"From a Thu Jan  1 00:00:00 2024\nMessage-ID: <{i}@x>\nSubject: {i}\n\n" + "word\n" * (i % 50) + f">From me\n>>From you {i}\n"
+    (tmp_path / "a.mbox").write_text("no message\n" + "".join(map(letter, range(300))))
+    (tmp_path / "b.mbox").write_text("".join(map(letter, range(300, 600))))
+    (tmp_path / "c.mbox").write_text("no message at all\n")
+    want = {(f"<{i}@x>", str(i), "word\n" * (i % 50) + f"From me\n>From you {i}") for i in range(600)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "5000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = media.mailbox(spark, str(tmp_path))
+            rows = got.collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert len(rows) == 600 and {(r.message_id, r.subject, r.body) for r in rows} == want
+    assert got.rdd.getNumPartitions() > 10
+
+
+def test_elements_of_few_pages_are_held_at_once(spark, monkeypatch):
+    df, taken = spark.createDataFrame([], "id long, html string"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: taken.append(f))
+    markup.cells(df, "li")
+    html = [f"<li>{i}" if i % 7 else None for i in range(1050)]
+    pages = pa.RecordBatch.from_pydict({"id": list(range(1050)), "html": html, "x": html})
+    out = list(taken[0](iter([pages])))
+    assert max(b.num_rows for b in out) <= 100
+    assert [(r["id"], [c["text"] for c in r["cells"]]) for b in out for r in b.to_pylist()] == [(i, [str(i)] if i % 7 else []) for i in range(1050)]
