@@ -13,6 +13,7 @@ Options of a batch read
   first     the first page or token (0, or the page after a stored offset)
   most      rows of a chain at most
   tasks, tries, wait   tasks for the pages, attempts for a page, seconds before the second (twice, three times .. as many before later ones)
+  failures  how many first attempts for each page are refused before it is got, to try retries out (0)
 
 A stream reads one chain: its offset is the next page, pages that have come since are a micro-batch (`batch` of them at most),
 dealt over tasks, and a restarted query goes on after the last page that was committed. Pages must not change once they are there.
@@ -54,9 +55,19 @@ class Endpoint:
         self.address = options["address"].rstrip("/")
         self.tries, self.wait = int(options.get("tries", 5)), float(options.get("wait", 1))
         self.web = self.address.startswith(("http://", "https://"))
+        self.failures, self.counted = int(options.get("failures", 0)), 0
 
     def page(self, start: str | None, page: object) -> dict:
-        return retry(lambda: self._web(start, page) if self.web else self._folder(start, page), self.tries, self.wait)
+        left = self.failures
+
+        def attempt() -> dict:
+            nonlocal left
+            if left > 0:
+                left -= 1
+                raise OSError(f"503: page {page} is refused")
+            return self._web(start, page) if self.web else self._folder(start, page)
+
+        return retry(attempt, self.tries, self.wait)
 
     def _web(self, start: str | None, page: object) -> dict:
         quoted = lambda x: urllib.parse.quote(str(x), safe="")
@@ -77,12 +88,16 @@ class Endpoint:
         return {"rows": rows, "next": int(page) + 1 if following.type != pafs.FileType.NotFound else None}
 
     def known(self, after: int) -> int:
-        """The number of pages that are there, counted on from `after`."""
+        """The number of pages that are there, counted on from `after`, or from where it was counted to before."""
         if self.web:
             return int(self.page(None, after).get("pages", after))
         fs, base = opened(self.address)
+        if after > self.counted and fs.get_file_info(base + self._at(None, after)).type == pafs.FileType.NotFound:
+            return after
+        after = max(after, self.counted)
         while fs.get_file_info(base + self._at(None, after)).type != pafs.FileType.NotFound:
             after += 1
+        self.counted = after
         return after
 
 

@@ -5,10 +5,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from lattica.functions import markup
-from lattica.sources import media
+from lattica.sources import media, pages, scratch
+from lattica.streaming import sink
 
 
 @pytest.mark.parametrize("name", ["i01_channels", "i05_box_blur", "i06_bilinear", "s20_image_round_trip"])
@@ -53,3 +55,37 @@ def test_elements_of_few_pages_are_held_at_once(spark, monkeypatch):
     out = list(taken[0](iter([pages])))
     assert max(b.num_rows for b in out) <= 100
     assert [(r["id"], [c["text"] for c in r["cells"]]) for b in out for r in b.to_pylist()] == [(i, [str(i)] if i % 7 else []) for i in range(1050)]
+
+
+def test_pages_are_counted_once(spark, tmp_path, monkeypatch):
+    asked = []
+    real = pages.Endpoint._at
+    monkeypatch.setattr(pages.Endpoint, "_at", lambda self, start, page: asked.append(page) or real(self, start, page))
+    for i in range(60):
+        (tmp_path / f"page={i}").mkdir()
+    e = pages.Endpoint({"address": str(tmp_path)})
+    assert [e.known(i) for i in range(60)] == [60] * 60 and e.known(70) == 70 and e.known(3) == 60
+    (tmp_path / "page=60").mkdir()
+    assert e.known(0) == 61 and len(asked) < 200
+
+
+def test_refused_pages_are_asked_for_again(spark):
+    at = scratch.folder(spark, "pages")
+    pages.write_pages(spark.range(95), at, F.floor(F.col("id") / 10).cast("int"), ["id"])
+    assert sorted(r.id for r in pages.read(spark, at, "id long", pages=10, tries=3, wait=0, failures=2).collect()) == list(range(95))
+    with pytest.raises(Exception, match="503"):
+        pages.read(spark, at, "id long", pages=10, tries=2, wait=0, failures=2).collect()
+
+
+def test_retries_pass_no_page_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(pages, "served", None)
+    assert queries()["t15_retries"](spark, "/root/testdata/sf0.001").count() == 50
+
+
+def test_batches_of_a_page_stream_grow_with_the_table(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("id page_id", "concat('u', id) url", "'ab' html").write.parquet(str(tmp_path / "pages.parquet"))
+    folders, real = [], scratch.folder
+    monkeypatch.setattr(scratch, "folder", lambda spark, name: folders.append(real(spark, name)) or folders[-1])
+    got = queries()["s15_page_stream"](spark, str(tmp_path))
+    assert sorted(r.page_id for r in got.collect()) == list(range(2000))
+    assert len(sink.listed(folders[1])) < 30 and sink.listed(folders[1])[0]["rows"] == 60
