@@ -117,15 +117,15 @@ def resolve(contexts: np.ndarray, levels: list[Level]) -> Iterator[np.ndarray]:
         yield np.log10(np.maximum(p, 1e-30)).astype(np.float32)
 
 
-def log_probability(logp: np.ndarray, contexts: np.ndarray, place: np.ndarray, t: Texts, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text the log10 probability of its symbols whose context is among the sorted contexts (with their rows in logp); the strings at the others, and the text of each."""
+def log_probability(logp: np.ndarray, contexts: np.ndarray, place: np.ndarray, column: np.ndarray, t: Texts, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the log10 probability of its symbols whose context is among the sorted contexts (with their rows in logp, and the column of each symbol); the strings at the others, and the text of each."""
     b, at = framed(t, order)
     code, own = strings(b, at, order)
     i = np.flatnonzero(own)
     row = lookup(contexts, place + 1, (code[i] >> np.uint64(8)).astype(np.int64)) - 1
     known = row >= 0
     each = np.zeros(len(b))
-    each[order:][i[known]] = logp.reshape(-1)[row[known] * 256 + (code[i[known]] & np.uint64(255)).astype(np.int64)]
+    each[order:][i[known]] = logp.reshape(-1)[row[known] * logp.shape[1] + column[(code[i[known]] & np.uint64(255)).astype(np.int64)]]
     rare = i[~known]
     return segment_sum(each, at), code[rare], np.searchsorted(at, rare + order, "right") - 1
 
@@ -221,19 +221,29 @@ def low_orders(counts: DataFrame) -> list[Level]:
     return [level(code, n, 1), level(code, n, 0)]
 
 
+def columns_of(low: list[Level]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that training texts have, and one that they lack for all others, as these share one probability after each context; and the place there of each of the 256 (PAD, which is never asked for, goes with the others)."""
+    seen = np.unique(low[-1][2])
+    others = np.setdiff1d(np.arange(256), [*seen.tolist(), PAD])[:1]
+    place = np.full(256, len(seen))
+    place[seen] = np.arange(len(seen))
+    return np.append(seen, others if len(others) else PAD), place
+
+
 def frequent_contexts(counts: DataFrame, low: list[Level], most: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts that are broadcast, sorted, where the row of each is, and the resolved rows."""
+    """The contexts that are broadcast, sorted, where the row of each is, and the resolved rows, of the columns of `columns_of` alone."""
     least = _least(counts, 1, most)
+    kept = columns_of(low)[0]
 
     def pick(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ctx, total = _merged(code >> np.uint64(8), n)
         ctx = ctx[total >= least].astype(np.int64)
-        return ctx, np.concatenate([np.zeros((0, 256), np.float32), *resolve(ctx, levels(code, n, low, order))])
+        return ctx, np.concatenate([np.zeros((0, len(kept)), np.float32), *(p[:, kept] for p in resolve(ctx, levels(code, n, low, order)))])
 
     got = _picked(counts, 1, pick)
     contexts = joined(got["x"], np.int64)
     place = np.argsort(contexts)
-    return contexts[place], place, joined(got["y"], np.float32).reshape(-1, 256)
+    return contexts[place], place, joined(got["y"], np.float32).reshape(-1, len(kept))
 
 
 def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -268,6 +278,7 @@ def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2"
     known = counts.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n, v = known[0] + n_docs, known[1] + (n_docs > 0)
     low = low_orders(counts)
+    column = columns_of(low)[1]
     sent = spark.sparkContext.broadcast((*frequent_words(counts, most_words), *frequent_contexts(counts, low, most_contexts, order)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +294,7 @@ def score(docs: DataFrame, train: str = "crc32(cast(doc_id as string)) % 7 != 2"
                 doc = np.repeat(np.arange(len(t)), np.diff(w.ptr)) + row
                 unsure = c == 0
                 base = segment_sum(np.log10(c + 1.0), w.ptr) + np.log10(n_docs + 1.0)
-                p, code, of = log_probability(logp, contexts, place, t, order)
+                p, code, of = log_probability(logp, contexts, place, column, t, order)
                 rare[0].append((w.hash[unsure], doc[unsure]))
                 rare[1].append((code, of + row))
                 parts.append((np.diff(w.ptr) + 1, segment_sum((c > 0).astype(np.int64), w.ptr) + (n_docs > 0), base, p))
