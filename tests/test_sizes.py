@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import oracle_sql, queries
 from lattica.functions import markup
 from lattica.sources import media, pages, scratch
-from lattica.streaming import sink
+from lattica.streaming import sink, state
 
 
 @pytest.mark.parametrize("name", ["i01_channels", "i05_box_blur", "i06_bilinear", "s20_image_round_trip"])
@@ -89,3 +90,25 @@ def test_batches_of_a_page_stream_grow_with_the_table(spark, tmp_path, monkeypat
     got = queries()["s15_page_stream"](spark, str(tmp_path))
     assert sorted(r.page_id for r in got.collect()) == list(range(2000))
     assert len(sink.listed(folders[1])) < 30 and sink.listed(folders[1])[0]["rows"] == 60
+
+
+def test_reviews_send_few_messages():
+    calls = []
+
+    class Fake:
+        def __init__(self):
+            self.held = {}
+
+        def __getattr__(self, name):
+            act = {"exists": lambda: bool(self.held), "get": lambda: self.held.get(0), "update": lambda v: self.held.update({0: v}), "containsKey": lambda k: k in self.held, "getValue": self.held.get, "updateValue": lambda k, v: self.held.update({k: v}), "removeKey": self.held.pop}[name]
+            return lambda *a: calls.append(name) or act(*a)
+
+    class Handle:
+        getMapState = getValueState = lambda self, *a: Fake()
+
+    p = state.Reviews()
+    p.init(Handle())
+    run = lambda ratings: list(p.handleInputRows((1,), iter([pd.DataFrame({"review": list("abcde"), "seq": range(5), "rating": ratings})]), None))[0].values.tolist()[0]
+    assert run([1.0, 2.0, 3.0, 4.0, None]) == [1, 10, 4] and len(calls) <= 6
+    calls.clear()
+    assert run([5.0, None, 3.0, 4.0, 1.0]) == [1, 13, 4] and len(calls) <= 13
