@@ -28,6 +28,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ GAP_COST, MOST_GAP = 0.1, 48
 OPEN_GAP = 2 * WINDOW + 4 * K
 #: Shingles of a window, and from one window to the next, by which open stretches are compared.
 LEAST, STEP = 8, 8
+#: Bytes of spelt texts of which seeds are held at once.
+PIECE_BYTES = 1 << 22
 #: So many ids at most are broadcast.
 BROADCAST_IDS = 1 << 20
 SCHEMA = "doc_id long, other_doc_id long, first_word long, end_word long, other_first_word long, other_end_word long, n_equal long, identity double"
@@ -168,6 +172,9 @@ def resume(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int) -> tuple[in
     u, v = x[i : i + slack + 3], y[j : j + slack + 3]
     if len(u) < 3 or len(v) < 3:
         return None
+    s, t = u.tolist(), v.tolist()
+    if set(zip(s, s[1:], s[2:])).isdisjoint(zip(t, t[1:], t[2:])):
+        return None
     e = u[:, None] == v[None, :]
     a, b = np.nonzero(e[:-2, :-2] & e[1:-1, 1:-1] & e[2:, 2:])
     ok = a + b <= slack
@@ -180,18 +187,22 @@ def resume(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int) -> tuple[in
 
 def ahead(x: np.ndarray, y: np.ndarray, i: int, j: int, most: int = 16) -> tuple[int, int] | None:
     """The step to the next equal word in both alike, if half of some next words, two at least, are equal there."""
-    n = min(most, len(x) - i, len(y) - j)
-    e = x[i : i + n] == y[j : j + n]
-    same = np.cumsum(e)
-    if not ((same >= 2) & (2 * same > np.arange(n))).any():
-        return None
-    k = int(np.argmax(e))
-    return k, k
+    same, first = 0, 0
+    for k, (u, v) in enumerate(zip(x[i : i + most].tolist(), y[j : j + most].tolist())):
+        if u == v:
+            same += 1
+            if same == 1:
+                first = k
+            elif 2 * same > k:
+                return first, first
+    return None
 
 
 def between(u: np.ndarray, v: np.ndarray) -> int:
     """Equal words of two stretches if one has a single gap, at its best place."""
     n = min(len(u), len(v))
+    if len(u) == len(v):
+        return int(np.count_nonzero(u == v)) if n else 0
     left = np.concatenate([[0], np.cumsum(u[:n] == v[:n])])
     right = np.concatenate([[0], np.cumsum(u[::-1][:n] == v[::-1][:n])])
     return int((left + right[::-1]).max())
@@ -204,9 +215,7 @@ def follow(x: np.ndarray, y: np.ndarray, i: int, j: int, slack: int = MOST_GAP)
     """Equal runs from x[i:], y[j:] on: (place in x, in y, words, equal words in the gap before). Ends where few of the next words are equal and no three agree within slack."""
     out, gained = [], 0
     while True:
-        n = min(len(x) - i, len(y) - j)
-        differ = np.flatnonzero(x[i : i + n] != y[j : j + n])
-        n = int(differ[0]) if len(differ) else n
+        n = equal(x, y, i, j)
         out.append((i, j, n, gained))
         i, j = i + n, j + n
         step = ahead(x, y, i, j) or resume(x, y, i, j, slack)
@@ -250,25 +259,33 @@ def align(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -> list[
 
 def equal(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
     """How many words from x[i], y[j] on are equal."""
-    n = min(len(x) - i, len(y) - j)
-    differ = np.flatnonzero(x[i : i + n] != y[j : j + n])
-    return int(differ[0]) if len(differ) else max(n, 0)
+    n = max(min(len(x) - i, len(y) - j), 0)
+    at, step = 0, 64
+    while at < n:
+        m = min(step, n - at)
+        differ = x[i + at : i + at + m] != y[j + at : j + at + m]
+        k = int(differ.argmax())
+        if differ[k]:
+            return at + k
+        at, step = at + m, 4 * step
+    return n
 
 
 def hopeless(x: np.ndarray, y: np.ndarray, i: int, j: int, least_words: int) -> bool:
     """Whether in each `least_words` words about x[i] less than half occur in y near j."""
     a = x[max(i - least_words, 0) : i + K + least_words]
-    b = np.sort(y[max(j - least_words - MOST_GAP, 0) : j + K + least_words + MOST_GAP])
     if len(a) < least_words:
         return True
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    known = np.concatenate([[0], np.cumsum(b[at] == a)])
-    return 2 * int((known[least_words:] - known[:-least_words]).max()) < least_words
+    near = set(y[max(j - least_words - MOST_GAP, 0) : j + K + least_words + MOST_GAP].tolist())
+    known = list(accumulate(map(near.__contains__, a.tolist()), initial=0))
+    return 2 * known[-1] < least_words or 2 * max(map(sub, known[least_words:], known)) < least_words
 
 
 def good(runs: list[Piece], least_words: int, least_identity: float) -> list[tuple[int, int, int, int, int]]:
     """(first x, end x, first y, end y, equal words) of the longest stretch of runs that is long and equal enough, and of those left and right of it."""
+    (a0, b0, *_), (a1, b1, n1, _) = runs[0], runs[-1]
+    if min(a1 + n1 - a0, b1 + n1 - b0) < least_words or sum(r[2] + r[3] for r in runs) < least_words * least_identity - 1:
+        return []
     a, b, n, g = (np.array(v, dtype=np.int64) for v in zip(*runs))
     total, e, f = np.cumsum(n + g), a + n, b + n
     out, todo = [], [(0, len(runs))]
@@ -350,6 +367,27 @@ def signatures(h: np.ndarray, spans: list[tuple[int, int]], n: int) -> tuple[np.
     return key[one], place[one]
 
 
+def views(column: pa.Array) -> list[np.ndarray]:
+    """The words of spelt texts, in the column's own memory."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64, len(column) + 1, 8 * column.offset)
+    whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint32) if data is not None else np.zeros(0, np.uint32)
+    cut = ((at - at[0]) // 4).tolist()
+    return [whole[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def pieces(batch: pa.RecordBatch, text: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about `most` bytes of its texts: what a task holds besides a batch doesn't grow with the texts' lengths."""
+    column = batch.column(text).cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    first = 0
+    while first < batch.num_rows:
+        last = min(max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1), batch.num_rows)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def spelt_words(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
     """Of spelt texts, about `most` words at once: the rows [first, last), and their words without places in the text."""
     blobs, first = column.to_pylist(), 0
@@ -392,7 +430,7 @@ def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity
     spelt = stash(slim.mapInArrow(spell, "id long, spelt binary"), "chain-spelt")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 1)):
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             hs, ds, ps = [], [], []
             for first, last, w in spelt_words(batch.column(1)):
@@ -490,7 +528,7 @@ def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity
         d, r, p, q = np.concatenate([np.frombuffer(m, np.int64).reshape(4, -1) for m in rows["matches"].to_pylist()], axis=1)
         # a chain may be one seed: edits can have removed all others of its passage
         pair, at, several = chained(d, r, p, q)
-        out = [(x, y, c[0][0], c[0][1], np.array([v[:2] for v in c[1:]], dtype=np.int32).tobytes() if len(c) > 1 else None) for x, y, c in several]
+        out = [(x, y, c[0][0], c[0][1], c[-1][0], c[-1][1], np.array([v[:2] for v in c[1:]], dtype=np.int32).tobytes() if len(c) > 1 else None) for x, y, c in several]
         # where all seeds are known from smaller documents, an equal run can lie, whichever these are: other is null, p and q its first and last seed
         by = np.lexsort((p, d))
         d, p = d[by], p[by]
@@ -499,66 +537,73 @@ def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(d)) - 1
         ok = p[b] - p[a] >= least_span
-        out += [(x, None, y, z, None) for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
+        out += [(x, None, y, z, None, None, None) for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
         # and where known seeds follow each other closely enough for a passage with edits: marked by an empty `more`
         new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > OPEN_GAP)
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(d)) - 1
         ok = (p[b] - p[a] >= least_span // 2) & (b - a >= 2)
-        out += [(x, None, y, z, b"") for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
-        columns = list(zip(*out)) or [()] * 5
-        whole = [pa.concat_arrays([pa.array(v, pa.int64()), pa.array(c, pa.int64())]) for v, c in zip((*pair, *at), columns)]
-        more = pa.concat_arrays([pa.nulls(pair.shape[1], pa.binary()), pa.array(columns[4], pa.binary())])
-        return pa.table([*whole, more], names=["doc_id", "other", "p", "q", "more"])
+        out += [(x, None, y, z, None, None, b"") for x, y, z in zip(d[a[ok]].tolist(), p[a[ok]].tolist(), p[b[ok]].tolist())]
+        columns = list(zip(*out)) or [()] * 7
+        whole = [pa.concat_arrays([pa.array(v, pa.int64()), pa.array(c, pa.int64())]) for v, c in zip((*pair, *at, *at), columns)]
+        more = pa.concat_arrays([pa.nulls(pair.shape[1], pa.binary()), pa.array(columns[6], pa.binary())])
+        return pa.table([*whole, more], names=["doc_id", "other", "p", "q", "last_p", "last_q", "more"])
 
-    starts = stash(matched.groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long, more binary"), "chain-found")
+    found_as = "doc_id long, other long, p long, q long, last_p long, last_q long, more binary"
+
+    starts = stash(matched.groupBy("part").applyInArrow(chain, found_as), "chain-found")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for d, r, starts, x, low, after, y in zip(*[batch.column(i).to_pylist() for i in range(7)]):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            out: list[tuple] = []
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]
+            bound, inner = batch.column(2).offsets.to_pylist(), batch.column(2).values
+            ps, qs, sizes, mores = (inner.field(n).to_pylist() for n in ("p", "q", "size", "more"))
+            for d, r, low, after, y_low, y_after, first, last, x, y in zip(*columns, bound, bound[1:], views(batch.column(7)), views(batch.column(8))):
                 own: list[tuple] | None = []
                 seen: list[tuple] = []  # stretches that were accepted
-                tried = np.zeros((0, 4), dtype=np.int64)  # runs that alignments went through: another start there leads nowhere else
-                for s in starts:
-                    p, q, size = s["p"] - low, s["q"], s["size"]
-                    anchors = [(p, q)] + ([(u - low, v) for u, v in np.frombuffer(s["more"], np.int32).reshape(-1, 2).tolist()] if s["more"] else [])
+                tried: dict[int, list[tuple[int, int]]] = {}  # runs that alignments went through, by diagonal: another start there leads nowhere else
+                for s in range(first, last):
+                    p, q, size = ps[s] - low, qs[s] - y_low, sizes[s]
+                    anchors = [(p, q)] + ([(u - low, v - y_low) for u, v in np.frombuffer(mores[s], np.int32).reshape(-1, 2).tolist()] if mores[s] else [])
                     if any(a <= p and p + size <= b and c <= q < e for a, b, c, e, _ in seen):
                         continue
-                    if len(tried) and ((tried[:, 0] - tried[:, 1] == p - q) & (tried[:, 0] <= p) & (p < tried[:, 0] + tried[:, 2])).any():
+                    if any(a <= p < b for a, b in tried.get(p - q, ())):
                         continue
                     if len(anchors) == 1 and size == 1 and hopeless(x, y, p, q, least_words):
                         continue
                     runs = align(x, y, anchors)
-                    # what lies beyond the excerpt could have a say
-                    if (low and runs[0][0] < MOST_GAP + 3) or (after and len(x) - runs[-1][0] - runs[-1][2] < MOST_GAP + 3):
+                    # what lies beyond the excerpts could have a say
+                    (a, c, *_), (b, e, n, _) = runs[0], runs[-1]
+                    if (low and a < MOST_GAP + 3) or (after and len(x) - b - n < MOST_GAP + 3) or (y_low and c < MOST_GAP + 3) or (y_after and len(y) - e - n < MOST_GAP + 3):
                         own = None
                         break
-                    tried = np.concatenate([tried, np.array(runs, dtype=np.int64)])
+                    if s + 1 < last:
+                        for a, c, n, _ in runs:
+                            tried.setdefault(a - c, []).append((a, a + n))
                     for g in good(runs, least_words, least_identity):
                         if g not in seen:
                             seen.append(g)
                             a, b, c, e, n = g
-                            own.append((d, r, a + low, b + low, c, e, n, n / max(b - a, e - c)))
+                            own.append((d, r, a + low, b + low, c + y_low, e + y_low, n, n / max(b - a, e - c)))
                 out += [(d, r, *[None] * 6)] if own is None else own
             columns = list(zip(*out)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.float64()])], names=["doc_id", "other_doc_id", "first_word", "end_word", "other_first_word", "other_end_word", "n_equal", "identity"])
 
-    def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, low, after = [], [], []
-            for starts, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                last = [np.frombuffer(s["more"], np.int32)[-2] if s["more"] else s["p"] for s in starts]
-                a, b = max(min(s["p"] for s in starts) - NEAR, 0), max(int(e) + s["size"] for s, e in zip(starts, last)) + NEAR
-                x.append(t[4 * a : 4 * b])
-                low.append(a)
-                after.append(max(len(t) // 4 - b, 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.binary()), pa.array(low, pa.int64()), pa.array(after, pa.int64())], names=["doc_id", "other", "starts", "x", "low", "after"])
+    # how far an excerpt goes beyond a pair's starts: `hopeless` looks so far, in the other text by MOST_GAP further
+    margin = {"x": max(NEAR, least_words + K), "y": max(NEAR, least_words + K) + MOST_GAP}
+
+    def excerpt(frame: DataFrame, side: str, first: str, last: str, low: str, after: str, whole: bool) -> DataFrame:
+        """Of the text in column `side` the words about those from first to last, where they begin, and how many come after."""
+        if whole:
+            return frame.withColumns({low: F.lit(0).cast("bigint"), after: F.lit(0).cast("bigint")})
+        frame = frame.withColumn(low, F.greatest(F.col(first) - margin[side], F.lit(0)).cast("bigint"))
+        end = f"{last} + {margin[side]}"
+        frame = frame.withColumn(after, F.expr(f"greatest(length({side}) div 4 - ({end}), 0L)"))
+        return frame.withColumn(side, F.expr(f"substring({side}, cast(4 * {low} + 1 as int), cast(4 * ({end} - {low}) as int))"))
 
     def passed(pairs: DataFrame, name: str) -> DataFrame:
-        """Passages of pairs (doc_id, other, starts): from excerpts of the one text, or from all of it if an alignment reaches an excerpt's end."""
-        cut = "doc_id long, other long, starts array<struct<p:long,q:long,size:long,more:binary>>, x binary, low long, after long"
+        """Passages of pairs (doc_id, other, starts, from where to where these go in both): from excerpts of the texts, or from all of them if an alignment reaches an excerpt's end."""
 
         def against(pairs: DataFrame, whole: bool) -> DataFrame:
             # of few documents the texts are picked first, so that not all are shuffled
@@ -566,10 +611,11 @@ def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity
             ids = stash(pairs.select(F.col("doc_id").alias("of")).unionAll(pairs.select("other")).distinct(), f"chain-{name}-ids")
             if ids.count() <= BROADCAST_IDS and 4 * ids.count() <= spelt.count():
                 texts = spelt.join(F.broadcast(ids), F.col("id") == F.col("of"), "left_semi")
-            both = pairs.join(texts.withColumnRenamed("spelt", "x"), F.col("doc_id") == F.col("id")).select("doc_id", "other", "starts", "x")
-            both = both.withColumns({"low": F.lit(0).cast("bigint"), "after": F.lit(0).cast("bigint")}) if whole else both.mapInArrow(excerpts, cut)
-            both = both.join(texts.withColumnRenamed("spelt", "y"), F.col("other") == F.col("id"))
-            return both.select("doc_id", "other", "starts", "x", "low", "after", "y").mapInArrow(aligned, SCHEMA)
+            both = pairs.join(texts.withColumnRenamed("spelt", "x"), F.col("doc_id") == F.col("id")).drop("id")
+            both = excerpt(both, "x", "p0", "p1", "low", "after", whole)
+            both = both.join(texts.withColumnRenamed("spelt", "y"), F.col("other") == F.col("id")).drop("id")
+            both = excerpt(both, "y", "q0", "q1", "y_low", "y_after", whole)
+            return both.select("doc_id", "other", "starts", "low", "after", "y_low", "y_after", "x", "y").mapInArrow(aligned, SCHEMA)
 
         near = stash(against(pairs, False), f"chain-{name}-near")
         wide = near.where("n_equal is null").select("doc_id", F.col("other_doc_id").alias("other"))
@@ -579,7 +625,9 @@ def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity
         return near.where("n_equal is not null").unionAll(against(again, True))
 
     def paired(found: DataFrame) -> DataFrame:
-        return found.groupBy("doc_id", "other").agg(F.sort_array(F.collect_list(F.struct("p", "q", F.col("size").cast("bigint").alias("size"), "more"))).alias("starts"))
+        size = F.col("size").cast("bigint")
+        starts = F.sort_array(F.collect_list(F.struct("p", "q", size.alias("size"), "more"))).alias("starts")
+        return found.groupBy("doc_id", "other").agg(starts, F.min("p").alias("p0"), F.max(F.col("last_p") + size).alias("p1"), F.min("q").alias("q0"), F.max(F.col("last_q") + size).alias("q1"))
 
     first = stash(passed(stash(paired(starts.where("other is not null").withColumn("size", F.lit(1))), "chain-pairs"), "first"), "chain-first")
 
@@ -603,18 +651,10 @@ def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity
             yield keyed(np.concatenate(hs), np.concatenate(ds), np.concatenate(ps))
 
     signed = left.mapInArrow(sign, "bucket int, keys binary, places binary").groupBy("bucket").applyInArrow(meet, "part int, matches binary")
-    anew = signed.groupBy("part").applyInArrow(chain, "doc_id long, other long, p long, q long, more binary").where("other is not null")
-
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for p, more, known in zip(*[batch.column(c).to_pylist() for c in ("p", "more", "done")]):
-                last = int(np.frombuffer(more, np.int32)[-2]) if more else p
-                keep.append(not any(v["first_word"] <= p and last + K <= v["end_word"] for v in known or []))
-            yield pa.RecordBatch.from_arrays(batch.columns[:5], names=batch.schema.names[:5]).filter(pa.array(keep, pa.bool_()))
+    anew = signed.groupBy("part").applyInArrow(chain, found_as).where("other is not null")
 
     # chains that lie in a passage already lead to nothing new
-    anew = anew.join(done, "doc_id", "left").select("doc_id", "other", "p", "q", "more", "done").mapInArrow(outside, "doc_id long, other long, p long, q long, more binary")
+    anew = anew.join(done, "doc_id", "left").where(f"not exists(coalesce(done, array()), v -> v.first_word <= p and last_p + {K} <= v.end_word)").drop("done")
     anew = paired(anew.withColumn("size", F.lit(1)))
     first = stash(first.unionAll(passed(stash(anew, "chain-anew"), "anew")).distinct(), "chain-known")
 
@@ -644,10 +684,11 @@ def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity
     bits = min(max(16 * n, 1 << 16), MOST_BITS).bit_length() - 1
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << bits, dtype=bool)
+        held = np.zeros(1 << bits >> 3, dtype=np.uint8)
         for batch in batches:
-            held[joined(pa.chunked_array([batch.column(0)]), np.uint64) >> np.uint64(64 - bits)] = True
-        parts = np.packbits(held).reshape(-1, 1 << 10)
+            at = np.unique(joined(pa.chunked_array([batch.column(0)]), np.uint64) >> np.uint64(64 - bits))
+            np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+        parts = held.reshape(-1, 1 << 10)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["at", "bits"])
 
@@ -689,5 +730,5 @@ def _passages(slim: DataFrame, docs: DataFrame, least_words: int, least_identity
     runs = spelt.mapInArrow(offer, "bucket int, keys binary, places binary").groupBy("bucket").applyInArrow(settle, "part int, matches binary").groupBy("part").applyInArrow(merge, "doc_id long, other long, p long, q long, size long")
     # runs that lie in a passage of the first round are done
     runs = runs.join(done, "doc_id", "left").where("not exists(coalesce(done, array()), v -> v.first_word <= p and p + size <= v.end_word)").drop("done")
-    second = passed(stash(paired(runs.withColumn("more", F.lit(None).cast("binary"))), "chain-runs"), "second")
+    second = passed(stash(paired(runs.withColumns({"last_p": F.col("p"), "last_q": F.col("q"), "more": F.lit(None).cast("binary")})), "chain-runs"), "second")
     return first.unionAll(second).distinct()

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.llm import chain_dedup
@@ -90,3 +91,53 @@ def test_all_windows_by_brute_force(spark, seed):
         windows += need.sum()
         lost += (need & ~covered[d]).sum()
     assert windows > 2000 and lost <= 0.05 * windows
+
+
+def test_alignment_reads_excerpts_of_both_texts(spark, tmp_path, monkeypatch):
+    """Documents that share a passage with one long text bring its words about the passage to their alignment, not all of it."""
+    rng = random.Random(8)
+    filler = lambda n: [f"w{rng.randrange(99999)}" for _ in range(n)]
+    long, size = filler(20_000), tmp_path / "sizes"
+    rows = [(0, " ".join(long))] + [(i, " ".join(filler(30) + long[900 * i : 900 * i + 60] + filler(30))) for i in range(1, 21)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plain = type(docs).mapInArrow
+
+    def metered(self, f, *more, **named):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    with size.open("a") as out:
+                        out.write(f"{b.nbytes}\n")
+                    yield b
+
+            return f(seen())
+
+        return plain(self, run if f.__name__ == "aligned" else f, *more, **named)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", metered)
+    got = {(r.doc_id, r.other_doc_id, r.first_word, r.other_first_word, r.n_equal) for r in chain_dedup.passages(docs).collect()}
+    assert got == {(i, 0, 30, 900 * i, 60) for i in range(1, 21)}
+    assert sum(map(int, size.read_text().split())) < 10 * 4 * 20_000  # 20 times the long text came before
+
+
+def test_small_steps_of_alignments_are_those_of_plain_versions():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        x, y = (rng.integers(0, 6, rng.integers(0, 160)).astype(np.uint32) for _ in range(2))
+        if rng.random() < 0.5:
+            y = np.where(rng.random(len(x)) < 0.2, 9, x).astype(np.uint32)
+        i, j = int(rng.integers(0, len(x) + 1)), int(rng.integers(0, len(y) + 1))
+        n = min(len(x) - i, len(y) - j)
+        e = x[i : i + n] == y[j : j + n]
+        assert chain_dedup.equal(x, y, i, j) == (int(np.argmin(e)) if not e.all() else n)
+        some = np.cumsum(e[:16])
+        want = int(np.argmax(e[:16])) if ((some >= 2) & (2 * some > np.arange(len(some)))).any() else None
+        assert chain_dedup.ahead(x, y, i, j) == (None if want is None else (want, want))
+        a, b = x[max(i - 50, 0) : i + 55], y[max(j - 98, 0) : j + 103]
+        known = np.concatenate([[0], np.cumsum(np.isin(a, b))])
+        assert chain_dedup.hopeless(x, y, i, j, 50) == (len(a) < 50 or 2 * int((known[50:] - known[:-50]).max()) < 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array([bytes(4 * n) for n in (5, 0, 30, 2, 2, 0, 0, 50, 1)], pa.binary())], names=["id", "spelt"])
+    cut = list(chain_dedup.pieces(batch.slice(1), 1, 100))
+    assert [x for p in cut for x in p.column(0).to_pylist()] == list(range(1, 9)) and len(cut) > 2
+    assert all(p.num_rows == 1 or sum(map(len, p.column(1).to_pylist())) <= 100 for p in cut)
+    assert [v.tobytes() for p in cut for v in chain_dedup.views(p.column(1))] == batch.column(1).to_pylist()[1:]
