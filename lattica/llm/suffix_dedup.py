@@ -8,7 +8,7 @@ equal windows have equal anchors. Neighbouring windows with one anchor are a run
    the documents); those that two documents have are told back.
 2. Runs with such an anchor go, with their bytes, to the anchor's bucket. Where a part
    has equal runs, only that of the smallest document goes; the others are covered.
-3. A bucket sorts the suffixes that start at anchors: a mergesort whose comparisons
+3. In a bucket, too, of equal runs only that of the smallest document is left. It sorts the suffixes that start at anchors: a mergesort whose comparisons
    find the common extension by binary search over prefix polynomial hashes, so a
    comparison takes a logarithmic number of steps. Neighbours' extensions cut the
    order into intervals of equal strings; with the hash of what lies left of the
@@ -35,6 +35,8 @@ from lattica.llm.common import Texts, buckets_for, by_bucket, flat, joined, mix,
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
+#: Bytes of text of which anchors are found at once: what numpy holds of them stays in a core's cache.
+PIECE = 1 << 17
 _U = np.uint64
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -48,14 +50,14 @@ def grams(buf: np.ndarray) -> np.ndarray:
 
 
 def least(g: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every w neighbours: running minima from the left and the right of blocks of w."""
+    """Minimum of every w neighbours: of 2, 4, 8... and so on, then of two such stretches that overlap."""
     m = len(g) - w + 1
     if m <= 0:
         return g[:0]
-    x = np.concatenate([g, np.full(-len(g) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-    left = np.minimum.accumulate(x, axis=1).reshape(-1)
-    right = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(right[:m], left[w - 1 : w - 1 + m])
+    x, n = g, 1
+    while 2 * n <= w:
+        x, n = np.minimum(x[:-n], x[n:]), 2 * n
+    return np.minimum(x[:m], x[w - n : w - n + m])
 
 
 def runs(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,17 +79,24 @@ def runs(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.n
     return window[first], np.diff(np.append(first, len(window))), value[first], np.repeat(full, count)[first], g
 
 
+def arranged(k: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Order by k, and of equal ones by `then`: few keys have equals, so only these are sorted twice."""
+    by = np.argsort(k)
+    v = k[by]
+    same = np.zeros(len(v), dtype=bool)
+    same[1:] = v[1:] == v[:-1]
+    same[:-1] |= same[1:].copy()
+    some = by[same]
+    by[same] = some[np.lexsort((then[some], v[same]))]
+    return by
+
+
 def anchored(start: np.ndarray, count: np.ndarray, value: np.ndarray, g: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
     """(start, count, anchor's position, value, *more): runs cut so that each has one anchor, the leftmost in its windows."""
     out = []
+    around = np.lib.stride_tricks.sliding_window_view(g, SPAN) if len(start) else g
     while len(start):
-        at = np.full(len(start), -1)
-        for d in range(SPAN):
-            todo = np.flatnonzero(at < 0)
-            if not len(todo):
-                break
-            hit = todo[g[start[todo] + d] == value[todo]]
-            at[hit] = start[hit] + d
+        at = start + np.concatenate([(around[start[i : i + (1 << 12)]] == value[i : i + (1 << 12), None]).argmax(axis=1) for i in range(0, len(start), 1 << 12)])
         mine = np.minimum(count, at - start + 1)
         out.append((start, mine, at, value, *more))
         rest = count > mine
@@ -162,6 +171,39 @@ class Suffixes:
             width *= 2
 
 
+def alike(buf: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n bytes at positions a and b are the same."""
+    if not len(a):
+        return np.zeros(0, dtype=bool)
+    at = np.lib.stride_tricks.sliding_window_view(buf, n)
+    return (at[a] == at[b]).all(axis=1)
+
+
+def spelt(h: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of each run's bytes and of its anchor's place in it; h: prefix hashes of the buffer."""
+    _, inv = powers(len(h))
+    return mix((h[end] - h[start]) * inv[start] + mix(((end - start) << 8 | (at - start)).astype(np.uint64)))
+
+
+def copies(buf: np.ndarray, cut: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Runs that a smaller document has as they are, byte by byte: all their windows are covered. Run i is buf[cut[i]:cut[i+1]], whole its hash."""
+    size = np.diff(cut)
+    by = arranged(whole, doc)
+    w = whole[by]
+    new = np.ones(len(w), dtype=bool)
+    new[1:] = w[1:] != w[:-1]
+    head = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = (doc[by] > doc[head]) & (size[by] == size[head])
+    mine, first = by[later], head[later]
+    fine = np.ones(len(mine), dtype=bool)
+    for n in np.unique(size[mine]):
+        m = np.flatnonzero(size[mine] == n)
+        for c in range(0, len(m), 1 << 14):
+            x = m[c : c + (1 << 14)]
+            fine[x] = alike(buf, cut[mine[x]], cut[first[x]], int(n))
+    return mine[fine]
+
+
 def covered(buf: np.ndarray, cut: np.ndarray, left: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(run, offset) of all windows that a smaller document has; run i is buf[cut[i]:cut[i+1]], its anchor at offset left[i]."""
     size = np.diff(cut)
@@ -180,7 +222,7 @@ def covered(buf: np.ndarray, cut: np.ndarray, left: np.ndarray, group: np.ndarra
         a = s.start[x] - n
         before = (s.h[a + n] - s.h[a]) * s.inv[a] if n else np.zeros(len(x), np.uint64)
         key = mix(before + mix(part.astype(np.uint64)))
-        by = np.lexsort((doc[x], key))
+        by = arranged(key, doc[x])
         k = key[by]
         new = np.ones(len(k), dtype=bool)
         new[1:] = k[1:] != k[:-1]
@@ -188,10 +230,9 @@ def covered(buf: np.ndarray, cut: np.ndarray, left: np.ndarray, group: np.ndarra
         mine = x[by]
         later = doc[mine] > doc[head]
         mine, head = mine[later], head[later]
-        for i in range(0, len(mine), 1 << 16):
-            m, h = mine[i : i + (1 << 16)], head[i : i + (1 << 16)]
-            span = np.arange(LENGTH)
-            same = (buf[(s.start[m] - n)[:, None] + span] == buf[(s.start[h] - n)[:, None] + span]).all(axis=1)
+        for i in range(0, len(mine), 1 << 14):
+            m, h = mine[i : i + (1 << 14)], head[i : i + (1 << 14)]
+            same = alike(buf, s.start[m] - n, s.start[h] - n, LENGTH)
             if not same.all():  # a collision: compare with every smaller document of the key
                 bad = np.flatnonzero(~same)
                 for b in bad:
@@ -237,7 +278,7 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             home = np.array(batch.column(2).to_pylist(), dtype=np.uint64)
             keep = np.array([x is not None for x in batch.column(0).to_pylist()], dtype=bool)
             keys, docs_ = [], []
-            for t in flat(batch.column(1)):
+            for t in flat(batch.column(1), PIECE):
                 _, _, v, d, _ = runs(t)
                 ok = keep[d + t.first]
                 keys.append(v[ok])
@@ -245,13 +286,13 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             if not keys:
                 continue
             k, d = np.concatenate(keys), np.concatenate(docs_)
-            by = np.lexsort((d, k))
+            by = arranged(k, d)
             k, d = k[by], d[by]
             new = np.ones(len(k), dtype=bool)
             new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
             k, p = k[new], home[d[new]]
             # one for each key and part, and whether more than one document stands behind it
-            by = np.lexsort((p, k))
+            by = arranged(k, p)
             k, p = k[by], p[by]
             new = np.ones(len(k), dtype=bool)
             new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
@@ -291,35 +332,20 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                 o.append(v)
 
         held = []
-        for t in flat(rows["text"]) if len(wanted) else ():
+        for t in flat(rows["text"], PIECE) if len(wanted) else ():
             start, count, value, d, g = runs(t)
             s = _short(value, buckets)
             i = np.minimum(np.searchsorted(wanted, s), len(wanted) - 1)
             ok = wanted[i] == s
             start, count, at, value, d = anchored(start[ok], count[ok], value[ok], g, d[ok])
             end = start + count + LENGTH - 1
-            h = prefix_hash(t.buf)
-            _, inv = powers(len(h))
-            whole = mix((h[end] - h[start]) * inv[start] + mix(((end - start) << 8 | (at - start)).astype(np.uint64)))
+            whole = spelt(prefix_hash(t.buf), start, end, at)
             text = t.buf[ranges(start, end - start)]
             held.append((value, whole, d + t.first, start - t.at[d], end - start, at - start, text))
         if held:
             value, whole, row, start, size, left, text = (np.concatenate(x) for x in zip(*held))
-            by = np.lexsort((ids[row], whole))
-            w = whole[by]
-            new = np.ones(len(w), dtype=bool)
-            new[1:] = w[1:] != w[:-1]
-            head = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-            later = ids[row[by]] > ids[row[head]]
             cut = np.concatenate([[0], np.cumsum(size)])
-            mine, first = by[later], head[later]
-            fine = np.ones(len(mine), dtype=bool)  # byte by byte, as everywhere
-            for n in np.unique(size[mine]):
-                m = np.flatnonzero(size[mine] == n)
-                for c in range(0, len(m), 1 << 15):
-                    x = m[c : c + (1 << 15)]
-                    fine[x] = (text[cut[mine[x]][:, None] + np.arange(n)] == text[cut[first[x]][:, None] + np.arange(n)]).all(axis=1)
-            here_covered = mine[fine]
+            here_covered = copies(text, cut, whole, ids[row])
             put(-1, b"", row[here_covered].astype(np.int32).tobytes(), np.stack([start[here_covered], start[here_covered] + size[here_covered]]).astype(np.int64).tobytes(), None, 0)
             go = np.ones(len(value), dtype=bool)
             go[here_covered] = False
@@ -360,8 +386,17 @@ def remove(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 21), "right")))
             b = int(np.searchsorted(v, v[b - 1], "right"))
             x = by[a:b]
+            own, own_cut = buf[ranges(cut[x], size[x])], np.concatenate([[0], np.cumsum(size[x])])
+            # runs that other parts have as well: those of the smallest documents are left
+            c = copies(own, own_cut, spelt(prefix_hash(own), own_cut[:-1], own_cut[1:], own_cut[:-1] + left[x]), doc[x])
+            found.append((origin[x[c]], row[x[c]], start[x[c]], start[x[c]] + size[x[c]]))
+            go = np.ones(len(x), dtype=bool)
+            go[c] = False
+            x = x[go]
+            _, group, number = np.unique(v[a:b][go], return_inverse=True, return_counts=True)
+            x, group = x[number[group] > 1], group[number[group] > 1]
             own_cut = np.concatenate([[0], np.cumsum(size[x])])
-            r, at = covered(buf[ranges(cut[x], size[x])], own_cut, left[x], v[a:b], doc[x])
+            r, at = covered(buf[ranges(cut[x], size[x])], own_cut, left[x], group, doc[x])
             r, first, end = spans(r, at)
             found.append((origin[x[r]], row[x[r]], start[x[r]] + first, start[x[r]] + end))
             a = b

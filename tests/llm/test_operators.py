@@ -565,6 +565,33 @@ def test_suffixes(spark, docs, rows, empty):
     assert [(group[i], buf[start[i] : start[i] + size[i]].tobytes()) for i in o] == want
 
 
+def test_runs_that_smaller_documents_have_are_not_sorted():
+    """Equal runs leave one for the sort; anchors, orders and minima are those of plain versions."""
+    r = np.random.default_rng(11)
+    kinds = [r.integers(97, 99, n).astype(np.uint8) for n in (50, 50, 51, 66, 80)]
+    kinds[1][:] = kinds[0]
+    pick, doc = r.integers(0, len(kinds), 60), r.integers(0, 12, 60)
+    cut = np.concatenate([[0], np.cumsum([len(kinds[k]) for k in pick])])
+    buf = np.concatenate([kinds[k] for k in pick])
+    text = [kinds[k].tobytes() for k in pick]
+    want = [i for i in range(60) if any(text[j] == text[i] and doc[j] < doc[i] for j in range(60))]
+    whole = suffix_dedup.spelt(suffix_dedup.prefix_hash(buf), cut[:-1], cut[1:], cut[:-1])
+    assert sorted(suffix_dedup.copies(buf, cut, whole, doc)) == want and len(want) > 30
+    # one hash for all: a collision makes no copy of what differs
+    assert set(suffix_dedup.copies(buf, cut, np.zeros(60, np.uint64), doc)) <= set(want)
+    k, then = r.integers(0, 30, 200).astype(np.uint64), r.integers(0, 5, 200)
+    o = suffix_dedup.arranged(k, then)
+    assert sorted(o) == list(range(200)) and [(k[i], then[i]) for i in o] == sorted(zip(k, then))
+    for w in (1, 2, 6, 8, 31):
+        g = r.integers(0, 9, 90).astype(np.uint64)
+        assert suffix_dedup.least(g, w).tolist() == [min(g[i : i + w]) for i in range(90 - w + 1)]
+    t = suffix_dedup.Texts(0, 2, np.concatenate([r.integers(97, 99, 200), np.full(90, 97)]).astype(np.uint8), np.array([0, 200, 290]))
+    start, count, value, d, g = suffix_dedup.runs(t)
+    first, n, at, *_ = suffix_dedup.anchored(start, count, value, g, d)
+    got = {int(w): int(a) for f, m, a in zip(first, n, at) for w in range(f, f + m)}
+    assert got == {w: w + int(np.argmin(g[w : w + suffix_dedup.SPAN])) for w in [*range(151), *range(200, 241)]}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
